@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import Scratch
+from . import decontaminate, langid, mixing, simhash, training_order
+from .common import Scratch, is_held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of sources takes from every document."""
+    rows = mixing.mix(_table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_shard")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains, with its exact containment."""
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.contained(docs, benchmark, Scratch(spark, "op4")).drop("_k1", "_k2")
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the training order and in the shards, read back from the shard files."""
+    return training_order.materialise(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     scratch = Scratch(spark, "op9")
@@ -24,8 +41,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(langid.learnable(docs, is_held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_source_mix": op1_source_mix,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_training_order": op6_training_order,
     "op9_simhash": op9_simhash,
+    "op10_language_id": op10_language_id,
 }
 
 #: None of the ten can be said in SQL that DuckDB runs: see README.md for the test of each.
