@@ -1,13 +1,28 @@
-"""A corpus pipeline out of the training-data operators: STAGES, and run() that applies them to documents."""
+"""A corpus pipeline out of the training-data operators: STAGES, and run() that applies them to documents.
+
+Each stage takes the rows that its predecessor kept and returns rows with the columns of documents; the last one returns the
+index of the shards that it wrote. Stages read and write whole rows and texts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm import decontaminate, langid, mixing, simhash, training_order
+from cairn.llm.common import Scratch, is_held_out
+
+#: A document goes if its language is undetermined or less likely than this.
+LEAST_LANGUAGE_SCORE = 0.4
 
-from cairn.llm import simhash
-from cairn.llm.common import Scratch
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or without a likely language go."""
+    model = langid.fit(langid.learnable(docs, is_held_out()))
+    seen = langid.predict(docs, model)
+    return seen.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +30,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.deduplicate(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain an item of benchmark go."""
+    return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix of sources takes it."""
+    return mixing.apply(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in training order, written as binary shards; one index row a sequence."""
+    return training_order.materialise(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
     ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mix", source_mix),
+    ("token_output", token_output),
 ]
 
 #: SQL can't express these stages; tests/llm hold them against brute force.
@@ -28,4 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES[:-1]):
         docs = scratch.cut(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
