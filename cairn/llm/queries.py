@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, simhash, training_order
+from . import decontaminate, langid, mixing, secrets, sharding, simhash, spotsigs, toxicity, training_order, warc
 from .common import Scratch, is_held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,17 +23,58 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_shard")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through the verified chain of records."""
+    scratch = Scratch(spark, "op2")
+    archives = scratch.path("archives")
+    warc.write(warc.plan(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch), archives)
+    records = warc.read(archives, spark)
+    return records.select(
+        warc.page_of(F.col("id")).cast("long").alias("page_id"),
+        "payload_bytes",
+        F.regexp_replace("digest", "^sha1:", "").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        warc.page_of(F.col("refers_to")).cast("long").alias("refers_to"),
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    lexicon = toxicity.fit(docs, labels.filter(~is_held_out()), Scratch(spark, "op3"))
+    return toxicity.score(docs, lexicon).select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document contains, with its exact containment."""
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return decontaminate.contained(docs, benchmark, Scratch(spark, "op4")).drop("_k1", "_k2")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, found over a ledger of blobs."""
+    rows = secrets.scan_all(_table(spark, sf_dir, "documents"))
+    parts = F.filter(F.split("spans", ","), lambda s: s != "")
+    of = lambda kind: F.size(F.filter(parts, lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(F.col("spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the training order and in the shards, read back from the shard files."""
     return training_order.materialise(_table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document and its place in it."""
+    rows = sharding.assign(_table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "global_slot")
+
+
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and of its edited text."""
+    return spotsigs.edited(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     scratch = Scratch(spark, "op9")
@@ -50,8 +91,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_source_mix": op1_source_mix,
+    "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
+    "op5_secrets": op5_secrets,
     "op6_training_order": op6_training_order,
+    "op7_sharding": op7_sharding,
+    "op8_spotsigs": op8_spotsigs,
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
 }
