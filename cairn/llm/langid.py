@@ -104,6 +104,8 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
         fold, df, rows = _table(), np.zeros(BUCKETS + 1, np.int64), 0
         for b in batches:
             texts = texts_of(b.column(0))
+            if not texts:
+                continue
             grams, starts, _ = _grams(texts, fold)
             stops = np.append(starts[1:], grams.shape[1])
             for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
@@ -196,15 +198,15 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
     return Model(languages, table, w[-1], float(grid[int(np.argmin(loss))]))
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with `lang_pred` and `score`, the calibrated probability of that language; all whole texts are read.
+def predict(docs: DataFrame, model: Model | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the columns `out`: the predicted language and the calibrated probability of that language; all whole texts are read.
 
     A null text, a text without a letter, and every text if there is no model get `und` and the score 0. Columns of these
     names in docs are replaced; rows, repeats included, are kept as they are.
     """
     spark = docs.sparkSession
     prepare(spark)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in out]
     sent = spark.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and MOST_LANGUAGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +219,10 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 best = p.argmax(axis=1)
                 lang = [m.languages[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist(), strict=True)]
                 score = np.where(letters, p[np.arange(len(texts)), best], 0.0).clip(0, 1).tolist()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(lang), pa.array(score)], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, *out])
 
     got = docs.select(*kept, F.col(text).alias("__text"))
-    schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = docs.select(*kept).withColumns({out[0]: F.lit(""), out[1]: F.lit(0.0)}).schema
     return got.mapInArrow(run, schema)
 
 

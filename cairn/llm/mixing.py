@@ -135,7 +135,8 @@ def mix(docs: DataFrame, scratch: Scratch, text: str = "text", source: str = "so
     full = placed.join(F.broadcast(table), F.col("__source").eqNullSafe(F.col("__s")))  # MOST_SOURCES rows at most
 
     # The mix reads the stream from the start for __ends[-1] words, at most `most` rounds: how often does it pass the words at and behind?
-    whole, gone = F.element_at("__ends", -1), F.pmod(F.col("__at") - F.col("__start"), F.col("source_size"))
+    round_ = F.greatest(F.col("source_size"), F.lit(1))
+    whole, gone = F.element_at("__ends", -1), F.pmod(F.col("__at") - F.col("__start"), round_)
 
     def passed(position: Column, words: Column) -> Column:
         """Words read so far of those that lie at the given distance behind the start, over all rounds."""
@@ -147,7 +148,7 @@ def mix(docs: DataFrame, scratch: Scratch, text: str = "text", source: str = "so
 
     some = F.col("size") > 0
     taken = F.when(some, passed(gone, F.col("size"))).otherwise(F.lit(0)).cast("long")
-    middle = F.pmod(gone + F.floor(F.col("size") / 2), F.col("source_size"))
+    middle = F.pmod(gone + F.floor(F.col("size") / 2), round_)
     copies = F.when(some, passed(middle, F.lit(1))).otherwise(F.lit(0)).cast("int")
     first = F.when(gone + F.col("size") > F.col("source_size"), F.lit(0)).otherwise(gone)
     shard = F.when((F.col("taken") > 0), F.size(F.filter("__ends", lambda e: e <= F.col("__first"))))

@@ -105,6 +105,8 @@ class Lexicon:
 
 def sums(texts: list[str], automaton: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray]:
     """The weight of each text's matches outside exception phrases, and its number of words."""
+    if not texts:
+        return np.zeros(0), np.zeros(0, np.int64)
     whole, starts, words = fold_all(texts)
     ends, begins, weights, spans = [], [], [], []
     if len(automaton):
