@@ -21,8 +21,8 @@ LEAST_LANGUAGE_SCORE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a likely language go."""
     model = langid.fit(langid.learnable(docs, is_held_out()))
-    seen = langid.predict(docs, model)
-    return seen.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    seen = langid.predict(docs, model, out=("__language", "__likely"))
+    return seen.filter((F.col("__language") != "und") & (F.col("__likely") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
