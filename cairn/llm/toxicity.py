@@ -103,30 +103,34 @@ class Lexicon:
         return a
 
 
+def _matches(whole: str, automaton: ahocorasick.Automaton) -> tuple[np.ndarray, list]:
+    """Where the matches of terms outside exception phrases begin, and their values."""
+    ends, begins, values, spans = [], [], [], []
+    for end, (length, value) in automaton.iter(whole) if len(automaton) else ():
+        if value is None:
+            spans.append((end + 1 - length, end))
+        else:
+            ends.append(end)
+            begins.append(end + 1 - length)
+            values.append(value)
+    b = np.array(begins, dtype=np.int64)
+    if not (spans and ends):
+        return b, values
+    spans.sort()
+    left, right = np.array([s for s, _ in spans]), np.maximum.accumulate([x for _, x in spans])
+    at = np.searchsorted(left, b, side="right") - 1
+    outside = ~((at >= 0) & (right[np.maximum(at, 0)] >= np.array(ends)))
+    return b[outside], [v for v, keep in zip(values, outside.tolist(), strict=True) if keep]
+
+
 def sums(texts: list[str], automaton: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray]:
     """The weight of each text's matches outside exception phrases, and its number of words."""
     if not texts:
         return np.zeros(0), np.zeros(0, np.int64)
     whole, starts, words = fold_all(texts)
-    ends, begins, weights, spans = [], [], [], []
-    if len(automaton):
-        for end, (length, weight) in automaton.iter(whole):
-            if weight is None:
-                spans.append((end + 1 - length, end))
-            else:
-                ends.append(end)
-                begins.append(end + 1 - length)
-                weights.append(weight)
+    begins, weights = _matches(whole, automaton)
     total = np.zeros(len(texts))
-    if ends:
-        e, b, w = np.array(ends), np.array(begins), np.array(weights)
-        if spans:
-            spans.sort()
-            left, right = np.array([s for s, _ in spans]), np.maximum.accumulate([x for _, x in spans])
-            at = np.searchsorted(left, b, side="right") - 1
-            inside = (at >= 0) & (right[np.maximum(at, 0)] >= e)
-            e, b, w = e[~inside], b[~inside], w[~inside]
-        np.add.at(total, np.searchsorted(starts, b, side="right") - 1, w)
+    np.add.at(total, np.searchsorted(starts, begins, side="right") - 1, np.array(weights, dtype=float))
     return total, words
 
 
@@ -159,12 +163,9 @@ def _joint(sample: DataFrame, lexicon: Lexicon) -> dict[str, float]:
     names = sorted(lexicon.terms)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = ahocorasick.Automaton()
-        for i, term in enumerate(names):
-            a.add_word(term, i)
-        a.make_automaton()
+        a = Lexicon({term: i for i, term in enumerate(names)}, lexicon.exceptions, lexicon.curve).automaton()
         for b in batches:
-            found = [sorted({i for _, i in a.iter(f" {fold(t)} ")}) if names else [] for t in texts_of(b["t"])]
+            found = [sorted(set(_matches(f" {fold(t)} ", a)[1])) for t in texts_of(b["t"])]
             yield pa.RecordBatch.from_arrays([b["y"], pa.array(found, pa.list_(pa.int32()))], names=["y", "found"])
 
     got = sample.mapInArrow(present, "y int, found array<int>").collect()
@@ -212,7 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
         have, rows = (Counter(), Counter()), [0, 0]
         for b in batches:
             for t, k in zip(texts_of(b["t"]), b["y"].to_pylist(), strict=True):
-                have[k].update(_terms(set(fold(t).split())))
+                folded = f" {fold(t)} "
+                for phrase in lexicon.exceptions:
+                    folded = folded.replace(phrase, "  ")
+                have[k].update(_terms(set(folded.split())))
                 rows[k] += 1
         # Terms of toxic texts only: others can't become part of the lexicon.
         names = [t for t in have[1]]
@@ -235,9 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
     sums_ = (F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # A task leaves out what its negatives alone have; their counts for shared terms are complete only if every task reports them,
     # so the few sampled rows are counted in one task: at most four times per_class texts.
+    lexicon = Lexicon({}, [f" {fold(p).strip()} " for p in exceptions], np.array([-5.0, 0.0, 0.0]))
     counted = sample.repartition(1).mapInArrow(count, schema).groupBy("term").agg(*sums_)
     n = next(((r.pos, r.neg) for r in counted.filter("term = ''").collect()), (0, 0))
-    lexicon = Lexicon({}, [f" {fold(p).strip()} " for p in exceptions], np.array([-5.0, 0.0, 0.0]))
     if not n[0]:
         return lexicon
     weight = F.log((F.col("pos") + 0.5) / (n[0] + 1)) - F.log((F.col("neg") + 0.5) / (n[1] + 1))
@@ -252,13 +256,15 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
         shorter = (lexicon.terms.get(f" {word[:k]}") for k in STEMS if k <= len(word) and f" {word[:k]}" != r.term)
         if not any(w is not None and w >= r.w - 1.0 for w in shorter):
             lexicon.terms[r.term] = float(r.w)
+    # Phrases are learned for well supported terms only: those of chance would turn their own negatives into exceptions.
+    sure = Lexicon({r.term: lexicon.terms[r.term] for r in rows if r.e >= ALONE_EVIDENCE and r.term in lexicon.terms}, [], lexicon.curve)
+    phrases = sample.repartition(1).mapInArrow(count_phrases(sure), schema).groupBy("term").agg(*sums_)
+    safe = phrases.filter(f"neg >= {SUPPORT} AND neg > 20 * pos").orderBy(F.desc("neg"), "term").limit(MOST_PHRASES).collect()
+    lexicon.exceptions += [r.term for r in safe]
     joint = _joint(sample, lexicon)
     usual = float(np.median(list(joint.values()) or [1.0]))
     alone = {r.term: 0.7 * usual for r in rows if r.w >= ALONE_WEIGHT and r.e >= ALONE_EVIDENCE and r.term in lexicon.terms}
     lexicon.terms = alone | joint
-    phrases = sample.repartition(1).mapInArrow(count_phrases(lexicon), schema).groupBy("term").agg(*sums_)
-    safe = phrases.filter(f"neg >= {SUPPORT} AND neg > 20 * pos").orderBy(F.desc("neg"), "term").limit(MOST_PHRASES).collect()
-    lexicon.exceptions += [r.term for r in safe]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = lexicon.automaton()
