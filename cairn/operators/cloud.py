@@ -188,6 +188,32 @@ def fit_plane(points: DataFrame, distance: float = 0.008, iterations: int = 2000
     return best.select("n", "nx", "ny", "nz", "d", "inliers", "inlier_ratio", "status")
 
 
+def fit_planes(points: DataFrame, key: str, distance: float = 0.008, iterations: int = 2000, min_inlier_ratio: float = 0.20, least: int = 200) -> DataFrame:
+    """fit_plane() for every group of a key at once: (key, n, nx, ny, nz, d, inliers, inlier_ratio, status)."""
+    numbered = points.select(key, *XYZ, (F.row_number().over(Window.partitionBy(key).orderBy("pid")) - 1).alias("i"))
+    sizes = points.groupBy(key).agg(F.count("*").alias("n"))
+    picks = ((7919, 13), (104729, 71), (1299709, 257))
+    h = sizes.filter(F.col("n") >= least).withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
+    h = h.select(key, "n", "h", *[((F.col("h") * a + b) % F.col("n")).alias(f"i{k}") for k, (a, b) in enumerate(picks)])
+    for k in range(3):
+        h = h.join(numbered.select(key, F.col("i").alias(f"i{k}"), *[F.col(c).alias(f"{c}{k}") for c in XYZ]), [key, f"i{k}"])
+    a = [F.col(f"{c}1") - F.col(f"{c}0") for c in XYZ]
+    b = [F.col(f"{c}2") - F.col(f"{c}0") for c in XYZ]
+    h = h.withColumns({"px": a[1] * b[2] - a[2] * b[1], "py": a[2] * b[0] - a[0] * b[2], "pz": a[0] * b[1] - a[1] * b[0]})
+    h = h.withColumn("_l", F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py") + F.col("pz") * F.col("pz"))).filter("_l > 1e-12")
+    h = h.withColumns({"nx": F.col("px") / F.col("_l"), "ny": F.col("py") / F.col("_l"), "nz": F.col("pz") / F.col("_l")})
+    h = h.select(key, "h", "nx", "ny", "nz", (-(F.col("nx") * F.col("x0") + F.col("ny") * F.col("y0") + F.col("nz") * F.col("z0"))).alias("d"))
+    # The iterations of a group are one array beside its points; every point adds to all counts of its task at once.
+    table = h.groupBy(key).agg(F.collect_list(F.struct("h", "nx", "ny", "nz", "d")).alias("hs"))
+    met = points.select(key, *XYZ).join(table, key).select(key, *XYZ, F.explode("hs").alias("p"))
+    near = F.abs(F.col("p.nx") * F.col("x") + F.col("p.ny") * F.col("y") + F.col("p.nz") * F.col("z") + F.col("p.d")) < distance
+    votes = met.groupBy(key, "p.h", "p.nx", "p.ny", "p.nz", "p.d").agg(F.count_if(near).alias("inliers"))
+    best = votes.groupBy(key).agg(F.max_by(F.struct("nx", "ny", "nz", "d", "inliers"), F.struct("inliers", -F.col("h"))).alias("b"))
+    out = sizes.join(best, key, "left").select(key, "n", "b.nx", "b.ny", "b.nz", "b.d", F.coalesce("b.inliers", F.lit(0)).alias("inliers"))
+    out = out.withColumn("inlier_ratio", F.col("inliers") / F.col("n"))
+    return out.withColumn("status", F.when(F.col("n") < least, "too_few_points").when(F.col("inlier_ratio") < min_inlier_ratio, "inlier_ratio_too_small").otherwise("ok"))
+
+
 def preprocess(points: DataFrame, keys: Sequence[str], voxel: float, outliers: bool = True, k: int = 20, std_ratio: float = 2.0) -> DataFrame:
     """Points thinned to voxel means (if voxel > 0, with new pids), then without outliers where a group has more than 50."""
     out = points

@@ -70,9 +70,14 @@ def band(a: DataFrame, b: DataFrame, keys: Sequence[str], h: int, w: int, size:
     return dilate(a, keys, k, h, w).join(dilate(b, keys, k, h, w), [*keys, *UV], "left_semi")
 
 
-def complement(mask: DataFrame, h: int, w: int) -> DataFrame:
-    """The background of one frame's mask."""
-    return grid(mask.sparkSession, h, w).join(mask.select(*UV), list(UV), "left_anti")
+def complement(mask: DataFrame, h: int, w: int, keys: Sequence[str] = (), frames: DataFrame | None = None) -> DataFrame:
+    """The background of a mask; with keys, of the mask of every frame of `frames` (by default those that have a mask pixel)."""
+    if not keys:
+        return grid(mask.sparkSession, h, w).join(mask.select(*UV), list(UV), "left_anti")
+    frames = (frames if frames is not None else mask).select(*keys).distinct()
+    every = frames.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(h * w - 1))))
+    every = every.select(*keys, (F.col("_i") % w).cast("int").alias("u"), F.expr(f"CAST(_i DIV {w} AS INT)").alias("v"))
+    return every.join(mask.select(*keys, *UV), [*keys, *UV], "left_anti")
 
 
 def pixel_components(mask: DataFrame, keys: Sequence[str], w: int, neighbours: int = 8, depth: str | None = None, step: float = 0.01, frame: Column | None = None, h: int = 4096) -> DataFrame:
@@ -115,16 +120,19 @@ def largest_ratio(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return areas(labels, keys).groupBy(*keys).agg(F.count("*").alias("parts"), (F.max("area") / F.sum("area")).alias("ratio"))
 
 
-def fill_holes(mask: DataFrame, h: int, w: int) -> DataFrame:
-    """One frame's mask with every background pixel that pixel (0, 0) can't reach over 4 neighbours.
+def fill_holes(mask: DataFrame, h: int, w: int, key: str | None = None) -> DataFrame:
+    """A mask with every background pixel that pixel (0, 0) can't reach over 4 neighbours; with a key (a frame's number), of every frame.
 
     If (0, 0) is foreground there is no outside to start from, and the mask stays as it is.
     """
-    back = complement(mask, h, w)
-    labels = pixel_components(back, [], w, 4)
-    corner = mask.filter("u = 0 AND v = 0").select(F.lit(1).alias("_c"))
-    holes = labels.filter("label <> 0").select(*UV).join(corner, how="left_anti", on=F.lit(True))
-    return mask.select(*UV).union(holes).distinct()
+    keys = [key] if key else ["_k"]
+    m = mask if key else mask.withColumn("_k", F.lit(0).cast("long"))
+    open_ = m.select(*keys).distinct().join(m.filter("u = 0 AND v = 0").select(*keys), keys, "left_anti")
+    back = complement(m.join(open_, keys, "left_semi"), h, w, keys, open_)
+    labels = pixel_components(back, keys, w, 4, frame=F.col(keys[0]), h=h)
+    holes = labels.filter(F.col("label") != F.col(keys[0]) * (h * w)).select(*keys, *UV)
+    out = m.select(*keys, *UV).union(holes).distinct()
+    return out if key else out.select(*UV)
 
 
 def stencil(image: DataFrame, keys: Sequence[str], value: str, weights: dict[str, dict[tuple[int, int], float]]) -> DataFrame:

@@ -593,3 +593,125 @@ def overlay(spark, sf_dir):
     p = p.join(F.broadcast(ends)).join(fx.mask(spark, sf_dir).withColumn("m", F.lit(255)), ["u", "v"], "left")
     grey = exprs.clip((F.col("depth_u16") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6) * 255, 0.0, 255.0)
     return p.select("u", "v", F.round(0.65 * grey + 0.35 * F.coalesce("m", F.lit(0)), 6).alias("shade"))
+
+
+# Kernels, folds and compositions
+
+
+def _observed(spark, sf_dir) -> DataFrame:
+    e = fx.table(spark, sf_dir, "events")
+    return e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("shape"), (F.col("value") >= 20).alias("sure")))).alias("c"))
+
+
+@query(
+    """WITH o AS (SELECT user_id, event_type AS c, value >= 20 AS sure, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, i, c AS shape, CAST(NULL AS VARCHAR) AS pending, 0 AS n, 0 AS switches FROM o WHERE i = 1
+UNION ALL SELECT o.user_id, o.i,
+CASE WHEN o.c = f.shape OR NOT o.sure THEN f.shape WHEN (CASE WHEN f.pending = o.c THEN f.n + 1 ELSE 1 END) >= 3 THEN o.c ELSE f.shape END,
+CASE WHEN o.c = f.shape THEN NULL WHEN NOT o.sure THEN f.pending WHEN (CASE WHEN f.pending = o.c THEN f.n + 1 ELSE 1 END) >= 3 THEN NULL ELSE o.c END,
+CASE WHEN o.c = f.shape THEN 0 WHEN NOT o.sure THEN f.n WHEN (CASE WHEN f.pending = o.c THEN f.n + 1 ELSE 1 END) >= 3 THEN 0 WHEN f.pending = o.c THEN f.n + 1 ELSE 1 END,
+CASE WHEN o.c <> f.shape AND o.sure AND (CASE WHEN f.pending = o.c THEN f.n + 1 ELSE 1 END) >= 3 THEN f.switches + 1 ELSE f.switches END
+FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT user_id, arg_max(shape, i) AS shape, arg_max(switches, i) AS switches, arg_max(n, i) AS pending_count FROM f GROUP BY user_id""",
+    recursive=True,
+)
+def confirm_switch(spark, sf_dir):
+    """The shape of every track after its observations, another shape being taken over when it was seen three times."""
+    from ..streaming.tracks import confirm_fold
+
+    s = _observed(spark, sf_dir).select("user_id", confirm_fold(F.col("c")).alias("s"))
+    return s.select("user_id", "s.shape", "s.switches", F.col("s.count").alias("pending_count"))
+
+
+@query()
+def infer_geometry(spark, sf_dir):
+    """Box, sphere or cylinder for every object."""
+    from ..operators import objects
+
+    return objects.infer_geometry(fx.points(spark, sf_dir), None, OBJ, 30)
+
+
+@query()
+def initial_geometry(spark, sf_dir):
+    """The cautious first geometry of every object."""
+    from ..operators import objects
+
+    return objects.initial_geometry(fx.points(spark, sf_dir), OBJ)
+
+
+@query()
+def meshes(spark, sf_dir):
+    """Vertices and faces of every object's first geometry."""
+    from ..operators import objects
+
+    return objects.meshes(objects.initial_geometry(fx.points(spark, sf_dir), OBJ), OBJ)
+
+
+@query()
+def contour_features(spark, sf_dir):
+    """Outline of the mask of every line number."""
+    from ..operators import objects
+
+    rows = fx.table(spark, sf_dir, "lineitem").filter("l_quantity <= 10").selectExpr("l_linenumber", f"CAST(l_orderkey % {W} AS INT) AS u", f"CAST((l_partkey * 31 + l_suppkey) % {H} AS INT) AS v").distinct()
+    return objects.mask_features(rows, ["l_linenumber"])
+
+
+@query()
+def min_area_rect(spark, sf_dir):
+    """The rotated rectangle of every object's x, y."""
+    from ..operators import objects
+
+    return objects.rectangle_fits(fx.points(spark, sf_dir), OBJ)
+
+
+@query()
+def projection_shapes(spark, sf_dir):
+    """Circle or rectangle for the principal views of every object."""
+    from ..operators import objects
+
+    return objects.view_labels(fx.points(spark, sf_dir), OBJ)
+
+
+@query()
+def watershed(spark, sf_dir):
+    """Parts of a mask by the watershed."""
+    from ..operators import objects
+
+    p = fx.pixels(spark, sf_dir).filter("depth_u16 <= 400").selectExpr("1 AS obj", "u", "v", "depth_u16 % 256 AS r", "u % 256 AS g", "v % 256 AS b")
+    return objects.watershed(p, OBJ, 0.38, 10)
+
+
+@query()
+def voronoi_split(spark, sf_dir):
+    """A mask cut at the nearer of its two broadest places."""
+    return raster.voronoi_split(fx.mask(spark, sf_dir, 200), H, W, 0.45, 1, 10)
+
+
+@query()
+def denoise_fused(spark, sf_dir):
+    """Fused clouds without outliers and small clusters."""
+    from ..operators import objects
+
+    return objects.denoise(fx.points(spark, sf_dir), OBJ, "large", voxel=0.05, k=5)
+
+
+@query()
+def split_neck(spark, sf_dir):
+    """Objects refined by the secondary split."""
+    from ..config import SplitConfig
+    from ..functions.split import Camera
+    from ..operators import objects
+
+    p = fx.points(spark, sf_dir).withColumn("z", F.col("z") + 1.0)
+    masks = exprs.project_trunc(p, K, H, W).select("obj", "u", "v").distinct()
+    return objects.refine(p.select("obj", "pid", *XYZ), masks, None, OBJ, [], Camera(K, H, W), SplitConfig(min_points=30, min_points_each=5, min_mask_area=3, voxel=0.0, min_density=1.0, radius=0.2))
+
+
+@query()
+def track_objects(spark, sf_dir):
+    """Tracks over keyframes: each object label is a keyframe's object, a tenth of its points a keyframe."""
+    from ..config import StateConfig
+    from ..streaming.tracks import observations_of, track_batch
+
+    p = fx.points(spark, sf_dir).selectExpr("'r' AS rec_id", "CAST(pid % 3 AS INT) AS keyframe_index", "CAST(obj AS INT) AS local_id", "pid", *XYZ, "r", "g", "b")
+    return track_batch(observations_of(p), StateConfig(min_points=5), fixed=True)

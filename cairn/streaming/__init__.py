@@ -1 +1 @@
-"""Part of Cairn; see README.md."""
+"""Stateful operators over keyframes, as batch folds and as Structured Streaming."""
