@@ -67,6 +67,14 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(*parts).alias("_k1"), F.hash(*parts).alias("_k2")]
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is a table as written, or a selection of its columns and rows: every reading then finds the same rows in the same order."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" or plan.getClass().getSimpleName() == "LogicalRelation"
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows allow that; otherwise Spark shuffles or splits as it sees fit."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -13,9 +13,9 @@ A shard file is:
 - a last record: MAGIC, shard, data records, sequences, filled up with zeros.
 Each record is followed by one byte, a line feed, which belongs to the stride.
 
-Scale. One shuffle, of whole texts, by shard. The positions of rows come from row counts of the input's partitions; docs must
-therefore be a table as written (a scan, or columns of one), which every task finds again in the same order. A lost
-executor's tasks are run again with the same outcome.
+Scale. One shuffle, of whole texts, by shard. The positions of rows come from row counts of the input's partitions. These hold only for
+a table as written (a scan, or columns of one), which every task finds again in the same order; other input is written to
+a table in the shared folder first. A lost executor's tasks are run again with the same outcome.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare, texts_of
+from .common import Scratch, is_scan, prepare, texts_of
 
 SEQUENCE = 1024
 #: Bytes of text for one shard.
@@ -119,6 +119,8 @@ def write(docs: DataFrame, path: str, key: int = 20240229, doc_id: str = "doc_id
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if not is_scan(rows):
+        rows = Scratch(spark, "training-input").cut(rows, "rows")
     counts = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b")).collect()
     base, total = {}, 0
     for r in sorted(counts, key=lambda r: r.p):  # a number for each partition, not for each row

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, langid, mixing, secrets, sharding, simhash, spotsigs, toxicity, training_order, warc
-from cairn.llm.common import Scratch, is_held_out
+from cairn.llm.common import Scratch, is_held_out, is_scan
 from cairn.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -302,6 +302,12 @@ def test_shards_round_trip(spark, docs, texts, odd, empty):
     assert training_order.materialise(empty).count() == 0
 
 
+def test_other_input_than_a_scan_is_written_first(spark, docs):
+    assert is_scan(docs) and is_scan(docs.select("doc_id").filter("doc_id > 3")) and not is_scan(docs.orderBy("text"))
+    got = training_order.materialise(docs.repartition(5).withColumn("x", F.rand())).collect()
+    assert sorted(r.slot for r in got) == list(range(docs.count())) and all(r.crc_ok for r in got)
+
+
 # Sharding
 
 
