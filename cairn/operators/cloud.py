@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import XYZ
+from ..plans.lineage import cut
 from .graph import components
 
 _OFFSETS = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
@@ -48,35 +49,46 @@ def _square() -> Column:
     return out
 
 
-def near_pairs(points: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
-    """(keys, a, b, d2) for all pairs a < b of a group at most radius apart."""
+def _met(probe: DataFrame, points: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
+    """(keys, a, b, d2): for every probe a the points b of its group within the radius, itself left out."""
     cell = [F.floor(F.col(c) / radius).alias(f"i{c}") for c in XYZ]
     own = points.select(*keys, "pid", *XYZ, *cell)
     offsets = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(n) for v, n in zip(o, ("dx", "dy", "dz"), strict=True)]) for o in _OFFSETS])
-    around = own.withColumn("o", F.explode(offsets))
+    around = probe.select(*keys, "pid", *XYZ, *cell).withColumn("o", F.explode(offsets))
     around = around.select(*keys, "pid", *XYZ, *[(F.col(f"i{c}") + F.col(f"o.d{c}")).alias(f"i{c}") for c in XYZ])
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col(f"a.i{c}") == F.col(f"b.i{c}") for c in XYZ]
-    met = around.alias("a").join(own.alias("b"), on).filter("a.pid < b.pid").withColumn("d2", _square())
+    met = around.alias("a").join(own.alias("b"), on).filter("a.pid <> b.pid").withColumn("d2", _square())
     return met.filter(F.col("d2") <= radius * radius).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.pid").alias("a"), F.col("b.pid").alias("b"), "d2")
 
 
+def near_pairs(points: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
+    """(keys, a, b, d2) for all pairs a < b of a group at most radius apart."""
+    return _met(points, points, keys, radius).filter("a < b")
+
+
 def nearest(points: DataFrame, keys: Sequence[str], k: int, radius: float) -> DataFrame:
-    """(keys, pid, kth, mean): distance to the k-th neighbour and the mean distance to the first k, within the radius.
+    """(keys, pid, kth, mean): distance to the k-th neighbour and the mean distance to the first k.
 
-    A point with fewer than k neighbours there is searched for again over its whole group, so the result doesn't depend on
-    the radius, which only sets the cost. With fewer than k other points in the group all of them count; an isolated point has 1e6.
+    Points that have fewer than k neighbours within the radius are searched for again within twice the radius, until the radius
+    covers their group, so the result doesn't depend on it; it only sets the cost. With fewer than k other points in the group all of them
+    count; an isolated point has 1e6.
     """
-    half = near_pairs(points, keys, radius)
-    both = half.union(half.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "d2"))
-    enough = both.groupBy(*keys, "a").count().filter(F.col("count") >= k).select(*keys, F.col("a").alias("pid"))
-    short = points.join(enough, [*keys, "pid"], "left_anti")
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys] + [F.col("a.pid") != F.col("b.pid")]
-    far = short.alias("a").join(points.alias("b"), on).withColumn("d2", _square())
-    far = far.select(*[F.col(f"a.{c}").alias(c) for c in keys], F.col("a.pid").alias("a"), F.col("b.pid").alias("b"), "d2")
-    met = both.join(enough.withColumnRenamed("pid", "a"), [*keys, "a"], "left_semi").union(far)
-    rank = F.row_number().over(Window.partitionBy(*keys, "a").orderBy("d2", "b"))
-    got = met.withColumn("_r", rank).filter(F.col("_r") <= k).groupBy(*keys, F.col("a").alias("pid")).agg(F.sqrt(F.max("d2")).alias("kth"), F.avg(F.sqrt("d2")).alias("mean"))
-    return points.select(*keys, "pid").join(got, [*keys, "pid"], "left").select(*keys, "pid", F.coalesce("kth", F.lit(1e6)).alias("kth"), F.coalesce("mean", F.lit(1e6)).alias("mean"))
+    widest = points.groupBy(*keys).agg(F.greatest(*[F.max(c) - F.min(c) for c in XYZ]).alias("w")).agg(F.max("w")).first()[0]
+    probe, found = points.select(*keys, "pid", *XYZ), None
+    rank = Window.partitionBy(*keys, "a").orderBy("d2", "b")
+    while True:
+        last = radius >= 2 * (widest or 0.0)  # every pair of a group is then within the radius
+        met = _met(probe, points, keys, radius).withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= k)
+        got = met.groupBy(*keys, F.col("a").alias("pid")).agg(F.count("*").alias("_n"), F.sqrt(F.max("d2")).alias("kth"), F.avg(F.sqrt("d2")).alias("mean"))
+        got = cut(got if last else got.filter(F.col("_n") >= k))
+        found = got if found is None else found.unionByName(got)
+        if last:
+            break
+        probe = cut(probe.join(got.select(*keys, "pid"), [*keys, "pid"], "left_anti"))
+        if probe.isEmpty():
+            break
+        radius *= 2
+    return points.select(*keys, "pid").join(found, [*keys, "pid"], "left").select(*keys, "pid", F.coalesce("kth", F.lit(1e6)).alias("kth"), F.coalesce("mean", F.lit(1e6)).alias("mean"))
 
 
 def local_density(neighbours: DataFrame) -> DataFrame:
@@ -237,6 +249,21 @@ def extent_check(points: DataFrame, keys: Sequence[str], n: Sequence[float], d:
     return g.withColumn("ok", F.expr(f"max_extent >= {low} AND max_extent <= {high} AND height_extent <= {max_height} AND median_height >= {min_median}"))
 
 
+def segment_points(points: DataFrame, thickness: float, distance: float = 0.008, iterations: int = 2000, min_inlier_ratio: float = 0.20, up: Sequence[float] | None = None, only_above: bool = False) -> DataFrame:
+    """Points off the table: those farther from the fitted plane than its thickness, or above it by that much; all points where no plane is found."""
+    plane = fit_plane(points, distance, iterations, min_inlier_ratio, up=up)
+    q = points.join(F.broadcast(plane.select("nx", "ny", "nz", "d", "status")))  # one row
+    s = F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") + F.col("d")
+    off = s > thickness if only_above and up is not None else F.abs(s) > thickness
+    return q.filter((F.col("status") != "ok") | off).drop("nx", "ny", "nz", "d")
+
+
+def merged_candidates(clusters: DataFrame, keys: Sequence[str], points: int = 1200, area: int = 2500, side: int = 120) -> DataFrame:
+    """Clusters (keys, n, area, min_u, max_u, min_v, max_v) with `suspicious`: large enough to be several objects."""
+    longest = F.greatest(F.col("max_u") - F.col("min_u"), F.col("max_v") - F.col("min_v")) + 1
+    return clusters.withColumn("suspicious", (F.col("n") >= points) | (F.col("area") >= area) | (longest >= side))
+
+
 def gap(a: DataFrame, b: DataFrame, most: int = 300) -> DataFrame:
     """One row `gap`: the least distance between samples of two clouds, `most` points each, chosen by hash; 1e9 if one is empty.
 

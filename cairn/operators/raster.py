@@ -166,6 +166,23 @@ def smooth(depth: DataFrame, keys: Sequence[str], value: str = "depth") -> DataF
     return out.withColumn(value, F.when(F.col(value) > 0, F.col("_s")).otherwise(F.col(value))).drop("_s")
 
 
+def height_view(heights: DataFrame, keys: Sequence[str], value: str = "height") -> DataFrame:
+    """Heights of masks as 0 to 255: clipped to their 5th to 99th percentile, spread, smoothed; a flat mask is 255 throughout."""
+    e = heights.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.99))).alias("_e"))
+    q = heights.join(e, list(keys)) if keys else heights.join(F.broadcast(e))
+    lo, hi = F.col("_e")[0], F.col("_e")[1]
+    level = F.when(hi - lo < 1e-9, F.lit(255.0)).otherwise(F.floor((F.least(F.greatest(F.col(value), lo), hi) - lo) / F.greatest(hi - lo, F.lit(1e-9)) * 255).cast("double"))
+    q = q.select(*keys, *UV, level.alias("level"), (hi - lo < 1e-9).alias("_flat"))
+    w = {(du, dv): GAUSS[du + 2] * GAUSS[dv + 2] for du in range(-2, 3) for dv in range(-2, 3)}
+    s = stencil(q, keys, "level", {"_s": w})
+    return s.select(*keys, *UV, F.when(F.col("_flat"), F.col("level")).otherwise(F.col("_s")).alias("level"))
+
+
+def check_depth(depth: DataFrame, keys: Sequence[str], h: int, w: int) -> DataFrame:
+    """(keys, ok): whether a depth image has every pixel of its frame once and none beside."""
+    return depth.groupBy(*keys).agg((F.count("*") == h * w).alias("_a"), (F.countDistinct("u", "v") == h * w).alias("_b"), F.expr(f"min(u) >= 0 AND max(u) < {w} AND min(v) >= 0 AND max(v) < {h}").alias("_c")).select(*keys, F.expr("_a AND _b AND _c").alias("ok"))
+
+
 def boundary_score(a: DataFrame, b: DataFrame, full: DataFrame, gradient_map: DataFrame, h: int, w: int, size: int = 7) -> DataFrame:
     """One row `score`: the depth gradient where two masks meet against that of the whole mask; 0 with fewer than 20 pixels."""
     line = band(a, b, [], h, w, size).join(full.select(*UV), list(UV), "left_semi").join(gradient_map, list(UV))

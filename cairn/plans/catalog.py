@@ -406,10 +406,6 @@ def hole_fill(spark, sf_dir):
     return raster.fill_holes(m, H, W)
 
 
-def _sql_stencil(weights: dict[tuple[int, int], float], value: str = "d") -> str:
-    return " + ".join(f"{w!r} * coalesce((SELECT {value} FROM s q WHERE q.u = p.u + {du} AND q.v = p.v + {dv}), 0)" for (du, dv), w in weights.items())
-
-
 _SRC = "s AS (SELECT u, v, CAST(depth_u16 AS DOUBLE) * 0.001 AS d FROM v_pixels)"
 
 
@@ -488,6 +484,47 @@ def split_by_masks(spark, sf_dir):
     return raster.split_points(p, d.filter("depth_u16 <= 60").select("u", "v"), d.filter("depth_u16 BETWEEN 40 AND 100").select("u", "v")).select("pid", "side")
 
 
+@query(f"WITH p AS (SELECT u, v, CAST(depth_u16 AS DOUBLE) * 0.001 AS h FROM v_pixels), e AS (SELECT quantile_cont(h, 0.05) AS lo, quantile_cont(h, 0.99) AS hi FROM p), s AS (SELECT u, v, floor((least(greatest(h, lo), hi) - lo) / (hi - lo) * 255) AS d FROM p, e), {_sql_sums({'g': _GAUSS})} SELECT u, v, round(g, 6) + 0.0 AS level FROM t")
+def height_view(spark, sf_dir):
+    """Heights spread to 0 to 255 and smoothed."""
+    p = fx.pixels(spark, sf_dir).select("u", "v", (F.col("depth_u16").cast("double") * SCALE).alias("height"))
+    return raster.height_view(p, []).select("u", "v", *_r("level"))
+
+
+@query("SELECT count(*) = 3072 AND count(DISTINCT (u, v)) = 3072 AND min(u) >= 0 AND max(u) < 64 AND min(v) >= 0 AND max(v) < 48 AS ok FROM v_pixels")
+def check_depth(spark, sf_dir):
+    """Whether the depth image is whole."""
+    return raster.check_depth(fx.pixels(spark, sf_dir), [], H, W)
+
+
+@query(f"WITH a AS (SELECT u, v FROM v_pixels WHERE depth_u16 <= 40), b AS (SELECT u, v FROM v_pixels WHERE depth_u16 BETWEEN 60 AND 200), f AS (SELECT u, v FROM a UNION SELECT u, v FROM b), {_SRC}, {_sql_sums({'gx': _GX, 'gy': _GY})}, g AS (SELECT u, v, sqrt(gx * gx + gy * gy) AS grad FROM t), {_sql_dilate('da', 'a', _S3)}, {_sql_dilate('db', 'b', _S3)}, l AS (SELECT grad FROM da JOIN db USING (u, v) JOIN f USING (u, v) JOIN g USING (u, v)) SELECT round(CASE WHEN (SELECT count(*) FROM l) < 20 THEN 0.0 ELSE (SELECT 0.5 * avg(grad) + 0.5 * quantile_cont(grad, 0.9) FROM l) / ((SELECT avg(grad) FROM f JOIN g USING (u, v)) + 1e-6) END, 6) AS score")
+def boundary_score(spark, sf_dir):
+    """Depth steps where two masks meet, against those of the whole."""
+    p = fx.pixels(spark, sf_dir)
+    a, b = p.filter("depth_u16 <= 40").select("u", "v"), p.filter("depth_u16 BETWEEN 60 AND 200").select("u", "v")
+    return raster.boundary_score(a, b, a.union(b).distinct(), raster.gradient(_depth(spark, sf_dir), []), H, W, 3).select(*_r("score"))
+
+
+@query(_HYP.replace("SELECT (SELECT n FROM cnt) AS n, round(nx", ", best AS (SELECT nx, ny, nz, d FROM vot ORDER BY inliers DESC, h LIMIT 1) SELECT pid FROM v_points, best WHERE abs(nx * x + ny * y + nz * z + d) > 0.05 -- ").split(" -- ")[0])
+def segment_points(spark, sf_dir):
+    """Points off the fitted plane."""
+    return cloud.segment_points(fx.points(spark, sf_dir), 0.05, 0.05, 200, 0.05).select("pid")
+
+
+@query("SELECT obj, count(*) AS n, min(pid) AS min_u, max(pid) AS max_u, (count(*) >= 50 OR max(pid) - min(pid) + 1 >= 490) AS suspicious FROM v_points GROUP BY obj")
+def merged_candidates(spark, sf_dir):
+    """Objects that are large enough to be several."""
+    g = fx.points(spark, sf_dir).groupBy("obj").agg(F.count("*").alias("n"), F.lit(0).alias("area"), F.min("pid").alias("min_u"), F.max("pid").alias("max_u"), F.lit(0).alias("min_v"), F.lit(0).alias("max_v"))
+    return cloud.merged_candidates(g, OBJ, 50, 2500, 490).select("obj", "n", "min_u", "max_u", "suspicious")
+
+
+@query("SELECT obj, view, CASE view WHEN 'p12' THEN 'z' WHEN 'p13' THEN 'y' ELSE 'x' END AS axis, view = 'p23' AS along_x FROM (SELECT DISTINCT obj FROM v_points), (VALUES ('p12'), ('p13'), ('p23')) t(view)")
+def view_axes(spark, sf_dir):
+    """The axis that each view of every object looks along."""
+    v = fx.points(spark, sf_dir).select("obj").distinct().withColumn("view", F.explode(F.array(F.lit("p12"), F.lit("p13"), F.lit("p23"))))
+    return v.withColumn("axis", exprs.projection_axis("view")).withColumn("along_x", exprs.axis_vector("axis")[0] == 1.0)
+
+
 # Scores, windows and folds
 
 
