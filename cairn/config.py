@@ -11,7 +11,7 @@ class TableConfig:
 
     voxel: float = 0.005
     remove_outliers: bool = True
-    neighbours: int = 20
+    neighbours: int = 30
     std_ratio: float = 2.0
     distance: float = 0.008
     iterations: int = 2000
@@ -26,20 +26,22 @@ class TableConfig:
 class MaskConfig:
     """Masks of the objects on the table."""
 
+    band: float = 0.012
     close: int = 21
     dilate: int = 3
-    table_min_area: int = 5000
     table_erode: int = 21
-    clearance: float = 0.008
-    max_distance: float = 0.40
+    table_min_area: int = 5000
+    clearance: float = 0.015
+    max_distance: float = 0.60
     open_objects: int = 3
     close_objects: int = 3
-    min_component_area: int = 80
+    dilate_objects: int = 1
+    min_component_area: int = 400
     eps: float = 0.015
     min_samples: int = 80
     min_cluster_points: int = 200
     object_close: int = 3
-    object_dilate: int = 3
+    object_dilate: int = 1
     min_object_area: int = 200
     min_extent: float = 0.01
     max_extent: float = 0.50
@@ -50,10 +52,10 @@ class MaskConfig:
     merged_side: int = 120
     peak_ratio: float = 0.38
     min_peak_area: int = 300
-    bottom_band: float = 0.015
+    bottom_band: float = 0.02
     min_bottom_pixels: int = 80
     min_inside_ratio: float = 0.60
-    edge_margin: int = 10
+    edge_margin: int = 12
     edge_min_inside_ratio: float = 0.75
     min_final_points: int = 150
 
@@ -96,9 +98,14 @@ class StateConfig:
     """Tracks over keyframes."""
 
     min_points: int = 50
+    voxel: float = 0.003
+    neighbours: int = 20
+    geometry_neighbours: int = 30
+    std_ratio: float = 1.5
     geometry_min_points: int = 180
     geometry_min_accumulated: int = 200
     confirmations: int = 3
+    least_confidence: str = "medium"
     match_distance: float = 0.10
     update_templates: bool = False
 
@@ -111,12 +118,15 @@ class FusionConfig:
     max_keyframes: int = 300
     match_distance: float = 0.10
     voxel: float = 0.003
+    neighbours: int = 30
+    std_ratio: float = 1.5
+    eps: float = 0.012
+    min_samples: int = 20
     keep_cluster_ratio: float = 0.15
 
 
-VIDEO_TABLE = TableConfig()
-FUSION_TABLE = replace(TableConfig(), remove_outliers=False, distance=0.01, iterations=3000, min_inlier_ratio=0.10, thickness=0.012)
+#: The runners' settings: all fit the plane alike; the fusion runner asks less support of a mask, the refining one keeps smaller objects too.
+RUNNER_TABLE = replace(TableConfig(), remove_outliers=False, distance=0.01, iterations=3000, min_inlier_ratio=0.10, thickness=0.012)
 VIDEO_MASK = replace(MaskConfig(), min_object_area=400)
 FUSION_MASK = replace(VIDEO_MASK, object_close=5, min_bottom_pixels=40, min_inside_ratio=0.45, edge_min_inside_ratio=0.60)
-REFINED_TABLE = VIDEO_TABLE
 REFINED_MASK = replace(FUSION_MASK, table_erode=9, min_cluster_points=150)

@@ -101,7 +101,7 @@ def dbscan(p: np.ndarray, eps: float, least: int) -> np.ndarray:
     return label
 
 
-def denoise(p: np.ndarray, voxel: float = 0.003, k: int = 20, std_ratio: float = 1.5, keep: str = "largest", ratio: float = 0.15) -> np.ndarray:
+def denoise(p: np.ndarray, voxel: float = 0.003, k: int = 20, std_ratio: float = 1.5, keep: str = "largest", ratio: float = 0.15, eps: float | None = None, least: int | None = None) -> np.ndarray:
     """Voxel means, without statistical outliers, and of the density clusters the largest, those of at least ratio times its size, or all."""
     p = voxel_mean(p, voxel)
     if len(p) > k:
@@ -109,7 +109,7 @@ def denoise(p: np.ndarray, voxel: float = 0.003, k: int = 20, std_ratio: float =
         p = p[mean <= mean.mean() + std_ratio * mean.std(ddof=1)]
     if keep == "all" or not len(p):
         return p
-    label = dbscan(p, max(3 * voxel, 0.008), max(10, min(k, 20)))
+    label = dbscan(p, eps or max(3 * voxel, 0.008), least or max(10, min(k, 20)))
     ids, n = np.unique(label[label >= 0], return_counts=True)
     if not len(ids):
         return p

@@ -46,11 +46,11 @@ def oriented(planes: DataFrame, xyz: DataFrame, table: DataFrame, cfg: MaskConfi
     return q.withColumns({c: F.col(c) * F.col("_side") for c in ("nx", "ny", "nz", "d")}).drop("_up", "_down", "_side")
 
 
-def table_masks(xyz: DataFrame, planes: DataFrame, k: Sequence[float], h: int, w: int, table: TableConfig, cfg: MaskConfig) -> DataFrame:
+def table_masks(xyz: DataFrame, planes: DataFrame, k: Sequence[float], h: int, w: int, cfg: MaskConfig) -> DataFrame:
     """Pixels of the table: those in the plane's band, closed, dilated, with holes filled; the largest part if it is large enough."""
     from ..functions.exprs import project_trunc
 
-    band = xyz.filter("z > 1e-6").join(planes, FID).filter(F.abs(signed_height()) <= table.thickness)
+    band = xyz.filter("z > 1e-6").join(planes, FID).filter(F.abs(signed_height()) <= cfg.band)
     seen = project_trunc(band.select("fid", *XYZ), k, h, w).select("fid", "u", "v").distinct()
     m = raster.dilate(raster.close(seen, FID, raster.ellipse(cfg.close), h, w), FID, raster.ellipse(cfg.dilate), h, w)
     m = raster.fill_holes(cut(m), h, w, "fid")
@@ -64,6 +64,8 @@ def object_pixels(xyz: DataFrame, table: DataFrame, planes: DataFrame, h: int, w
     up = xyz.filter("z > 1e-6").join(inner, ["fid", "u", "v"], "left_semi").join(planes, FID)
     m = up.filter(signed_height().between(cfg.clearance, cfg.max_distance)).select("fid", "u", "v")
     m = raster.close(raster.open_(m, FID, raster.ellipse(cfg.open_objects), h, w), FID, raster.ellipse(cfg.close_objects), h, w)
+    if cfg.dilate_objects > 1:
+        m = raster.dilate(m, FID, raster.ellipse(cfg.dilate_objects), h, w)
     parts = raster.pixel_components(cut(m), FID, w, frame=F.col("fid"), h=h)
     return raster.remove_small(parts, FID, cfg.min_component_area).select("fid", "u", "v")
 
@@ -76,7 +78,7 @@ def segment(pixels: DataFrame, k: Sequence[float], h: int, w: int, scale: float
     thin = cut(cloud.preprocess(valid, FID, table.voxel, table.remove_outliers, table.neighbours, table.std_ratio))
     planes = cut(cloud.fit_planes(thin, "fid", table.distance, table.iterations, table.min_inlier_ratio))
     good = planes.filter("status = 'ok'").select("fid", "nx", "ny", "nz", "d")
-    on_table = cut(table_masks(xyz, good, k, h, w, table, cfg))
+    on_table = cut(table_masks(xyz, good, k, h, w, cfg))
     good = cut(oriented(good, xyz.filter("z > 1e-6"), on_table, cfg))
     above = cut(object_pixels(xyz, on_table, good, h, w, cfg))
     cloud_px = xyz.join(above, ["fid", "u", "v"], "left_semi")
@@ -160,7 +162,7 @@ def fuse(points: DataFrame, events: DataFrame, cfg: FusionConfig | None = None)
     thin = cloud.voxel_mean(named, ["rec_id", "global_id"], cfg.voxel)
     order = _order("global_id", "rec_id", "ix", "iy", "iz")
     thin = thin.withColumn("pid", F.row_number().over(order).cast("long")).select("rec_id", "global_id", "pid", *XYZ)
-    return objects.denoise(thin, ["rec_id", "global_id"], "large", voxel=0.0, ratio=cfg.keep_cluster_ratio)
+    return objects.denoise(thin, ["rec_id", "global_id"], "large", voxel=0.0, k=cfg.neighbours, std_ratio=cfg.std_ratio, ratio=cfg.keep_cluster_ratio, eps=cfg.eps, least=cfg.min_samples)
 
 
 def run(pixels: DataFrame, frames: DataFrame, k: Sequence[float], h: int, w: int, scale: float = 0.001, table: TableConfig | None = None, mask: MaskConfig | None = None, fixed: bool = True) -> tuple[Segmented, DataFrame, DataFrame]:

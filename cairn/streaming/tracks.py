@@ -98,10 +98,10 @@ def _update_geometry(track: Track, cfg: StateConfig) -> str | None:
     if track.geometry is None or len(track.points) < max(cfg.geometry_min_accumulated, cfg.min_points):
         return None
     least = max(cfg.geometry_min_points, cfg.min_points)
-    p = denoise(track.points, keep="all")
+    p = denoise(track.points, cfg.voxel, cfg.geometry_neighbours, cfg.std_ratio, "all")
     if len(p) < least:
         return None
-    return confirm(track, shapes.infer(p, track.geometry, least), cfg.confirmations)
+    return confirm(track, shapes.infer(p, track.geometry, least), cfg.confirmations, cfg.least_confidence)
 
 
 def fold_keyframe(state: State, rec: str, keyframe: int, rows: list[dict], cfg: StateConfig, fixed: bool, voxel: float) -> list[dict]:
@@ -135,7 +135,7 @@ def fold_keyframe(state: State, rec: str, keyframe: int, rows: list[dict], cfg:
     else:
         ids = [None] * len(usable)
     for row, g in zip(usable, ids, strict=True):
-        p, colour = denoise(row["points"], keep="all"), row["colour"]
+        p, colour = denoise(row["points"], cfg.voxel, cfg.neighbours, cfg.std_ratio, "all"), row["colour"]
         if g == -1:
             tell(row, -1, "global_id_is_minus_one")
             continue

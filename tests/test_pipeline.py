@@ -30,7 +30,7 @@ def scene(objects, fid=1):
 
 
 TABLE = TableConfig(voxel=0.0, remove_outliers=False, iterations=40, min_inlier_ratio=0.2, thickness=0.008)
-MASK = MaskConfig(close=3, dilate=3, table_min_area=500, table_erode=1, min_component_area=20, eps=0.03, min_samples=10, min_cluster_points=40, min_object_area=40, merged_points=100000, merged_area=100000, bottom_band=0.03, min_bottom_pixels=5, min_inside_ratio=0.0, edge_min_inside_ratio=0.0, edge_margin=1, min_final_points=20)
+MASK = MaskConfig(band=0.008, clearance=0.008, close=3, dilate=3, object_dilate=3, table_min_area=500, table_erode=1, min_component_area=20, eps=0.03, min_samples=10, min_cluster_points=40, min_object_area=40, merged_points=100000, merged_area=100000, bottom_band=0.03, min_bottom_pixels=5, min_inside_ratio=0.0, edge_min_inside_ratio=0.0, edge_margin=1, min_final_points=20)
 
 
 @pytest.fixture(scope="module")
