@@ -102,5 +102,30 @@ QUERIES: dict[str, Query] = {
     "op10_language_id": op10_language_id,
 }
 
-#: None of the ten can be said in SQL that DuckDB runs: see README.md for the test of each.
-ORACLE_SQL: dict[str, str] = {}
+# The rule for assignments with its letters in either case spelt out, since (?i) would also fold letters beyond ASCII.
+_ASSIGN = "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")" + r"""["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)"""
+
+#: The others rest on hash functions, positions of matches, tokenisers or learned models that DuckDB's SQL can't say; tests/llm hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+l AS (SELECT *, CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS last FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM l""",
+    "op5_secrets": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+k AS (SELECT doc_id, 0 AS kind, 6 AS least, regexp_extract_all(x, '{_ASSIGN}') AS m, regexp_extract_all(x, '{_ASSIGN}', 2) AS g, regexp_split_to_array(x, '{_ASSIGN}') AS p FROM t
+UNION ALL SELECT doc_id, 1, 20, regexp_extract_all(x, 'AKIA[A-Z0-9]+'), regexp_extract_all(x, 'AKIA[A-Z0-9]+'), regexp_split_to_array(x, 'AKIA[A-Z0-9]+') FROM t
+UNION ALL SELECT doc_id, 2, 24, regexp_extract_all(x, '[0-9a-f]{{24,}}'), regexp_extract_all(x, '[0-9a-f]{{24,}}'), regexp_split_to_array(x, '[0-9a-f]{{24,}}') FROM t),
+u AS (SELECT doc_id, kind, least, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM k WHERE len(m) > 0),
+f AS (SELECT doc_id, kind, list_sum(list_transform(p[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS a, length(m[i]) AS n FROM u WHERE length(g[i]) >= least),
+s AS (SELECT doc_id, count(*) FILTER (kind = 0) AS c0, count(*) FILTER (kind = 1) AS c1, count(*) FILTER (kind = 2) AS c2, string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + n AS BIGINT) AS VARCHAR), ',' ORDER BY a, kind) AS spans FROM f GROUP BY doc_id)
+SELECT t.doc_id, coalesce(c0, 0) AS n_assign, coalesce(c1, 0) AS n_access, coalesce(c2, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN s ON s.doc_id = t.doc_id""",
+    "op4_decontaminate": r"""
+WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT DISTINCT item_id, least(len(w), 5) AS l, array_to_string(w[k:k + least(len(w), 5) - 1], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS k FROM iw WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS size FROM i GROUP BY item_id),
+dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+d AS (SELECT DISTINCT doc_id, l, array_to_string(w[k:k + l - 1], ' ') AS s FROM (SELECT doc_id, l, w, unnest(range(1, len(w) - l + 2)) AS k FROM dw, (SELECT DISTINCT l FROM i) WHERE len(w) >= l))
+SELECT doc_id, item_id, count(*) AS found, any_value(size) AS size, count(*) / any_value(size) AS containment FROM d JOIN i USING (l, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= ceil(0.8 * any_value(size) - 1e-9)""",
+}
