@@ -11,6 +11,7 @@ Terms, weights, exception phrases and the curve are learned from labelled texts
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -19,12 +20,15 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import Scratch, prepare, texts_of
 
 PER_CLASS = 3000
+#: Sampled texts are counted by so many tasks; of the terms of toxic ones the most frequent are candidates.
+SAMPLE_TASKS = 16
+MOST_CANDIDATES = 50_000
 MOST_TERMS = 5000
 MOST_PHRASES = 5000
 #: Toxic texts of the sample that a term must occur in, its least weight (the logarithm of the ratio of its rates), and the least
@@ -181,8 +185,11 @@ def _joint(sample: DataFrame, lexicon: Lexicon) -> dict[str, float]:
         r = (p - y) / len(got)
         new = np.maximum(v - step * (np.bincount(term, r[row], len(names)) + PENALTY), 0)
         new_bias, t_next = v_bias - step * r.sum(), (1 + np.sqrt(1 + 4 * t * t)) / 2
+        moved = max(np.abs(new - w).max(initial=0), abs(new_bias - bias))
         v, v_bias = new + (t - 1) / t_next * (new - w), new_bias + (t - 1) / t_next * (new_bias - bias)
         w, bias, t = new, new_bias, t_next
+        if moved < 1e-4:
+            break
     return {n: float(x) for n, x in zip(names, w, strict=True) if x > 1e-3}
 
 
@@ -207,20 +214,26 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
     take = F.coalesce(*[F.when(F.col("y") == k, F.lit(per_class / n)) for k, n in sorted(counts.items())], F.lit(0.0))
     chosen = y.filter(part < take).limit(4 * per_class)  # a bounded sample: small enough to broadcast
     sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).join(F.broadcast(chosen), "__id").select("t", "y")
-    sample = scratch.cut(sample, "sample")
+    sample = scratch.cut(sample.repartition(SAMPLE_TASKS), "sample")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, rows = (Counter(), Counter()), [0, 0]
-        for b in batches:
-            for t, k in zip(texts_of(b["t"]), b["y"].to_pylist(), strict=True):
-                folded = f" {fold(t)} "
-                for phrase in lexicon.exceptions:
-                    folded = folded.replace(phrase, "  ")
-                have[k].update(_terms(set(folded.split())))
-                rows[k] += 1
-        # Terms of toxic texts only: others can't become part of the lexicon.
-        names = [t for t in have[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(["", *names]), pa.array([rows[1], *(have[1][t] for t in names)]), pa.array([rows[0], *(have[0][t] for t in names)])], names=["term", "pos", "neg"])
+    def count_terms(wanted: frozenset | None):
+        """Texts that each term occurs in: of all terms, or of those wanted."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            have = Counter()
+            for b in batches:
+                for t in texts_of(b["t"]):
+                    folded = f" {fold(t)} "
+                    for phrase in lexicon.exceptions:
+                        folded = folded.replace(phrase, "  ")
+                    terms = _terms(set(folded.split()))
+                    have.update(terms if wanted is None else terms & wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string()), pa.array(list(have.values()), pa.int64())], names=["term", "n"])
+
+        return run
+
+    def counted(k: int, wanted: frozenset | None) -> DataFrame:
+        return sample.filter(F.col("y") == k).select("t").mapInArrow(count_terms(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
     def count_phrases(lexicon: Lexicon):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,26 +243,27 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
                     words = fold(t).split()
                     hit = {i for i, w in enumerate(words) if any(True for _ in a.iter(f" {w} "))} if len(a) else set()
                     have[k].update({f" {' '.join(words[i - d : i - d + 2])} " for i in hit for d in (0, 1) if 0 <= i - d < len(words) - 1})
-            names = list(have[0])
+            names = list(have[0] | have[1])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([have[1][t] for t in names], pa.int64()), pa.array([have[0][t] for t in names], pa.int64())], names=["term", "pos", "neg"])
 
         return run
 
-    schema = "term string, pos long, neg long"
-    sums_ = (F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # A task leaves out what its negatives alone have; their counts for shared terms are complete only if every task reports them,
-    # so the few sampled rows are counted in one task: at most four times per_class texts.
     lexicon = Lexicon({}, [f" {fold(p).strip()} " for p in exceptions], np.array([-5.0, 0.0, 0.0]))
-    counted = sample.repartition(1).mapInArrow(count, schema).groupBy("term").agg(*sums_)
-    n = next(((r.pos, r.neg) for r in counted.filter("term = ''").collect()), (0, 0))
-    if not n[0]:
+    n = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
+    n_pos, n_neg = n.get(1, 0), n.get(0, 0)
+    if not n_pos:
         return lexicon
-    weight = F.log((F.col("pos") + 0.5) / (n[0] + 1)) - F.log((F.col("neg") + 0.5) / (n[1] + 1))
-    expected = (F.col("pos") + F.col("neg")) * n[0] / sum(n)
-    evidence = 2 * (F.col("pos") * F.log(F.col("pos") / expected) + F.col("neg") * F.log(F.greatest("neg", F.lit(0.5)) / F.greatest(F.col("pos") + F.col("neg") - expected, F.lit(0.5))))
-    best = counted.filter((F.col("term") != "") & (F.col("pos") >= min(SUPPORT, n[0]))).withColumn("w", weight)
-    best = best.withColumn("e", evidence).filter((F.col("w") >= LEAST_WEIGHT) & (F.col("e") >= (LEAST_EVIDENCE if n[1] else 0)))
-    rows = best.orderBy(F.desc("w"), "term").limit(MOST_TERMS).collect()
+    often = counted(1, None).filter(F.col("n") >= min(SUPPORT, n_pos)).orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES).collect()
+    others = {r.term: r.n for r in counted(0, frozenset(r.term for r in often)).collect()}
+    rows = []
+    for term, pos in ((r.term, r.n) for r in often):
+        neg = others.get(term, 0)
+        w = math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))
+        expected = (pos + neg) * n_pos / (n_pos + n_neg)
+        e = 2 * (pos * math.log(pos / expected) + neg * math.log(max(neg, 0.5) / max(pos + neg - expected, 0.5)))
+        if w >= LEAST_WEIGHT and (e >= LEAST_EVIDENCE or not n_neg):
+            rows.append(Row(term=term, w=w, e=e))
+    rows = sorted(rows, key=lambda r: (-r.w, r.term))[:MOST_TERMS]
     # The shortest of the terms that begin alike and weigh about the same stands for the longer ones.
     for r in sorted(rows, key=lambda r: (len(r.term.strip()), r.term)):
         word = r.term.strip()
@@ -258,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
             lexicon.terms[r.term] = float(r.w)
     # Phrases are learned for well supported terms only: those of chance would turn their own negatives into exceptions.
     sure = Lexicon({r.term: lexicon.terms[r.term] for r in rows if r.e >= ALONE_EVIDENCE and r.term in lexicon.terms}, [], lexicon.curve)
-    phrases = sample.repartition(1).mapInArrow(count_phrases(sure), schema).groupBy("term").agg(*sums_)
+    phrases = sample.mapInArrow(count_phrases(sure), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     safe = phrases.filter(f"neg >= {SUPPORT} AND neg > 20 * pos").orderBy(F.desc("neg"), "term").limit(MOST_PHRASES).collect()
     lexicon.exceptions += [r.term for r in safe]
     joint = _joint(sample, lexicon)
