@@ -241,20 +241,20 @@ _KNN = "knn AS (SELECT obj, pid, sqrt(max(d2)) AS kth, avg(sqrt(d2)) AS mean FRO
 @query(f"WITH {_KNN} SELECT obj, pid, round(kth, 6) AS kth, round(mean, 6) AS mean, round(1 / (mean + 1e-6), 6) AS density FROM knn")
 def knn_density(spark, sf_dir):
     """Distances to the eight nearest points of the same object, and the density they give."""
-    n = cloud.local_density(cloud.nearest(fx.points(spark, sf_dir), OBJ, 8, 0.12))
+    n = cloud.local_density(cloud.nearest(fx.points(spark, sf_dir), OBJ, 8, 0.3))
     return n.select("obj", "pid", *_r("kth", "mean", "density"))
 
 
 @query(f"WITH {_KNN} SELECT obj, round(quantile_cont(1 / (mean + 1e-6), 0.2) / (quantile_cont(1 / (mean + 1e-6), 0.5) + 1e-6), 6) AS neck FROM knn GROUP BY obj")
 def neck_score(spark, sf_dir):
     """Low density against usual density of every object."""
-    return cloud.neck_score(cloud.nearest(fx.points(spark, sf_dir), OBJ, 8, 0.12), OBJ).select("obj", *_r("neck"))
+    return cloud.neck_score(cloud.nearest(fx.points(spark, sf_dir), OBJ, 8, 0.3), OBJ).select("obj", *_r("neck"))
 
 
 @query(f"WITH {_KNN}, l AS (SELECT obj, count(*) AS n, avg(mean) + 1.5 * stddev_samp(mean) AS t FROM knn GROUP BY obj) SELECT obj, pid FROM knn JOIN l USING (obj) WHERE NOT (n > 8 AND mean > t)")
 def outlier_filter(spark, sf_dir):
     """Points whose neighbours are not unusually far."""
-    return cloud.without_outliers(fx.points(spark, sf_dir), OBJ, 8, 1.5, 0.12).select("obj", "pid")
+    return cloud.without_outliers(fx.points(spark, sf_dir), OBJ, 8, 1.5, 0.3).select("obj", "pid")
 
 
 @query(f"WITH {_PAIRS}, e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (SELECT pid AS a, pid AS b FROM v_points UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a) SELECT a AS pid, min(b) AS label FROM reach GROUP BY a", recursive=True)
