@@ -1,11 +1,11 @@
 """SimHash near-duplicates, searched with pigeonring filtering.
 
 A text's fingerprint has 64 bits: bit b is 1 if it is set in over half of the XXH64 hashes of the text's word
-shingles. Two fingerprints link at Hamming distance 4 or less; classes are the connected components.
+shingles. Two fingerprints link at a Hamming distance of at most `distance`; classes are the connected components.
 
-Search. The 64 bits are cut into a ring of 5 segments. If two fingerprints differ in at most 4 bits, then by the strong
-pigeonring principle some start exists from which every chain of l consecutive segments differs in at most
-floor(4 l / 5) bits: 0 in the first segment, at most 1 in the first two, then 2, 3 and 4. A difference of at most 1
+Search. The 64 bits are cut into a ring of distance + 1 segments. If two fingerprints differ in at most `distance` bits, then by
+the strong pigeonring principle some start exists from which every chain of l consecutive segments differs in at most
+floor(distance * l / (distance + 1)) bits: 0 in the first segment, at most 1 in the first two, and so on. A difference of at most 1
 leaves one half of the second segment untouched, so equal (segment, half of the next segment) pairs are an index key
 that loses no link; the whole chain is tested next, and only what passes gets the full Hamming check.
 
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from .common import Scratch, prepare, row_key, texts_of
 from .components import components
 
-WIDTHS = (13, 13, 13, 13, 12)
-STARTS = (0, 13, 26, 39, 52)
 DISTANCE = 4
 #: Most nodes of one key that a single task compares.
 BLOCK = 20_000
@@ -66,31 +64,40 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, seed: int
     return got.mapInArrow(run, got.select(*keep).withColumn("fp", F.lit(0).cast("long")).schema)
 
 
-def _index(nodes: DataFrame) -> DataFrame:
-    """Ten rows (key, start, fp) a node: every start segment with either half of the segment after it."""
-    keys = []
-    for i in range(5):
-        j = (i + 1) % 5
-        low = 6
-        first = F.shiftrightunsigned("fp", STARTS[i]).bitwiseAND((1 << WIDTHS[i]) - 1)
-        for half, (shift, bits) in enumerate(((0, low), (low, WIDTHS[j] - low))):
-            part = F.shiftrightunsigned("fp", STARTS[j] + shift).bitwiseAND((1 << bits) - 1)
-            key = F.shiftleft(F.lit(2 * i + half).cast("long"), 32) + F.shiftleft(first, 8) + part
+def segments(distance: int) -> list[tuple[int, int]]:
+    """(first bit, width) of the ring's segments, as equally wide as can be."""
+    m = distance + 1
+    ends = [-(-64 * k // m) for k in range(m + 1)]
+    return [(ends[k], ends[k + 1] - ends[k]) for k in range(m)]
+
+
+def _index(nodes: DataFrame, distance: int) -> DataFrame:
+    """Rows (key, start, fp) of a node: every start segment with either half of the segment after it."""
+    keys, ring = [], segments(distance)
+    for i, (at, bits) in enumerate(ring):
+        after, wide = ring[(i + 1) % len(ring)]
+        low = wide // 2
+        first = F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1)
+        for half, (shift, width) in enumerate(((0, low), (low, wide - low))):
+            part = F.shiftrightunsigned("fp", after + shift).bitwiseAND((1 << width) - 1)
+            key = F.shiftleft(F.lit(2 * i + half).cast("long"), 48) + F.shiftleft(first, 16) + part
             keys.append(F.struct(key.alias("key"), F.lit(i).alias("start")))
     return nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.start", "fp")
 
 
-def _chain(x: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which differences x keep within the proportional budgets of all five chains that begin at segment start."""
-    parts = np.stack([np.bitwise_count((x >> np.uint64(s)) & np.uint64((1 << w) - 1)) for s, w in zip(STARTS, WIDTHS, strict=True)])
-    total, ok = np.zeros(len(x), np.int64), np.ones(len(x), bool)
-    for length in range(5):
-        total += parts[(start + length) % 5, np.arange(len(x))]
-        ok &= total <= DISTANCE * (length + 1) // 5
-    return ok
+def _chain(x: np.ndarray, start: np.ndarray, distance: int) -> np.ndarray:
+    """Which differences x (by index) keep within the proportional budgets of all chains that begin at their start segment."""
+    ring = np.array(segments(distance), dtype=np.uint64)
+    at, total, m = np.arange(len(x)), np.zeros(len(x), np.int64), len(ring)
+    for length in range(m):
+        seg = ring[(start[at] + length) % m]
+        total = total + np.bitwise_count((x[at] >> seg[:, 0]) & ((np.uint64(1) << seg[:, 1]) - np.uint64(1)))
+        ok = total <= distance * (length + 1) // m
+        at, total = at[ok], total[ok]
+    return at
 
 
-def _links(group: np.ndarray, fp: np.ndarray, start: np.ndarray) -> tuple[list[int], list[int]]:
+def _links(group: np.ndarray, fp: np.ndarray, start: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
     """Links that join parts of each group; rows are sorted by group. All pairs are covered, connected ones skipped."""
     root = np.arange(len(fp))
     one, two = [], []
@@ -99,8 +106,8 @@ def _links(group: np.ndarray, fp: np.ndarray, start: np.ndarray) -> tuple[list[i
         a = i[root[i] != root[i + d]]
         if a.size:
             x = fp[a] ^ fp[a + d]
-            a = a[_chain(x, start[a])]
-            a = a[np.bitwise_count(fp[a] ^ fp[a + d]) <= DISTANCE]
+            a = a[_chain(x, start[a], distance)]
+            a = a[np.bitwise_count(fp[a] ^ fp[a + d]) <= distance]
         joined = False
         for p in a.tolist():
             ra, rb = p, p + d
@@ -121,35 +128,38 @@ def _links(group: np.ndarray, fp: np.ndarray, start: np.ndarray) -> tuple[list[i
     return one, two
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _edges(distance: int):
     """Over a partition sorted by (key, pair): the joining links of every group as (u, v)."""
-    rest = None
-    for b in batches:
-        now = pa.Table.from_batches([b])
-        now = pa.concat_tables([rest, now]) if rest is not None else now
-        k, p = now["key"].to_numpy(), now["pair"].to_numpy()
-        same = np.flatnonzero((k != k[-1]) | (p != p[-1])) if len(k) else np.array([], int)
-        cut = int(same[-1]) + 1 if same.size else 0
-        rest = now.slice(cut)
-        if cut:
-            yield from _group_edges(now.slice(0, cut))
-    if rest is not None and rest.num_rows:
-        yield from _group_edges(rest)
-
-
-def _group_edges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    k, p = rows["key"].to_numpy(), rows["pair"].to_numpy()
-    fp = rows["fp"].to_numpy().view(np.uint64)
-    group = np.concatenate(([0], np.cumsum((k[1:] != k[:-1]) | (p[1:] != p[:-1]))))
-    one, two = _links(group, fp, rows["start"].to_numpy().astype(np.int64))
-    if one:
-        signed = fp.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(signed[one]), pa.array(signed[two])], names=["u", "v"])
-
-
-def links(nodes: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints, with the same components as all pairs at distance 4 or less."""
-    index = _index(nodes)
+
+    def of_groups(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        k, p = rows["key"].to_numpy(), rows["pair"].to_numpy()
+        fp = rows["fp"].to_numpy().view(np.uint64)
+        group = np.concatenate(([0], np.cumsum((k[1:] != k[:-1]) | (p[1:] != p[:-1]))))
+        one, two = _links(group, fp, rows["start"].to_numpy().astype(np.int64), distance)
+        if one:
+            signed = fp.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(signed[one]), pa.array(signed[two])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            now = pa.Table.from_batches([b])
+            now = pa.concat_tables([rest, now]) if rest is not None else now
+            k, p = now["key"].to_numpy(), now["pair"].to_numpy()
+            same = np.flatnonzero((k != k[-1]) | (p != p[-1])) if len(k) else np.array([], int)
+            cut = int(same[-1]) + 1 if same.size else 0
+            rest = now.slice(cut)
+            if cut:
+                yield from of_groups(now.slice(0, cut))
+        if rest is not None and rest.num_rows:
+            yield from of_groups(rest)
+
+    return run
+
+
+def links(nodes: DataFrame, scratch: Scratch, block: int = BLOCK, distance: int = DISTANCE) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints, with the same components as all pairs within the distance."""
+    index = _index(nodes, distance)
     hot = index.groupBy("key").count().filter(F.col("count") > block)
     blocks = F.ceil(F.col("count") / block).cast("int")
     own = F.pmod(F.hash("fp"), blocks)
@@ -157,10 +167,10 @@ def links(nodes: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     dealt = index.join(hot, "key", "left").select("key", "start", "fp", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("pair"))
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.select(F.col("key"), F.col("pair").cast("long"), "start", "fp").repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "fp")
-    return sorted_.mapInArrow(_edges, "u long, v long")
+    return sorted_.mapInArrow(_edges(distance), "u long, v long")
 
 
-def classes(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", width: int = 4) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", width: int = 4, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
     """One row per row of docs, and one per fingerprint.
 
     The first table has the columns of docs but the text, `fp` and `component_id`: the smallest doc_id of the rows reachable
@@ -170,14 +180,14 @@ def classes(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     """
     marks = scratch.cut(fingerprints(docs, text, width), "fingerprints")
     nodes = scratch.cut(marks.groupBy("fp").agg(F.min(doc_id).alias("least")), "nodes")
-    stars = components(links(nodes.select("fp"), scratch), scratch)
+    stars = components(links(nodes.select("fp"), scratch, distance=distance), scratch)
     named = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = scratch.cut(named.join(least, "component").select("fp", "component_id", "component"), "classes")
     return marks.join(by_fp.select("fp", "component_id"), "fp"), by_fp
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, distance: int = 6) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, one of them if rows share it.
 
     Columns and values of the kept rows are unchanged. Among rows that share the smallest doc_id of a component the one
@@ -186,7 +196,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     keyed = docs.select(*row_key(doc_id, text), F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    marks, by_fp = classes(keyed, scratch, "__id", "__text", width)
+    marks, by_fp = classes(keyed, scratch, "__id", "__text", width, distance)
     rows = marks.join(by_fp.select("fp", "component"), "fp")
     stays = F.struct(F.col("__id").isNull(), "__id", "_k1", "_k2")
     best = rows.groupBy("component").agg(F.min(stays).alias("b")).select("b._k1", "b._k2")

@@ -456,17 +456,17 @@ def test_classes_equal_brute_force(spark, texts):
     assert got[6001][1] == 6000
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 40])
-def test_links_of_dense_groups_keep_components(spark, block):
-    rng = np.random.default_rng(1)
+@pytest.mark.parametrize("block,distance", [(simhash.BLOCK, 4), (40, 4), (simhash.BLOCK, 6), (60, 7)])
+def test_links_of_dense_groups_keep_components(spark, block, distance):
+    rng = np.random.default_rng(distance)
     base = rng.integers(0, 2**63, 10, dtype=np.uint64)
     v = base[rng.integers(0, 10, 800)]
-    for _ in range(2):
+    for _ in range(max(1, distance // 2)):
         v = v ^ (np.uint64(1) << rng.integers(0, 64, 800).astype(np.uint64))
     nodes = [int(x) for x in np.unique(v).view(np.int64)]
     d = spark.createDataFrame([(x,) for x in nodes], "fp long")
-    got = [(r.u, r.v) for r in simhash.links(d, scratch(spark), block).collect()]
-    near = [(a, b) for k, a in enumerate(nodes) for b in nodes[:k] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
+    got = [(r.u, r.v) for r in simhash.links(d, scratch(spark), block, distance).collect()]
+    near = [(a, b) for k, a in enumerate(nodes) for b in nodes[:k] if ((a ^ b) & (2**64 - 1)).bit_count() <= distance]
 
     def parts(edges):
         p = {x: x for x in nodes}
