@@ -187,7 +187,7 @@ def classes(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     return marks.join(by_fp.select("fp", "component_id"), "fp"), by_fp
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, distance: int = 6) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, distance: int = 7) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, one of them if rows share it.
 
     Columns and values of the kept rows are unchanged. Among rows that share the smallest doc_id of a component the one

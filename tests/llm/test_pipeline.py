@@ -44,6 +44,6 @@ def test_stages_take_an_empty_table_and_clashing_columns(spark, stage, tmp_path)
 def test_near_duplicates_leave_one_of_each_class(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = simhash.deduplicate(docs)
-    rows, _ = simhash.classes(docs.select("doc_id", "text"), Scratch(spark, "test"), width=5, distance=6)
+    rows, _ = simhash.classes(docs.select("doc_id", "text"), Scratch(spark, "test"), width=5, distance=7)
     want = {r.component_id for r in rows.collect()}
     assert {r.doc_id for r in kept.collect()} == want and kept.count() == len(want)
