@@ -1,0 +1,255 @@
+"""Near copies by exact Jaccard similarity of word shingles, searched with prefix filtering.
+
+A text's set holds the XXH64 hashes of its word shingles. Two sets link where their Jaccard similarity is at least `threshold`; classes are
+the connected components. No link is lost and none is below the threshold, but for equal hashes of different shingles.
+
+Search. Shingles have one order for all sets. If two sets of sizes m and n reach the threshold t, their first m - ceil(t m) + 1 and
+n - ceil(t n) + 1 shingles have one in common. This holds for any order; here common shingles come last, the others go by hash.
+
+Scale. Equal sets are one node. A key is a shingle in the prefixes of different nodes; of keys with the same nodes one is left. Its nodes meet in one
+task, at first with parity maps only, whose differences are a lower bound of those of the sets: who has no possible partner leaves. Only then
+the others' whole sets are made, from the texts, and compared; tasks emit links that join two parts. Each node first meets others at its most common
+key alone; after that only nodes with a possible partner in another part are left. A key with more than BLOCK nodes is dealt out in pairs of blocks.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import Scratch, prepare, row_key, small, texts_of
+from .components import components
+from .simhash import hashes
+
+WIDTH = 5
+THRESHOLD = 0.8
+#: Most nodes of one key that a single task compares.
+BLOCK = 2000
+#: A shingle in the prefixes of more rows than this, as one text of SAMPLED tells, is common; the MOST_COMMON most common ones are moved to the end of
+#: the order. What counts as common bears on the work only: any order finds all pairs.
+COMMON = 48
+SAMPLED = 8
+MOST_COMMON = 20_000
+#: Bits of a set's parity map, whose differences are never more than those of the sets.
+PARITY = 4096
+
+
+def _set(text: str, width: int) -> tuple[np.ndarray, int]:
+    """A text's ascending hashes and the set's id."""
+    own = np.unique(hashes(text, width))
+    return own, int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).astype(np.int64))
+
+
+def _parity(own: np.ndarray) -> bytes:
+    return np.packbits((np.bincount((own % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(bool)).tobytes()
+
+
+def _prefix(own: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
+    """The set's first shingles, of which any set at the threshold has one in its own prefix; the ascending `common` ones come last in the order."""
+    if not len(own):
+        return own
+    if len(common):
+        last = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+        own = np.concatenate((own[~last], own[last]))
+    return own[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1]
+
+
+def prefixes(docs: DataFrame, text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, common: np.ndarray | None = None) -> DataFrame:
+    """The columns of docs but the text; text_id, set_id, the set's size, its parity map and its prefix. Null and blank texts have the empty set."""
+    prepare(docs.sparkSession)
+    keep = [c for c in docs.columns if c != text]
+    sent = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if common is None else common)  # MOST_COMMON numbers at most
+    names = [*keep, "text_id", "set_id", "size", "parity", "prefix"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_set(t, width) for t in texts_of(b.column("__text"))]
+            cells = ([i for _, i in got], [len(s) for s, _ in got], [_parity(s) for s, _ in got], [_prefix(s, sent.value, threshold).tobytes() for s, _ in got])
+            made = [pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("text_id"), *made], names=names)
+
+    got = docs.select(*keep, F.xxhash64(text).alias("text_id"), F.col(text).alias("__text"))
+    extra = {"set_id": F.lit(0).cast("long"), "size": F.lit(0), "parity": F.lit(b""), "prefix": F.lit(b"")}
+    return got.mapInArrow(run, got.drop("__text").withColumns(extra).schema)
+
+
+def _index(marks: DataFrame) -> DataFrame:
+    """(key, set_id): the shingles of each row's prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [np.frombuffer(p, np.int64) for p in b["prefix"].to_pylist()]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(b["set_id"].to_numpy(), [len(k) for k in keys]))], names=["key", "set_id"])
+
+    return marks.select("set_id", "prefix").mapInArrow(run, "key long, set_id long")
+
+
+def _sets(docs: DataFrame, text: str, live: DataFrame, width: int) -> DataFrame:
+    """(set_id, shingles) of the live (text_id): the sets' ascending hashes as bytes, made from the texts once more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_set(t, width) for t in texts_of(b["t"])]
+            yield pa.RecordBatch.from_arrays([pa.array([i for _, i in got], pa.int64()), pa.array([s.tobytes() for s, _ in got], pa.binary())], names=["set_id", "shingles"])
+
+    found = docs.select(F.xxhash64(text).alias("text_id"), F.col(text).alias("t")).join(small(live, live.count()), "text_id", "left_semi")
+    return found.select("t").mapInArrow(run, "set_id long, shingles binary").dropDuplicates(["set_id"])
+
+
+def _possible(n: np.ndarray, parity: np.ndarray, root: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the sets, in order of size, have one of another part beside them that sizes and parity maps allow to reach the threshold."""
+    out, d = np.zeros(len(n), bool), 1
+    i = np.arange(len(n) - 1)
+    while i.size:
+        i = i[n[i] >= threshold * n[i + d] - 1e-6]
+        a = i[(root[i] != root[i + d]) & ~(out[i] & out[i + d])]
+        for part in np.array_split(a, len(a) // 50_000 + 1):
+            near = np.bitwise_count(parity[part] ^ parity[part + d]).sum(axis=1, dtype=np.int64) <= (n[part] + n[part + d]) * (1 - threshold) / (1 + threshold) + 1e-6
+            out[part[near]] = out[part[near] + d] = True
+        d += 1
+        i = i[i + d < len(n)]
+    return out
+
+
+def _links(own: list[np.ndarray], root: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join parts of the sets, which are in order of size; root numbers the parts known before. All other pairs are covered."""
+    n, out = np.array([len(s) for s in own]), []
+    parity = np.stack([np.frombuffer(_parity(s), np.uint64) for s in own])
+    ends = np.searchsorted(n, n / threshold + 1e-6, side="right")
+    for i in range(len(own)):
+        j = np.arange(i + 1, ends[i])
+        j = j[root[j] != root[i]]
+        j = j[np.bitwise_count(parity[j] ^ parity[i]).sum(axis=1, dtype=np.int64) <= (n[j] + n[i]) * (1 - threshold) / (1 + threshold) + 1e-6]
+        for k in j.tolist():
+            if root[k] == root[i]:
+                continue
+            a, b = own[i], own[k]
+            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+            if both >= threshold * (len(a) + len(b) - both) - 1e-9:
+                root[root == root[k]] = root[i]
+                out.append((i, k))
+    return out
+
+
+def _grouped(of_group):
+    """Runs over a partition sorted by (key, pair, size), a group at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, last = [], None
+        for b in batches:
+            k, p = b["key"].to_numpy(), b["pair"].to_numpy()
+            if not len(k):
+                continue
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1])) + 1).tolist(), len(k)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                now = (k[s], p[s])
+                if rest and now != last:
+                    yield from of_group(pa.Table.from_batches(rest))
+                    rest = []
+                rest.append(b.slice(s, e - s))
+                last = now
+        if rest:
+            yield from of_group(pa.Table.from_batches(rest))
+
+    return run
+
+
+def _dealt(met: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """met (key, set_id, ...) with what nodes hold, sorted by (key, pair, size) in partitions; keys with many nodes in pairs of blocks."""
+    hot = met.groupBy("key").count().filter(F.col("count") > block)
+    blocks = F.ceil(F.col("count") / block).cast("int")
+    own = F.pmod(F.hash("set_id"), blocks)
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.least(own, o) * F.lit(1_000_000) + F.greatest(own, o))
+    pair = F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("pair")
+    dealt = met.join(hot, "key", "left").select(*met.columns, pair).join(nodes, "set_id")
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.withColumn("pair", F.col("pair").cast("long")).repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "size", "set_id")
+
+
+def _allowed(met: DataFrame, nodes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """The rows of met (key, set_id, root) whose node has a possible partner of another part at the key."""
+
+    def of_group(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        parity = np.frombuffer(b"".join(rows["parity"].to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        on = pa.array(_possible(rows["size"].to_numpy().astype(np.int64), parity, rows["root"].to_numpy(), threshold))
+        yield from rows.select(["key", "set_id", "root"]).filter(on).to_batches()
+
+    return _dealt(met, nodes, block).mapInArrow(_grouped(of_group), "key long, set_id long, root long").distinct()
+
+
+def _compared(met: DataFrame, nodes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links (u, v) within the keys of met (key, set_id, root)."""
+
+    def of_group(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = rows["set_id"].to_numpy()
+        root = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+        got = _links([np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()], root, threshold)
+        if got:
+            u, v = np.array(got).T
+            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+
+    return _dealt(met, nodes.withColumn("size", F.octet_length("shingles")), block).mapInArrow(_grouped(of_group), "u long, v long")
+
+
+def links(docs: DataFrame, scratch: Scratch, text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, block: int = BLOCK, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+    """The columns of docs but the text, with set_id; and edges (u, v) between set_ids with the same components as all pairs at the threshold or above."""
+    keep = [c for c in docs.columns if c != text]
+
+    some = _index(prefixes(docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(SAMPLED)) == 0), text, width, threshold)).groupBy("key").count()
+    often = [r.key for r in some.filter(F.col("count") > common // SAMPLED + 1).orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()]
+    marks = scratch.cut(prefixes(docs, text, width, threshold, np.sort(np.array(often, np.int64).view(np.uint64))), "marks")
+    shared = _index(marks).groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("a < b").select("key")
+    keys = scratch.cut(shared, "keys")
+    met = scratch.cut(_index(marks).join(small(keys, keys.count()), "key").distinct(), "met")
+    same = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.sum(F.xxhash64(F.lit(9), "set_id").cast("decimal(20,0)")).alias("s"))
+    one = met.groupBy("key").agg(*same).groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
+    maps = marks.select("set_id", "size", "parity").dropDuplicates(["set_id"])
+    near = scratch.cut(_allowed(met.join(one, "key", "left_semi").withColumn("root", F.col("set_id")), maps, threshold, block).drop("root"), "near")
+    scratch.drop("met", "keys")
+    live = marks.join(near.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.min("text_id").alias("text_id"))
+    nodes = scratch.cut(_sets(docs, text, scratch.cut(live.select("text_id"), "live"), width), "sets")
+    number = near.join(near.groupBy("key").count(), "key")
+    top = number.groupBy("set_id").agg(F.max(F.struct("count", "key")).alias("t")).select(F.col("t.key").alias("key"), "set_id", F.col("set_id").alias("root"))
+    first = scratch.cut(_compared(top, nodes, threshold, block), "links-1")
+    stars = components(first, scratch, "parts")
+    parts = near.join(stars.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
+    parts = scratch.cut(parts, "parted")
+    left = parts.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    apart = scratch.cut(_allowed(parts.join(left, "key", "left_semi"), maps, threshold, block), "apart")
+    second = scratch.cut(_compared(apart, nodes, threshold, block), "links-2")
+    scratch.drop("near", "live", "sets", "parted", "apart")
+    return marks.select(*keep, "set_id"), first.union(second)
+
+
+def classes(docs: DataFrame, scratch: Scratch, text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The columns of docs but the text, with set_id; and (set_id, component) of the sets that are not their component's name themselves."""
+    rows, edges = links(docs, scratch, text, width, threshold)
+    return rows, components(edges, scratch).toDF("set_id", "component")
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id, one of them if rows share it.
+
+    Columns and values of the kept rows are unchanged. Among rows that share the smallest doc_id of a component the one
+    with the least row key stays; of repeated equal rows one stays; rows with null ids stay only where a component has
+    no other id.
+    """
+    scratch = Scratch(docs.sparkSession, "nearcopies")
+    keyed = docs.select(*row_key(doc_id, text), F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+    rows, named = classes(keyed, scratch, "__text", width, threshold)
+    stays = F.struct(F.col("__id").isNull(), "__id", "_k1", "_k2")
+    of_set = rows.groupBy("set_id").agg(F.min(stays).alias("b"))
+    best = of_set.join(named, "set_id", "left").groupBy(F.coalesce("component", "set_id").alias("component")).agg(F.min("b").alias("b")).select("b._k1", "b._k2")
+    kept = scratch.cut(best, "kept")
+    scratch.drop("marks")
+    found = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(doc_id, text), strict=True))).join(kept, ["_k1", "_k2"])
+    # Equal rows share a key: the window runs on the join's partitioning and drops repeats.
+    n = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1"))
+    return found.withColumn("_n", n).filter("_n = 1").drop("_n", "_k1", "_k2")

@@ -32,18 +32,26 @@ DISTANCE = 4
 BLOCK = 20_000
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """The unsigned fingerprint of one text; 0 for a text without words."""
+def hashes(text: str | None, width: int = 4, seed: int = 42) -> np.ndarray:
+    """The hash of each word shingle of one text; one of all words if they are fewer than width, none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     whole = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = max(1, len(words) - width + 1)
     last = ends[min(width, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(whole[a:b], seed) for a, b in zip(starts[:k].tolist(), last.tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(whole[a:b], seed) for a, b in zip(starts[:k].tolist(), last.tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """The unsigned fingerprint of one text; 0 for a text without words."""
+    h = hashes(text, width, seed)
+    k = len(h)
+    if not k:
+        return 0
     cells = h.view(np.uint8).reshape(k, 8) + np.arange(0, 2048, 256, dtype=np.int64)
     byte_counts = np.bincount(cells.ravel(), minlength=2048).reshape(8, 256)
     set_bits = byte_counts @ np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)

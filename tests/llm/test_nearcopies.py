@@ -1,0 +1,71 @@
+"""The pipeline's near-duplicate stage against all pairs of shingle sets."""
+
+import random
+
+import corpus_pipeline
+
+from cairn.llm import nearcopies
+from cairn.llm.common import Scratch
+from cairn.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+
+
+def shingles(t):
+    w = (t or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_classes(texts):
+    own, parent = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(texts)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = own[a], own[b]
+            if x == y or 10 * len(x & y) >= 8 * len(x | y):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in ids}
+
+
+def edited_families(families, copies, words, most):
+    """Texts that share a common line; of each family, copies with up to `most` words changed."""
+    rng, out = random.Random(3), {}
+    for k in range(families):
+        base = [f"w{rng.randrange(3000)}" for _ in range(words)]
+        for c in range(copies):
+            t = list(base)
+            for _ in range(c % (most + 1)):
+                t[rng.randrange(words)] = f"x{rng.randrange(3000)}"
+            out[k * 100 + c] = " ".join([*t, *"one line that every text has at its very end".split()])
+    return out
+
+
+def test_stage_keeps_one_of_each_class(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = set(brute_classes({r.doc_id: r.text for r in docs.collect()}).values())
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == sorted(want)
+
+
+def test_stage_finds_what_is_at_the_threshold_only(spark):
+    texts = edited_families(30, 4, 120, 6)
+    want = set(brute_classes(texts).values())
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == want
+    assert 30 < len(want) < len(texts)
+
+
+def test_blocks_and_common_shingles_lose_no_link(spark):
+    texts = edited_families(8, 30, 100, 9)
+    want, scratch = brute_classes(texts), Scratch(spark, "test")
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    rows, edges = nearcopies.links(docs, scratch, block=7, common=5)
+    of = {r.doc_id: r.set_id for r in rows.collect()}
+    stars = {r.node: r.root for r in components(edges, scratch).collect()}
+    got = {i: stars.get(s, s) for i, s in of.items()}
+    assert len(set(want.values())) == len(set(got.values())) == len({(want[i], got[i]) for i in want})
