@@ -11,7 +11,6 @@ Terms, weights, exception phrases and the curve are learned from labelled texts
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -20,15 +19,14 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, prepare, texts_of
 
 PER_CLASS = 3000
-#: Sampled texts are counted by so many tasks; of the terms of toxic ones the most frequent are candidates.
+#: Sampled texts are counted by so many tasks.
 SAMPLE_TASKS = 16
-MOST_CANDIDATES = 50_000
 MOST_TERMS = 5000
 MOST_PHRASES = 5000
 #: Toxic texts of the sample that a term must occur in, its least weight (the logarithm of the ratio of its rates), and the least
@@ -216,24 +214,19 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
     sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).join(F.broadcast(chosen), "__id").select("t", "y")
     sample = scratch.cut(sample.repartition(SAMPLE_TASKS), "sample")
 
-    def count_terms(wanted: frozenset | None):
-        """Texts that each term occurs in: of all terms, or of those wanted."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            have = Counter()
-            for b in batches:
-                for t in texts_of(b["t"]):
-                    folded = f" {fold(t)} "
-                    for phrase in lexicon.exceptions:
-                        folded = folded.replace(phrase, "  ")
-                    terms = _terms(set(folded.split()))
-                    have.update(terms if wanted is None else terms & wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string()), pa.array(list(have.values()), pa.int64())], names=["term", "n"])
-
-        return run
+    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts that each term occurs in."""
+        have = Counter()
+        for b in batches:
+            for t in texts_of(b["t"]):
+                folded = f" {fold(t)} "
+                for phrase in lexicon.exceptions:
+                    folded = folded.replace(phrase, "  ")
+                have.update(_terms(set(folded.split())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string()), pa.array(list(have.values()), pa.int64())], names=["term", "n"])
 
-    def counted(k: int, wanted: frozenset | None) -> DataFrame:
-        return sample.filter(F.col("y") == k).select("t").mapInArrow(count_terms(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    def counted(k: int) -> DataFrame:
+        return sample.filter(F.col("y") == k).select("t").mapInArrow(count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
     def count_phrases(lexicon: Lexicon):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,17 +246,13 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     if not n_pos:
         return lexicon
-    often = counted(1, None).filter(F.col("n") >= min(SUPPORT, n_pos)).orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES).collect()
-    others = {r.term: r.n for r in counted(0, frozenset(r.term for r in often)).collect()}
-    rows = []
-    for term, pos in ((r.term, r.n) for r in often):
-        neg = others.get(term, 0)
-        w = math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))
-        expected = (pos + neg) * n_pos / (n_pos + n_neg)
-        e = 2 * (pos * math.log(pos / expected) + neg * math.log(max(neg, 0.5) / max(pos + neg - expected, 0.5)))
-        if w >= LEAST_WEIGHT and (e >= LEAST_EVIDENCE or not n_neg):
-            rows.append(Row(term=term, w=w, e=e))
-    rows = sorted(rows, key=lambda r: (-r.w, r.term))[:MOST_TERMS]
+    both = counted(1).filter(F.col("n") >= min(SUPPORT, n_pos)).select("term", F.col("n").alias("pos")).join(counted(0).withColumnRenamed("n", "neg"), "term", "left").na.fill(0, ["neg"])
+    pos, neg = F.col("pos"), F.col("neg")
+    expected = (pos + neg) * n_pos / (n_pos + n_neg)
+    weight = F.log((pos + 0.5) / (n_pos + 1)) - F.log((neg + 0.5) / (n_neg + 1))
+    evidence = 2 * (pos * F.log(pos / expected) + neg * F.log(F.greatest(neg, F.lit(0.5)) / F.greatest(pos + neg - expected, F.lit(0.5))))
+    kept = both.select("term", weight.alias("w"), evidence.alias("e")).filter((F.col("w") >= LEAST_WEIGHT) & ((F.col("e") >= LEAST_EVIDENCE) | F.lit(not n_neg)))
+    rows = kept.orderBy(F.desc("w"), "term").limit(MOST_TERMS).collect()
     # The shortest of the terms that begin alike and weigh about the same stands for the longer ones.
     for r in sorted(rows, key=lambda r: (len(r.term.strip()), r.term)):
         word = r.term.strip()
