@@ -144,13 +144,13 @@ def _score(weight: np.ndarray, words: np.ndarray, curve: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(_features(weight, words) @ curve, -30, 30)))
 
 
-def _curve(weight: np.ndarray, words: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Logistic regression by Newton's method. Both classes weigh as they do in the sample."""
-    x, w = _features(weight, words), np.zeros(3)
+def _curve(weight: np.ndarray, words: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Logistic regression by Newton's method. each: how many labelled rows a row stands for, so that the classes weigh as they do in the whole table."""
+    x, w, each = _features(weight, words), np.zeros(3), each / each.mean()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(3), g)
+        g = x.T @ (each * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(3), g)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -276,7 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(words), b["y"]], names=["w", "words", "y"])
 
     got = sample.mapInArrow(measure, "w double, words long, y int").toPandas()  # three numbers for each sampled row
-    lexicon.curve = _curve(got.w.to_numpy(), got.words.to_numpy(), got.y.to_numpy())
+    each = got.y.map({k: max(1.0, n / per_class) for k, n in counts.items()}).to_numpy()
+    lexicon.curve = _curve(got.w.to_numpy(), got.words.to_numpy(), got.y.to_numpy(), each)
     return lexicon
 
 

@@ -16,3 +16,15 @@ def test_rare_toxic_terms_are_not_crowded_out(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     lexicon = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), Scratch(spark, "test"))
     assert any(t.startswith(" zzqq") for t in lexicon.terms)
+
+
+def test_scores_do_not_depend_on_the_size_of_the_sample(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(3000):
+        bad = i % 10 == 0
+        words = [f"{rng.choice('bcdfg')}{rng.choice('aeou')}{rng.choice('mnrst')}" for _ in range(20)]
+        rows.append((i, " ".join([*words, *(["grubbish"] if rng.random() < (0.6 if bad else 0.05) else [])]), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), Scratch(spark, "test"), per_class=250)
+    assert abs(toxicity.score(docs, lexicon).agg(F.avg("score")).first()[0] - 0.1) < 0.04
