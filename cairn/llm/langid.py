@@ -125,12 +125,14 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 
 
 def _sample(docs: DataFrame, text: str, label: str, per_language: int) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Languages, and for the sampled rows their buckets, counts and language; whole texts, counted where they lie."""
+    """Languages, and for the sampled texts their buckets, counts and language: `per_language` different ones of each in expectation."""
     counts = docs.filter(F.col(label).isNotNull()).groupBy(label).count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages in column {label}")
-    sizes = {r[0]: r[1] for r in counts}
-    languages = sorted(sizes)
+    languages = sorted(r[0] for r in counts)
+    # Rates are of different texts, and each text is drawn once: copies take no other text's place.
+    texts = docs.filter(F.col(label).isNotNull()).select(F.col(label).alias("y"), F.xxhash64(text).alias("t")).distinct()
+    sizes = {r.y: r["count"] for r in texts.groupBy("y").count().collect()}
     part = F.pmod(F.xxhash64(F.col(text), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     take = F.coalesce(*[F.when(F.col(label) == F.lit(k), F.lit(per_language / n)) for k, n in sizes.items()], F.lit(0.0))
 
@@ -142,8 +144,8 @@ def _sample(docs: DataFrame, text: str, label: str, per_language: int) -> tuple[
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_pylist([{"y": y, "at": at.astype(np.int32).tobytes(), "n": n[at].astype(np.int32).tobytes()}], pa.schema([("y", pa.string()), ("at", pa.binary()), ("n", pa.binary())]))
 
-    chosen = docs.filter(part < take).select(F.col(text).alias("t"), F.col(label).cast("string").alias("y"))
-    got = chosen.mapInArrow(features, "y string, at binary, n binary").limit(2 * per_language * max(1, len(languages))).collect()
+    chosen = docs.filter(part < take).select(F.col(text).alias("t"), F.col(label).cast("string").alias("y")).distinct()
+    got = chosen.mapInArrow(features, "y string, at binary, n binary").collect()
     got.sort(key=lambda r: (r.y, bytes(r.at), bytes(r.n)))
     where = {str(k): i for i, k in enumerate(languages)}
     rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32)) for r in got]

@@ -28,3 +28,14 @@ def test_scores_do_not_depend_on_the_size_of_the_sample(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     lexicon = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), Scratch(spark, "test"), per_class=250)
     assert abs(toxicity.score(docs, lexicon).agg(F.avg("score")).first()[0] - 0.1) < 0.04
+
+
+def test_copies_leave_room_for_all_languages(spark):
+    each = spark.range(100).select(F.concat(F.lit("some text "), "id").alias("t"))
+    rate = F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = spark.range(2000).select(F.concat(F.lit("copied "), "id").alias("t")).filter(rate < 0.01).first().t
+    docs = each.crossJoin(spark.createDataFrame([("a",), ("b",), ("c",)], "lang string")).select(F.concat("lang", "t").alias("text"), "lang")
+    docs = docs.union(spark.range(1500).select(F.lit(drawn).alias("text"), F.lit("a").alias("lang")))
+    languages, rows, y = langid._sample(docs, "text", "lang", 20)
+    have = collections.Counter(y.tolist())
+    assert languages == ["a", "b", "c"] and all(8 <= have[k] <= 40 for k in range(3))
