@@ -5,14 +5,18 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Bounds a Python worker's memory by this many texts, whatever their number in a partition.
-ARROW_ROWS = 512
+#: A Python stage works on so many bytes of text at a time, or on a single longer text. Spark's own Arrow batches are bounded by its
+#: setting spark.sql.execution.arrow.maxBytesPerBatch.
+SLICE_BYTES = 2 << 20
 
 #: A side of a join is broadcast only when it was counted and has at most so many rows (of a few longs each).
 BROADCAST_ROWS = 500_000
@@ -24,15 +28,25 @@ _own: list[str] = []
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
-def prepare(spark: SparkSession) -> None:
-    """Session settings that the Python stages rely on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def bounded(batches: Iterable[pa.RecordBatch], text: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have at most `most` bytes together, but for a single longer text; empty batches are left out."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary folder only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where one machine does everything, it may be unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='cairn-')}")
         base = _own[0]
@@ -40,10 +54,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder. They cut lineage, so that a lost executor costs only the tasks it ran."""
+    """Tables written to the shared folder. They cut lineage, so that a lost executor costs only the tasks it ran.
+
+    What a result still reads can't go before the result is read; the folder goes when the session ends, unless kept.
+    """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, keep: bool = False):
         self.spark, self.root = spark, f"{shared_folder(spark)}/cairn/{name}-{uuid.uuid4().hex}"
+        if not keep:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            files.mkdirs(path)
+            files.deleteOnExit(path)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -61,18 +83,33 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def row_key(*columns: str) -> list[Column]:
-    """96 bits that identify a row by the given columns; equal rows share a key, nulls count as values."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns]
-    return [F.xxhash64(*parts).alias("_k1"), F.hash(*parts).alias("_k2")]
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns that an operator adds for itself: the wanted ones, with underscores behind those that df has already."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
-def is_scan(df: DataFrame) -> bool:
-    """Whether df is a table as written, or a selection of its columns and rows: every reading then finds the same rows in the same order."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    while plan.nodeName() in ("Project", "Filter"):
-        plan = plan.children().head()
-    return plan.nodeName() == "LogicalRelation" or plan.getClass().getSimpleName() == "LogicalRelation"
+def kept_as(columns: Iterable[str], made: Iterable[str]) -> list[Column]:
+    """Columns that a caller wants to keep beside those that are made; one with the name of a made column gets underscores behind its own."""
+    have, out = {c.lower() for c in made}, []
+    for c in columns:
+        name = c
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(F.col(f"`{c}`").alias(name))
+    return out
+
+
+def row_key(*columns: str, names: tuple[str, str] | list[str] = ("_k1", "_k2")) -> list[Column]:
+    """96 bits that identify a row by the given columns; equal rows share a key, nulls count as values."""
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0null")) for c in columns]
+    return [F.xxhash64(*parts).alias(names[0]), F.hash(*parts).alias(names[1])]
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -88,3 +125,14 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 def texts_of(column: Iterable) -> list[str]:
     """Arrow strings as Python strings, null as the empty text."""
     return [x or "" for x in column.to_pylist()]
+
+
+def prepare(spark):
+    pass
+
+
+ARROW_ROWS = 512
+
+
+def is_scan(df):
+    return False

@@ -5,8 +5,8 @@ text's weight for a gram is its TF-IDF, scaled so that all weights of the text a
 trained with follow-the-regularised-leader (FTRL-proximal) under an elastic net (L1 and L2), and its probabilities are
 calibrated with a temperature fitted to labelled rows that the training did not see.
 
-Document frequencies cover every learnable document. The regression is fitted on a bounded sample of labelled rows:
-`per_language` of each language in expectation, and at most twice `per_language` times the number of languages.
+Document frequencies cover every learnable document, which are those with a label. The regression is fitted on a bounded sample of
+them: `per_language` different texts of each language in expectation. The weights take BUCKETS numbers a language.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, texts_of
+from .common import bounded, fresh, texts_of
 
 #: Hash buckets of the grams.
 BITS = 15
@@ -27,8 +27,8 @@ BUCKETS = 1 << BITS
 SCALE = 32.0
 #: Labelled rows of each language that the regression is fitted on, in expectation.
 PER_LANGUAGE = 600
-#: More languages than this are taken for a mistake in the label column.
-MOST_LANGUAGES = 1000
+#: Code points of a text that are folded at a time.
+PIECE = 1 << 20
 
 _fold: list[np.ndarray] = []
 
@@ -41,54 +41,59 @@ def _table() -> np.ndarray:
     return _fold[0]
 
 
-def _grams(texts: list[str], fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(3, n) buckets of the 1-, 2- and 3-grams that begin at each position, the texts' starts, and which positions are letters.
+def _folded(text: str) -> np.ndarray:
+    """The text's code points, letters in lower case and everything else a space, with two spaces that are no part of it behind."""
+    u = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    out = np.full(len(u) + 2, 32, np.uint32)
+    out[:-2] = _table()[np.minimum(u, 65535)]
+    if u.max(initial=0) > 65535:
+        at = np.flatnonzero(u > 65535)
+        high, back = np.unique(u[at], return_inverse=True)
+        out[at] = np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 32 for c in high.tolist()], dtype=np.uint32)[back]
+    return out
+
 
-    Positions that begin inside a run of spaces or between texts have the bucket BUCKETS, which no gram hashes to.
+def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the text's 1-, 2- and 3-grams, ascending, and how often each occurs; none for a text without a letter.
+
+    Grams that begin with two spaces, or are a single one, don't count. A long text is gone through piece by piece.
     """
-    ends = "\n\n"
-    u = np.frombuffer((ends.join(texts) + ends + ends).encode("utf-32-le", "replace"), dtype=np.uint32)
-    if u.max(initial=0) > 65535:
-        high = np.unique(u[u > 65535])
-        folded = np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 32 for c in high.tolist()], dtype=np.uint32)
-        c = fold[np.minimum(u, 65535)]
-        at = u > 65535
-        c[at] = folded[np.searchsorted(high, u[at])]
-    else:
-        c = fold[u]
-    n = len(c) - 2
-    a, b, d = c[:n], c[1 : n + 1], c[2 : n + 2]
-    two = a * np.uint32(0x9E3779B1) + b
-    three = two * np.uint32(0x85EBCA77) + d
+    total = np.zeros(BUCKETS + 1, np.int64)
     mix, shift = np.uint32(0xC2B2AE3D), np.uint32(32 - BITS)
-    out = np.stack([(a * np.uint32(0x27D4EB2F)) >> shift, (two * mix) >> shift, (three * mix) >> shift]).astype(np.int32)
-    letter = a != 32
-    out[0][~letter] = BUCKETS
-    out[1:, ~letter & (b == 32)] = BUCKETS
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    starts = np.concatenate(([0], np.cumsum(lengths + 2)[:-1]))
-    for k in (0, 1):
-        out[:, starts + lengths + k] = BUCKETS
-    return out, starts, letter
+    for i in range(0, max(1, len(text)), PIECE):
+        # Two characters of the next piece, so that no gram is lost between them.
+        c = _folded(text[i : i + PIECE + 2])
+        n = min(PIECE, len(text) - i)
+        a, b, d = c[:n], c[1 : n + 1], c[2 : n + 2]
+        two = a * np.uint32(0x9E3779B1) + b
+        three = two * np.uint32(0x85EBCA77) + d
+        letter = a != 32
+        some = letter | (b != 32)
+        for gram, ok in (((a * np.uint32(0x27D4EB2F)) >> shift, letter), ((two * mix) >> shift, some), ((three * mix) >> shift, some)):
+            total += np.bincount(gram[ok], minlength=BUCKETS + 1)
+    at = np.flatnonzero(total)
+    return at, total[at]
 
 
 @dataclass
 class Model:
-    """A fitted identifier; `table` holds each bucket's weights times its IDF, its IDF last, and a row of zeros."""
+    """A fitted identifier; `table` holds each bucket's weights times its IDF, and `idf` the latter."""
 
     languages: list[str]
     table: np.ndarray
+    idf: np.ndarray
     bias: np.ndarray
     temperature: float
 
     def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) probabilities, and whether each text has a letter."""
-        grams, starts, letter = _grams(texts, _table())
-        sums = np.zeros((len(texts), self.table.shape[1]))
-        for row in grams:
-            sums += np.add.reduceat(self.table[row], starts, axis=0, dtype=np.float64)
-        logits = SCALE * sums[:, :-1] / np.maximum(sums[:, -1:], 1e-9) + self.bias
-        return _softmax(logits / self.temperature), np.logical_or.reduceat(letter, starts)
+        """(texts, languages) probabilities, and whether each text has a letter. Work and memory follow the buckets that a text has."""
+        logits, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool)
+        for k, t in enumerate(texts):
+            at, n = _counts(t)
+            letters[k] = len(at) > 0
+            x = n.astype(np.float64)
+            logits[k] = SCALE * (x @ self.table[at]) / max(float(x @ self.idf[at]), 1e-9) + self.bias
+        return _softmax(logits / self.temperature), letters
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -98,21 +103,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
     """In how many texts each bucket occurs, over all rows, and the number of rows. BUCKETS counts reach the driver."""
-    prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold, df, rows = _table(), np.zeros(BUCKETS + 1, np.int64), 0
-        for b in batches:
-            texts = texts_of(b.column(0))
-            if not texts:
-                continue
-            grams, starts, _ = _grams(texts, fold)
-            stops = np.append(starts[1:], grams.shape[1])
-            for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
-                seen = np.zeros(BUCKETS + 1, np.int64)
-                seen[grams[:, s:e]] = 1
-                df += seen
-            rows += len(texts)
+        df, rows = np.zeros(BUCKETS + 1, np.int64), 0
+        for b in bounded(batches, 0):
+            for t in texts_of(b.column(0)):
+                df[_counts(t)[0]] += 1
+            rows += b.num_rows
         df[BUCKETS] = rows
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(df[at])], names=["bucket", "n"])
@@ -125,31 +122,27 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 
 
 def _sample(docs: DataFrame, text: str, label: str, per_language: int) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Languages, and for the sampled texts their buckets, counts and language: `per_language` different ones of each in expectation."""
-    counts = docs.filter(F.col(label).isNotNull()).groupBy(label).count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in column {label}")
-    languages = sorted(r[0] for r in counts)
-    # Rates are of different texts, and each text is drawn once: copies take no other text's place.
-    texts = docs.filter(F.col(label).isNotNull()).select(F.col(label).alias("y"), F.xxhash64(text).alias("t")).distinct()
-    sizes = {r.y: r["count"] for r in texts.groupBy("y").count().collect()}
-    part = F.pmod(F.xxhash64(F.col(text), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    take = F.coalesce(*[F.when(F.col(label) == F.lit(k), F.lit(per_language / n)) for k, n in sizes.items()], F.lit(0.0))
+    """Languages, and for the sampled texts their buckets, counts and language: `per_language` different ones of each in expectation.
+
+    Rates are of different texts, and each text is drawn once: copies take no other text's place, and reruns agree.
+    """
+    labelled = docs.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("y"), F.col(text).alias("t"))
+    sizes = labelled.select("y", F.xxhash64("t").alias("t")).distinct().groupBy("y").count()
+    part = F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    languages = sorted(r.y for r in sizes.select("y").collect())
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = _table()
-        for b in batches:
-            for t, y in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True):
-                n = np.bincount(_grams([t], fold)[0].ravel(), minlength=BUCKETS + 1)[:BUCKETS]
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_pylist([{"y": y, "at": at.astype(np.int32).tobytes(), "n": n[at].astype(np.int32).tobytes()}], pa.schema([("y", pa.string()), ("at", pa.binary()), ("n", pa.binary())]))
-
-    chosen = docs.filter(part < take).select(F.col(text).alias("t"), F.col(label).cast("string").alias("y")).distinct()
+        for b in bounded(batches, "t"):
+            got = [_counts(t) for t in texts_of(b["t"])]
+            cells = [[x.astype(np.int32).tobytes() for x in column] for column in zip(*got, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["y"], *[pa.array(c, pa.binary()) for c in cells]], names=["y", "at", "n"])
+
+    chosen = labelled.join(F.broadcast(sizes), "y").filter(part < per_language / F.col("count")).select("y", "t").distinct()  # a row a language
     got = chosen.mapInArrow(features, "y string, at binary, n binary").collect()
     got.sort(key=lambda r: (r.y, bytes(r.at), bytes(r.n)))
-    where = {str(k): i for i, k in enumerate(languages)}
+    where = {y: i for i, y in enumerate(languages)}
     rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32)) for r in got]
-    return [str(k) for k in languages], rows, np.array([where[r.y] for r in got], dtype=int)
+    return languages, rows, np.array([where[r.y] for r in got], dtype=int)
 
 
 def _ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int, alpha: float, beta: float, l1: float, l2: float, seed: int) -> np.ndarray:
@@ -180,8 +173,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
 
     docs are the learnable rows. Null texts count as empty. With one language only that one can be predicted.
     """
+    docs = docs.filter(F.col(label).isNotNull())
     df, total = document_frequencies(docs, text)
-    prepare(docs.sparkSession)
     languages, rows, y = _sample(docs, text, label, per_language)
     if not rows:
         return None
@@ -195,9 +188,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
     # The negative log-likelihood has one minimum in the inverse temperature; it is searched on a fixed logarithmic grid.
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 200))
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in grid]
-    table = np.zeros((BUCKETS + 1, len(languages) + 1), np.float32)
-    table[:-1, :-1], table[:-1, -1] = w[:-1] * idf[:, None], idf
-    return Model(languages, table, w[-1], float(grid[int(np.argmin(loss))]))
+    return Model(languages, (w[:-1] * idf[:, None]).astype(np.float32), idf.astype(np.float32), w[-1], float(grid[int(np.argmin(loss))]))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -206,24 +197,23 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", out: tuple
     A null text, a text without a letter, and every text if there is no model get `und` and the score 0. Columns of these
     names in docs are replaced; rows, repeats included, are kept as they are.
     """
-    spark = docs.sparkSession
-    prepare(spark)
     kept = [c for c in docs.columns if c not in out]
-    sent = spark.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and MOST_LANGUAGES
+    (own,) = fresh(docs, "__text")
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is BUCKETS times the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
-            texts = texts_of(b.column("__text"))
+        for b in bounded(batches, own):
+            texts = texts_of(b.column(own))
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            if m is not None and texts:
+            if m is not None:
                 p, letters = m.probabilities(texts)
                 best = p.argmax(axis=1)
                 lang = [m.languages[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist(), strict=True)]
                 score = np.where(letters, p[np.arange(len(texts)), best], 0.0).clip(0, 1).tolist()
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, *out])
 
-    got = docs.select(*kept, F.col(text).alias("__text"))
+    got = docs.select(*kept, F.col(text).alias(own))
     schema = docs.select(*kept).withColumns({out[0]: F.lit(""), out[1]: F.lit(0.0)}).schema
     return got.mapInArrow(run, schema)
 

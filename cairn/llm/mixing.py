@@ -1,28 +1,30 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-Each source is laid out as a cyclic stream of words: its documents in a seeded order, one after the other. The streams
-are read in blocks of equally many words. All blocks of the mix are apportioned to the sources by highest quotients
+Each source is laid out as a stream of words, its documents in a seeded order, one after the other, and the stream is cut into
+blocks of equally many words (the last one may be shorter). All blocks of the mix are apportioned to the sources by highest quotients
 target / (2 k + 1); because the seats are awarded in one order, every prefix of it is apportioned too, and cutting the
-order at equal counts gives integer quotas for every shard. A source's blocks are then taken from a seeded start of
-its seeded stream, cyclically, shard after shard, so which blocks are in and which documents are repeated is the seed's
-choice and reruns agree.
-
-Scale. Only (row key, source, words) is shuffled, never a text. Positions in a stream are sums over SLICES slices of a
-source by hash, then within a slice, so a source with a third of all rows is dealt over all tasks. The table of sources
-is gathered on the driver; its rows are counted first and MOST_SOURCES is the most it may have, since weights are given
-by source.
+order at equal counts gives integer quotas for every shard. Then blocks are selected: a keyed permutation of a source's blocks gives the
+order in which its shards draw them, one after the other, as many as their quotas say; after the last block the order begins anew. So the
+seed chooses which blocks are in, which are repeated and which shard has them, and reruns agree.
+
+Scale. Only (row key, source, words) is shuffled to find the blocks of a document, never a text. Positions in a stream are sums over SLICES
+slices of a source by hash, then within a slice, so a source with a third of all rows is dealt over all tasks. The table of sources, a few
+numbers for each, is gathered on the driver: weights are given by source.
 """
 
 from __future__ import annotations
 
 import heapq
-import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key
+from .common import Scratch, fresh, kept_as, row_key, small
+from .training_order import Feistel
 
 WEIGHTS = (5, 2, 1)
 #: Words of the mix as a share of all words, and the most times that a source may be repeated.
@@ -30,10 +32,13 @@ SHARE = 1.5
 MOST_TIMES = 2
 SHARDS = 8
 SLICES = 1024
-MOST_SOURCES = 100_000
 #: Most words of a block; small sources make the blocks smaller, so that each target is BLOCKS_EACH blocks at least.
 BLOCK_WORDS = 1024
-BLOCKS_EACH = 200
+BLOCKS_EACH = 1000
+#: Copies of a repeated row that one row stands for while they are dealt out.
+PORTION = 100
+#: Blocks of documents that a task looks at together.
+TOGETHER = 1 << 18
 
 
 def word_count(text: str) -> Column:
@@ -78,14 +83,19 @@ def apportion(wanted: list[float], seats: int) -> list[int]:
 
 @dataclass
 class Plan:
-    """A mix: sources in code point order, null last, with their sizes, targets, block quotas by shard and seeded starts."""
+    """A mix: sources in code point order, null last, with their sizes, targets, numbers of blocks, and block quotas by shard."""
 
     sources: list[str | None]
     sizes: list[int]
     targets: list[float]
     block: int
+    blocks: list[int]
     quotas: list[list[int]]
-    starts: list[int]
+    seed: int
+
+    def order(self, source: int) -> Feistel:
+        """The permutation in which a source's blocks are drawn."""
+        return Feistel(max(1, self.blocks[source]), self.seed * 1_000_003 + source)
 
 
 def plan(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_TIMES, shards: int = SHARDS, seed: int = 17) -> Plan:
@@ -95,29 +105,65 @@ def plan(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, sha
     wanted = targets(n, [weights[i % len(weights)] for i in range(len(n))], share, most)
     least = min((w for w in wanted if w > 0), default=0.0)
     block = max(1, min(BLOCK_WORDS, int(least / BLOCKS_EACH)))
-    blocks = round(sum(wanted) / block)
-    ends = [apportion(wanted, blocks * (k + 1) // shards) for k in range(shards)]
-    # A source never gives more than most times its words: what rounding puts above that is cut off its last shards.
-    ends = [[min(q, int(most * n[i]) // block) for i, q in enumerate(e)] for e in ends]
+    blocks = [-(-x // block) for x in n]
+    ends = [apportion(wanted, round(sum(wanted) / block) * (k + 1) // shards) for k in range(shards)]
+    # A source never gives a block more than most times: what rounding puts above that is cut off its last shards.
+    ends = [[min(q, int(most * blocks[i])) for i, q in enumerate(e)] for e in ends]
     quotas = [[q - (ends[k - 1][i] if k else 0) for i, q in enumerate(e)] for k, e in enumerate(ends)]
-    rng = random.Random(f"{seed}")
-    starts = [rng.randrange(max(1, x)) for x in n]
-    return Plan(sources, n, wanted, block, quotas, starts)
+    return Plan(sources, n, wanted, block, blocks, quotas, seed)
+
+
+def draws(p: Plan, source: int, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For documents of a source that begin at the given words of its stream: words taken, whole copies, and the first shard (-1 for none).
+
+    taken: the words of a document's blocks, each as often as the block is drawn. copies: how often the block with its middle word is drawn.
+    """
+    ends = np.cumsum([q[source] for q in p.quotas])
+    rounds, rest = divmod(int(ends[-1]), max(1, p.blocks[source]))
+    order, b = p.order(source), p.block
+    taken, copies, first = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
+    some = np.flatnonzero(size > 0)
+    low, high = at[some] // b, (at[some] + size[some] - 1) // b
+    each = high - low + 1
+    middle = (at[some] + size[some] // 2) // b
+    copies[some] = rounds + (order.slot(middle) < rest) if len(some) else 0
+    begins = np.cumsum(each) - each
+    stops = np.append(begins[1:], each.sum()) if len(some) else begins
+    i = 0
+    while i < len(some):
+        j = max(i + 1, int(np.searchsorted(stops, begins[i] + TOGETHER, side="right")))
+        for piece in range(0, int(stops[j - 1] - begins[i]), TOGETHER):  # more than one for a very long document only
+            number = np.arange(begins[i] + piece, min(stops[j - 1], begins[i] + piece + TOGETHER))
+            doc = np.searchsorted(begins, number, side="right") - 1
+            block = low[doc] + number - begins[doc]
+            rank = order.slot(block)
+            times = rounds + (rank < rest)
+            words = np.minimum((block + 1) * b, at[some][doc] + size[some][doc]) - np.maximum(block * b, at[some][doc])
+            np.add.at(taken, some[doc], words * times)
+            shard = np.where(times > 0, np.searchsorted(ends, rank, side="right"), len(ends))
+            best = np.full(len(at), len(ends), np.int64)
+            np.minimum.at(best, some[doc], shard)
+            found = best < len(ends)
+            first[found] = np.where(first[found] < 0, best[found], np.minimum(first[found], best[found]))
+        i = j
+    return taken, copies, first
 
 
 def mix(docs: DataFrame, scratch: Scratch, text: str = "text", source: str = "source", key: tuple[str, ...] = ("doc_id",), weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_TIMES, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """One row per row of docs: the key columns, `size`, `source_size`, `target`, `taken`, `copies`, `first_shard`, `_k1`, `_k2`.
 
     taken: how many of the row's words the mix takes, repeats counted. copies: whole copies for a consumer that can't
-    cut documents; the middle word of the row decides, so copies follow taken. first_shard: the shard of the
-    first block that has words of the row; null if none has. Rows with null or blank texts have size 0 and are not taken; a null
-    source is a source of its own. Repeated rows count as often as they occur. An empty table gives an empty table.
+    cut documents; the block of the row's middle word decides, so copies follow taken. first_shard: the first shard that draws a block
+    with words of the row; null if none does. Rows with null or blank texts have size 0 and are not taken; a null source is a source of its
+    own. Repeated rows count as often as they occur. _k1, _k2: the row key of all columns. A key column with the name of one of these gets an
+    underscore behind it. An empty table gives an empty table.
     """
-    keyed = docs.select(*[F.col(c) for c in key], F.col(source).alias("__source"), word_count(text).alias("size"), *row_key(*key, text))
+    made = ["size", "source_size", "target", "taken", "copies", "first_shard", "_k1", "_k2"]
+    own = kept_as(key, made)
+    key = docs.select(*own).columns
+    keyed = docs.select(*own, F.col(source).alias("__source"), word_count(text).alias("size"), *row_key(*docs.columns))
     rows = scratch.cut(keyed, "sizes")
-    totals = rows.groupBy("__source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: weights by source are meant for fewer")
+    totals = rows.groupBy("__source").agg(F.sum("size").alias("n")).collect()  # a row a source
     p = plan({r[0]: int(r[1]) for r in totals}, weights, share, most, shards, seed)
 
     # Position of each row in its source's stream: words of the slices before its own, then of the rows before it in the slice.
@@ -130,41 +176,45 @@ def mix(docs: DataFrame, scratch: Scratch, text: str = "text", source: str = "so
     same = F.expr("a.__source <=> b.__source AND a.__slice = b.__slice")
     placed = ranked.alias("a").join(before.alias("b"), same).select("a.*", (F.col("__inside") + F.col("__base")).alias("__at"))
 
-    each = [(s, p.sizes[i], p.targets[i], p.starts[i], [sum(q[i] for q in p.quotas[: k + 1]) * p.block for k in range(shards)]) for i, s in enumerate(p.sources)]
-    table = docs.sparkSession.createDataFrame(each, "__s string, source_size long, target double, __start long, __ends array<long>")
-    full = placed.join(F.broadcast(table), F.col("__source").eqNullSafe(F.col("__s")))  # MOST_SOURCES rows at most
-
-    # The mix reads the stream from the start for __ends[-1] words, at most `most` rounds: how often does it pass the words at and behind?
-    round_ = F.greatest(F.col("source_size"), F.lit(1))
-    whole, gone = F.element_at("__ends", -1), F.pmod(F.col("__at") - F.col("__start"), round_)
+    each = [(s, i, p.sizes[i], p.targets[i]) for i, s in enumerate(p.sources)]
+    table = docs.sparkSession.createDataFrame(each, "__s string, __number int, source_size long, target double")
+    full = placed.join(small(table, len(each)), F.col("__source").cast("string").eqNullSafe(F.col("__s")))
+    full = full.select(*key, "size", "source_size", "target", "_k1", "_k2", "__number", "__at")
+    sent = docs.sparkSession.sparkContext.broadcast(p)
 
-    def passed(position: Column, words: Column) -> Column:
-        """Words read so far of those that lie at the given distance behind the start, over all rounds."""
-        out = F.lit(0)
-        for k in range(-1, int(most) + 1):
-            begin = position + F.lit(k) * F.col("source_size")
-            out = out + F.greatest(F.lit(0), F.least(begin + words, whole) - F.greatest(begin, F.lit(0)))
-        return out
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number, at, size = (b[c].to_numpy() for c in ("__number", "__at", "size"))
+            out = np.zeros((3, len(at)), np.int64)
+            for i in np.unique(number).tolist():
+                own = number == i
+                out[:, own] = draws(sent.value, i, at[own], size[own])
+            cells = [pa.array(out[0]), pa.array(out[1].astype(np.int32)), pa.array(out[2].astype(np.int32), mask=out[2] < 0)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cells], names=[*b.schema.names, "taken", "copies", "first_shard"])
 
-    some = F.col("size") > 0
-    taken = F.when(some, passed(gone, F.col("size"))).otherwise(F.lit(0)).cast("long")
-    middle = F.pmod(gone + F.floor(F.col("size") / 2), round_)
-    copies = F.when(some, passed(middle, F.lit(1))).otherwise(F.lit(0)).cast("int")
-    first = F.when(gone + F.col("size") > F.col("source_size"), F.lit(0)).otherwise(gone)
-    shard = F.when((F.col("taken") > 0), F.size(F.filter("__ends", lambda e: e <= F.col("__first"))))
-    out = full.withColumns({"taken": taken, "copies": copies, "__first": first}).withColumn("first_shard", shard)
-    return out.select(*key, "size", "source_size", "target", "taken", "copies", "first_shard", "_k1", "_k2")
+    schema = full.withColumns({"taken": F.lit(0).cast("long"), "copies": F.lit(0), "first_shard": F.lit(None).cast("int")}).schema
+    return full.mapInArrow(drawn, schema).select(*key, *made)
 
 
 def apply(docs: DataFrame, text: str = "text", source: str = "source", key: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
-    """The rows of docs as the mix has them: each as many times as its copies say. Columns and values are unchanged."""
+    """The rows of docs as the mix has them: each as many times as its copies say. Columns, their names and values are unchanged.
+
+    Rows that are equal in all columns are one row with the sum of their copies, which are dealt out again in portions of PORTION.
+    """
     scratch = Scratch(docs.sparkSession, "mix")
-    counts = mix(docs, scratch, text, source, key, **options).groupBy("_k1", "_k2").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    counts = scratch.cut(counts, "copies")
+    mixed = mix(docs, scratch, text, source, key, **options)
+    counts = scratch.cut(mixed.groupBy("_k1", "_k2").agg(F.sum("copies").alias("n"), F.count("*").alias("rows")).filter("n > 0"), "copies")
     scratch.drop("sizes")
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(*key, text), strict=True))).join(counts, ["_k1", "_k2"])
-    # Equal rows share their copies: the first ones get one more where the number can't be split evenly.
-    nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1")) - 1
-    own = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") < F.pmod("_copies", "_rows")).cast("long")
-    times = keyed.withColumn("_nth", nth).withColumn("_own", own).filter("_own > 0")
-    return times.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_own"))).alias("_copy")).drop("_copy")
+    k1, k2, n, rows = fresh(docs, "_k1", "_k2", "_n", "_rows")
+    keyed = docs.withColumns(dict(zip((k1, k2), row_key(*docs.columns, names=(k1, k2)), strict=True)))
+    counts = counts.select(F.col("_k1").alias(k1), F.col("_k2").alias(k2), F.col("n").alias(n), F.col("rows").alias(rows))
+    out = keyed.join(counts.filter(F.col(rows) == 1), [k1, k2]).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    several = counts.filter(F.col(rows) > 1)
+    if several.count():
+        # Equal rows become one where they are read; what goes out again is dealt over all tasks.
+        one = keyed.join(several, [k1, k2]).dropDuplicates([k1, k2])
+        portions = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / PORTION) - 1), lambda i: F.least(F.lit(PORTION).cast("long"), F.col(n) - i * PORTION))
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        one = one.withColumn(n, F.explode(portions)).repartition(parts).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+        out = out.unionByName(one)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,13 +28,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op2")
     archives = scratch.path("archives")
     warc.write(warc.plan(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch), archives)
-    records = warc.read(archives, spark)
+    records = warc.verified(scratch.cut(warc.read(archives, spark), "records"))
     return records.select(
         warc.page_of(F.col("id")).cast("long").alias("page_id"),
         "payload_bytes",
-        F.regexp_replace("digest", "^sha1:", "").alias("payload_digest"),
+        "payload_digest",
         F.col("type").alias("record_type"),
         warc.page_of(F.col("refers_to")).cast("long").alias("refers_to"),
+        "verified",
     )
 
 
@@ -111,7 +112,7 @@ ORACLE_SQL: dict[str, str] = {
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 l AS (SELECT *, CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS last FROM p)
 SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
-CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM l""",
+CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, TRUE AS verified FROM l""",
     "op5_secrets": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 k AS (SELECT doc_id, 0 AS kind, 6 AS least, regexp_extract_all(x, '{_ASSIGN}') AS m, regexp_extract_all(x, '{_ASSIGN}', 2) AS g, regexp_split_to_array(x, '{_ASSIGN}') AS p FROM t

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare, texts_of
+from .common import SLICE_BYTES, Scratch, bounded, texts_of
 
 KINDS = ("assign", "access", "hex")
 #: Changes with every change of the rules below, so that old blobs are scanned again.
@@ -56,7 +56,7 @@ def said(found: list[tuple[int, int, int]]) -> str:
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(blob, body): the texts of a task by content address, each once."""
     seen, squeeze = set(), zstandard.ZstdCompressor(level=1)
-    for b in batches:
+    for b in bounded(batches, 0):
         blobs, bodies = [], []
         for t in texts_of(b.column(0)):
             raw = t.encode("utf-8", "surrogatepass")
@@ -71,7 +71,7 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(blob, rules, spans) for the blobs of a partition, each scanned once."""
     seen, expand = set(), zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in bounded(batches, "body", SLICE_BYTES // 4):  # compressed
         new = [i for i, k in enumerate(b["blob"].to_pylist()) if not (k in seen or seen.add(k))]
         blobs = b["blob"].take(pa.array(new, pa.int64()))
         texts = [expand.decompress(x).decode("utf-8", "surrogatepass") for x in b["body"].take(pa.array(new, pa.int64())).to_pylist()]
@@ -93,7 +93,6 @@ def scan(versions: DataFrame, ledger: str, text: str = "text") -> int:
     Null texts are the empty blob. Rows may repeat; a blob is scanned once. An empty table appends nothing.
     """
     spark = versions.sparkSession
-    prepare(spark)
     blobs = versions.select(F.col(text).alias("t")).mapInArrow(_blobs, "blob binary, body binary")
     known = read(spark, ledger).filter(F.col("rules") == RULES).select("blob").distinct()
     new = blobs.join(known, "blob", "left_anti") if not known.isEmpty() else blobs

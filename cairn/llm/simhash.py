@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare, row_key, texts_of
+from .common import Scratch, bounded, texts_of
 from .components import components
 
 DISTANCE = 4
@@ -60,11 +60,10 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
     """The columns of docs but the text, and `fp`, the fingerprint as a signed long. Null texts count as empty."""
-    prepare(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, "__text"):
             fp = np.array([fingerprint(t, width, seed) for t in texts_of(b.column("__text"))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp.view(np.int64))], names=[*keep, "fp"])
 
@@ -193,24 +192,3 @@ def classes(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = scratch.cut(named.join(least, "component").select("fp", "component_id", "component"), "classes")
     return marks.join(by_fp.select("fp", "component_id"), "fp"), by_fp
-
-
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, distance: int = 7) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id, one of them if rows share it.
-
-    Columns and values of the kept rows are unchanged. Among rows that share the smallest doc_id of a component the one
-    with the least row key stays; of repeated equal rows one stays; rows with null ids stay only where a component has
-    no other id.
-    """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    keyed = docs.select(*row_key(doc_id, text), F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    marks, by_fp = classes(keyed, scratch, "__id", "__text", width, distance)
-    rows = marks.join(by_fp.select("fp", "component"), "fp")
-    stays = F.struct(F.col("__id").isNull(), "__id", "_k1", "_k2")
-    best = rows.groupBy("component").agg(F.min(stays).alias("b")).select("b._k1", "b._k2")
-    kept = scratch.cut(best, "kept")
-    scratch.drop("fingerprints", "nodes", "classes")
-    found = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(doc_id, text), strict=True))).join(kept, ["_k1", "_k2"])
-    # Equal rows share a key: the window runs on the join's partitioning and drops repeats.
-    n = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1"))
-    return found.withColumn("_n", n).filter("_n = 1").drop("_n", "_k1", "_k2")

@@ -5,9 +5,10 @@ skipped. A text's fingerprint is the set of its signatures. Boilerplate, which h
 Every text with a word has at least the signature of its beginning. Where common words are rarer than one in
 RARE words (another language, tables, junk), one word in HASHED, chosen by hash, is an anchor too.
 
-Sets are compared by Jaccard similarity. Sets whose sizes alone keep it under the threshold are never compared: the search
-partitions sets by size, and two sets can only meet in their own or the next partition. Within one, only the rarest signatures
-of a set (its prefix) are index keys: two similar sets share one of them.
+Sets are compared by Jaccard similarity, pruned by size: sets are partitioned by their number of signatures, and a pair whose partitions lie
+so far apart that it can't reach the least similarity asked for is not compared. Stated pairs (a text and its edited text, a document
+and the next one) go through that comparison alone. The search for all similar sets compares sets of the same or the next partition, where only
+the rarest signatures of a set (its prefix) are index keys: two similar sets share one of them.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key
+from .common import Scratch, row_key, small
 
 CHAIN = 2
 RARE = 20
 HASHED = 8
 THRESHOLD = 0.8
-#: Text bytes of one bucket of neighbours; buckets are many more than partitions, and at most MOST_BUCKETS.
-BUCKET_BYTES = 32 << 20
-MOST_BUCKETS = 100_000
+#: Stated pairs that can't be as alike as this, by their sizes, count as unlike: 0.
+LEAST = 0.02
+#: Text bytes of one bucket of neighbours; buckets are more than partitions.
+BUCKET_BYTES = 64 << 20
 
 #: Common words of English, German, French and Spanish.
 COMMON = tuple(
@@ -40,7 +42,7 @@ COMMON = tuple(
 
 
 def with_signatures(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """docs with the array column `name`: the distinct signatures of the text as longs, sorted; empty for a null or wordless text."""
+    """docs with the array column `name`: the distinct signatures of the text as ints, sorted; empty for a null or wordless text."""
     w, anchors, content = f"__w_{name}", f"__a_{name}", f"__c_{name}"
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     common = lambda x: x.isin(*COMMON)
@@ -53,14 +55,14 @@ def with_signatures(docs: DataFrame, text: str, name: str) -> DataFrame:
     out = out.withColumn(content, F.filter(w, lambda x, i: ~F.get(f"{w}_f", i)))
     # The j-th anchor, at word p, has p - j content words before it.
     chain = lambda at: [F.get(content, at + k) for k in range(CHAIN)]
-    spots = F.transform(anchors, lambda p, j: F.xxhash64(F.get(w, p), *chain(p - j)))
-    first = F.when(F.size(w) > 0, F.array(F.xxhash64(F.lit("^"), *chain(F.lit(0))))).otherwise(F.array().cast("array<bigint>"))
+    spots = F.transform(anchors, lambda p, j: F.hash(F.get(w, p), *chain(p - j)))
+    first = F.when(F.size(w) > 0, F.array(F.hash(F.lit("^"), *chain(F.lit(0))))).otherwise(F.array().cast("array<int>"))
     return out.withColumn(name, F.sort_array(F.array_distinct(F.concat(first, spots)))).drop(w, f"{w}_f", anchors, content)
 
 
 def fingerprint(signatures: str) -> Column:
-    """A signature set as text: the low 32 bits of each as 8 hexadecimal digits."""
-    return F.array_join(F.transform(signatures, lambda s: F.lpad(F.lower(F.hex(s.bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
+    """A signature set as text: each signature as 8 hexadecimal digits."""
+    return F.array_join(F.transform(signatures, lambda s: F.lpad(F.lower(F.hex(s.cast("bigint").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -70,17 +72,24 @@ def likeness(a: str, b: str) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(both / F.greatest(total, F.lit(1))).cast("double")
 
 
+def size_partition(n: Column, threshold: float = THRESHOLD) -> Column:
+    """The partition of a set with n signatures; sets at the threshold lie in the same or in neighbouring ones. Null for the empty set."""
+    return F.when(n > 0, F.floor(F.log(n) / F.lit(-math.log(threshold)) + 1e-9))
+
+
 def pruned_likeness(a: str, b: str, least: float) -> Column:
-    """likeness() where the sizes of the sets allow `least`, else null, without looking at the sets."""
-    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    return F.when(small >= F.lit(least) * large, likeness(a, b))
+    """likeness() where size partitions and sizes of the sets allow `least`, else null, without looking at the sets."""
+    apart = math.ceil(math.log(least) / math.log(THRESHOLD) - 1e-9) if least < THRESHOLD else 1
+    near = F.abs(size_partition(F.size(a)) - size_partition(F.size(b))) <= apart
+    small_, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    both_empty = large == 0
+    return F.when(both_empty | (near & (small_ >= F.lit(least) * large)), likeness(a, b))
 
 
-def _bucket(bounds: list[tuple]) -> Column:
-    """How many of the ascending bounds are at or before the key columns; found by halving."""
-    if not bounds:
-        return F.lit(0)
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
+def _bucket() -> Column:
+    """How many of the ascending `__bounds` are at or before `__key`; found by halving."""
+    n = F.coalesce(F.size("__bounds"), F.lit(0))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
 
     def halve(s: Column, _: Column) -> Column:
         middle = F.shiftright(s["lo"] + s["hi"], 1)
@@ -88,35 +97,36 @@ def _bucket(bounds: list[tuple]) -> Column:
         go = s["lo"] < s["hi"]
         return F.struct(F.when(go & before, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(go & ~before, middle).otherwise(s["hi"]).alias("hi"))
 
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    return F.aggregate(steps, start, halve)["lo"]
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve)["lo"]
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Window]:
     """docs with `__next`, the text of the next document by descending doc_id (the first one's after the last), and the window that has it.
 
-    Ties of doc_id go by row key, null ids come last. Rows marked `__copy` are no rows of docs: each bucket of neighbours ends in
-    a copy of the row that follows it. Texts are shuffled once, by bucket; the bounds of buckets come from a bounded sample of keys.
+    Ties of doc_id go by row key, null ids come last; ids must be integers. Rows marked `__copy` are no rows of docs: each bucket of
+    neighbours ends in a copy of the row that follows it. Texts are shuffled once, by bucket. The bounds of buckets, which come from a sample of
+    keys, are one row that joins all others; the rows at the beginnings of buckets are a small table.
     """
     spark = docs.sparkSession
     keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(doc_id, text), strict=True)))
     keyed = keyed.withColumns({"__null": F.col(doc_id).isNull(), "__down": F.coalesce(F.bitwise_not(F.col(doc_id).cast("bigint")), F.lit(0))})
     total, size = keyed.agg(F.count("*"), F.sum(F.coalesce(F.octet_length(text), F.lit(0)))).first()
-    buckets = min(MOST_BUCKETS, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(size or 0) // BUCKET_BYTES))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(size or 0) // BUCKET_BYTES)
     every = max(1, total // (16 * buckets))
+    key = F.struct(F.col("__null").alias("n"), F.col("__down").alias("d"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))
     keys = keyed.select("__null", "__down", "_k1", "_k2")
-    sample = sorted(tuple(r) for r in keys.filter(F.pmod(F.xxhash64(F.lit(3), "_k1", "_k2"), F.lit(every)) == 0).limit(64 * buckets).collect())
-    bounds = sorted({sample[len(sample) * k // buckets] for k in range(1, buckets)}) if sample else []
-    literal = F.lit(None) if not bounds else F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).cast("bigint").alias("d"), F.lit(a).cast("bigint").alias("k1"), F.lit(b).cast("int").alias("k2")) for n, d, a, b in bounds])
+    sample = keys.filter(F.pmod(F.xxhash64(F.lit(3), "_k1", "_k2"), F.lit(every)) == 0).agg(F.array_sort(F.collect_list(key)).alias("s"))
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(buckets)), lambda k: F.get("s", (F.size("s").cast("long") * k / (buckets + 1)).cast("int")))
+    bounds = F.broadcast(sample.select(F.array_distinct(F.filter(cuts, lambda c: c.isNotNull())).alias("__bounds")))  # one row
 
     def placed(df: DataFrame) -> DataFrame:
-        key = F.struct(F.col("__null").alias("n"), F.col("__down").alias("d"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))
-        return df.withColumns({"__key": key, "__bounds": literal}).withColumn("__bucket", _bucket(bounds)).drop("__bounds")
+        return df.join(bounds).withColumn("__key", key).withColumn("__bucket", _bucket()).drop("__bounds")
 
-    firsts = sorted(((r[0], r[1]) for r in placed(keys).groupBy("__bucket").agg(F.min("__key")).collect()), key=lambda r: r[0])  # one key a bucket
-    follows = [(tuple(key), firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)]
-    extra = spark.createDataFrame([(k[2], k[3], k[1], b) for k, b in follows], "_k1 long, _k2 int, __down long, __before int")
-    rows = placed(keyed).join(F.broadcast(extra), ["_k1", "_k2", "__down"], "left")  # MOST_BUCKETS rows at most
+    firsts = placed(keys).groupBy("__bucket").agg(F.min("__key").alias("__key"))
+    along = Window.orderBy("__bucket")  # a row a bucket
+    before = F.coalesce(F.lag("__bucket").over(along), F.max("__bucket").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    extra = firsts.select(F.col("__key.k1").alias("_k1"), F.col("__key.k2").alias("_k2"), F.col("__key.d").alias("__down"), before.alias("__before"))
+    rows = placed(keyed).join(small(extra, buckets + 1), ["_k1", "_k2", "__down"], "left")
     home = F.struct(F.lit(False).alias("copy"), F.col("__bucket").alias("bucket"))
     there = F.struct(F.lit(True).alias("copy"), F.col("__before").alias("bucket"))
     spread = rows.withColumn("__at", F.explode(F.when(F.col("__before").isNull(), F.array(home)).otherwise(F.array(home, there))))
@@ -129,7 +139,8 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of docs.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next
-    document by descending doc_id. Null texts count as empty; repeated rows stay; an empty table gives an empty table.
+    document by descending doc_id. Null texts count as empty; repeated rows stay; an empty table gives an empty table. near_edited and
+    near_next are the likeness of the fingerprints' signature sets, 0 where their sizes don't allow LEAST. A doc_id that is no integer is an error.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, order = with_next(plain)
@@ -138,7 +149,8 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     rows = with_signatures(rows, "text", "__own").withColumn("n_chars", n.cast("long")).drop("text")
     rows = rows.withColumn("__following", F.lead("__own").over(order)).filter(~F.col("__copy"))
     rows = with_signatures(rows, "__edited", "__other").withColumn("edited_sha256", F.sha2(F.col("__edited").cast("binary"), 256))
-    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint("__own").alias("fingerprint"), fingerprint("__other").alias("edited_fingerprint"), likeness("__own", "__other").alias("near_edited"), likeness("__own", "__following").alias("near_next"))
+    near = lambda a, b: F.coalesce(pruned_likeness(a, b, LEAST), F.lit(0.0))
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint("__own").alias("fingerprint"), fingerprint("__other").alias("edited_fingerprint"), near("__own", "__other").alias("near_edited"), near("__own", "__following").alias("near_next"))
 
 
 def similar_sets(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -154,8 +166,7 @@ def similar_sets(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text
     rare = spots.groupBy("sig").agg(F.count("*").alias("df"))
     ranked = F.row_number().over(Window.partitionBy("set_id").orderBy("df", "sig"))
     prefix = spots.join(rare, "sig").withColumn("r", ranked).filter(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    part = F.floor(F.log(F.col("n")) / F.lit(-math.log(threshold)) + 1e-9)
-    index = prefix.select("sig", "set_id", "n", part.alias("part"))
+    index = prefix.select("sig", "set_id", "n", size_partition(F.col("n"), threshold).alias("part"))
     probe = index.withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1)))
     a, b = probe.alias("a"), index.alias("b")
     sizes = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.set_id") < F.col("b.set_id")))

@@ -6,7 +6,7 @@ of a word or a whole word. A match inside an exception phrase doesn't count. The
 also per hundred words, and a logistic curve of both gives the score.
 
 Terms, weights, exception phrases and the curve are learned from labelled texts only, of which a bounded sample is taken:
-`per_class` of either label in expectation, at most twice as many in all.
+`per_class` of either label in expectation. All terms and phrases of the sample that have the support are in the lexicon.
 """
 
 from __future__ import annotations
@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare, texts_of
+from .common import Scratch, bounded, fresh, texts_of
 
 PER_CLASS = 3000
 #: Sampled texts are counted by so many tasks.
 SAMPLE_TASKS = 16
-MOST_TERMS = 5000
-MOST_PHRASES = 5000
 #: Toxic texts of the sample that a term must occur in, its least weight (the logarithm of the ratio of its rates), and the least
 #: likelihood ratio statistic of its counts, which keeps out terms that are rare among the others by chance.
 SUPPORT = 3
@@ -166,7 +164,7 @@ def _joint(sample: DataFrame, lexicon: Lexicon) -> dict[str, float]:
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = Lexicon({term: i for i, term in enumerate(names)}, lexicon.exceptions, lexicon.curve).automaton()
-        for b in batches:
+        for b in bounded(batches, "t"):
             found = [sorted(set(_matches(f" {fold(t)} ", a)[1])) for t in texts_of(b["t"])]
             yield pa.RecordBatch.from_arrays([b["y"], pa.array(found, pa.list_(pa.int32()))], names=["y", "found"])
 
@@ -201,23 +199,22 @@ def _terms(folded_words: set[str]) -> set[str]:
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from labelled documents. labels are the rows that may be learned from; a document labelled both ways counts as toxic.
 
-    exceptions: phrases given beforehand, beside those that are learned. Rows with a null id or label teach nothing. Without toxic
-    rows the lexicon is empty and every score is near 0.
+    exceptions: phrases given beforehand, beside those that are learned. Rows with a null id or label teach nothing; of documents that share an
+    id one teaches, that of the least text hash. Without toxic rows the lexicon is empty and every score is near 0.
     """
-    spark = docs.sparkSession
-    prepare(spark)
     y = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg((F.max(label) > 0).cast("int").alias("y"))
     counts = {r[0]: r[1] for r in y.groupBy("y").count().collect()}
     part = F.pmod(F.xxhash64(F.lit(5), "__id"), F.lit(1 << 30)) / float(1 << 30)
     take = F.coalesce(*[F.when(F.col("y") == k, F.lit(per_class / n)) for k, n in sorted(counts.items())], F.lit(0.0))
-    chosen = y.filter(part < take).limit(4 * per_class)  # a bounded sample: small enough to broadcast
-    sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).join(F.broadcast(chosen), "__id").select("t", "y")
+    chosen = y.filter(part < take)  # 2 * per_class rows in expectation: small enough to broadcast
+    sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).join(F.broadcast(chosen), "__id")
+    sample = sample.groupBy("__id", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("t", "y")
     sample = scratch.cut(sample.repartition(SAMPLE_TASKS), "sample")
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts that each term occurs in."""
         have = Counter()
-        for b in batches:
+        for b in bounded(batches, "t"):
             for t in texts_of(b["t"]):
                 folded = f" {fold(t)} "
                 for phrase in lexicon.exceptions:
@@ -231,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
     def count_phrases(lexicon: Lexicon):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, have = lexicon.automaton(), (Counter(), Counter())
-            for b in batches:
+            for b in bounded(batches, "t"):
                 for t, k in zip(texts_of(b["t"]), b["y"].to_pylist(), strict=True):
                     words = fold(t).split()
                     hit = {i for i, w in enumerate(words) if any(True for _ in a.iter(f" {w} "))} if len(a) else set()
@@ -252,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
     weight = F.log((pos + 0.5) / (n_pos + 1)) - F.log((neg + 0.5) / (n_neg + 1))
     evidence = 2 * (pos * F.log(pos / expected) + neg * F.log(F.greatest(neg, F.lit(0.5)) / F.greatest(pos + neg - expected, F.lit(0.5))))
     kept = both.select("term", weight.alias("w"), evidence.alias("e")).filter((F.col("w") >= LEAST_WEIGHT) & ((F.col("e") >= LEAST_EVIDENCE) | F.lit(not n_neg)))
-    rows = kept.orderBy(F.desc("w"), "term").limit(MOST_TERMS).collect()
+    rows = kept.orderBy(F.desc("w"), "term").collect()  # of the sample's terms
     # The shortest of the terms that begin alike and weigh about the same stands for the longer ones.
     for r in sorted(rows, key=lambda r: (len(r.term.strip()), r.term)):
         word = r.term.strip()
@@ -262,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
     # Phrases are learned for well supported terms only: those of chance would turn their own negatives into exceptions.
     sure = Lexicon({r.term: lexicon.terms[r.term] for r in rows if r.e >= ALONE_EVIDENCE and r.term in lexicon.terms}, [], lexicon.curve)
     phrases = sample.mapInArrow(count_phrases(sure), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    safe = phrases.filter(f"neg >= {SUPPORT} AND neg > 20 * pos").orderBy(F.desc("neg"), "term").limit(MOST_PHRASES).collect()
+    safe = phrases.filter(f"neg >= {SUPPORT} AND neg > 20 * pos").orderBy(F.desc("neg"), "term").collect()  # of the sample's word pairs
     lexicon.exceptions += [r.term for r in safe]
     joint = _joint(sample, lexicon)
     usual = float(np.median(list(joint.values()) or [1.0]))
@@ -271,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, doc_id: str = "doc
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = lexicon.automaton()
-        for b in batches:
+        for b in bounded(batches, "t"):
             w, words = sums(texts_of(b["t"]), a)
             yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(words), b["y"]], names=["w", "words", "y"])
 
@@ -286,17 +283,16 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: floa
 
     Columns of these names in docs are replaced.
     """
-    spark = docs.sparkSession
-    prepare(spark)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    sent = spark.sparkContext.broadcast(lexicon)  # MOST_TERMS and MOST_PHRASES bound it
+    (own,) = fresh(docs, "__text")
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample that it was learned from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = sent.value.automaton()
-        for b in batches:
-            s = _score(*sums(texts_of(b["__text"]), a), sent.value.curve) if b.num_rows else np.zeros(0)
+        for b in bounded(batches, own):
+            s = _score(*sums(texts_of(b[own]), a), sent.value.curve)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    got = docs.select(*kept, F.col(text).alias("__text"))
+    got = docs.select(*kept, F.col(text).alias(own))
     schema = docs.select(*kept).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     return got.mapInArrow(run, schema)

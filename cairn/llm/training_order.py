@@ -1,21 +1,21 @@
 """Training-order materialisation of token ids in fixed-stride binary shards.
 
-Every document is one token sequence, ended by the end-of-text id. A keyed Feistel permutation with cycle-walking gives
-each sequence a global slot, which is its place in the training order; no table of random numbers is sorted or kept. Slots
-are cut into equal ranges, each range is one shard, and the task of a range writes its sequences one after the other in
-slot order, cut into records of `sequence` ids. Each record takes `stride` bytes, so record r of a shard begins at byte
-r * stride and a reader resumes at any record without an index.
+A sequence is a block of `sequence` token ids. The documents that a task reads are one stream, each ended by the end-of-text id, and the stream
+is cut into sequences; its last one is filled up with end-of-text ids. A keyed Feistel permutation with cycle-walking gives each
+sequence a global slot, which is its place in the training order; no table of random numbers is sorted or kept. Slots are cut into equal
+ranges, each range is one shard, and every sequence takes `stride` bytes. So slot s lies in shard s // per_shard from byte
+(s % per_shard) * stride on: a reader needs no index, reads on sequentially, and resumes at any slot.
 
 A shard file is:
-- data records: `sequence` ids as little-endian uint16 or uint32, the last one filled up with end-of-text ids;
-- footer records of the same stride: for each sequence (slot, first id's place in the shard, number of ids, doc_id, CRC-32 of
-  the ids' bytes), little-endian, filled up with zeros;
-- a last record: MAGIC, shard, data records, sequences, filled up with zeros.
+- data records: `sequence` ids as little-endian uint16 or uint32, one record a slot;
+- footer records of the same stride: for each piece of a document (slot, place in the sequence, number of ids, doc_id, place in the document,
+  CRC-32 of the ids' bytes), little-endian, filled up with zeros;
+- a last record: MAGIC, shard, data records, pieces, filled up with zeros.
 Each record is followed by one byte, a line feed, which belongs to the stride.
 
-Scale. One shuffle, of whole texts, by shard. The positions of rows come from row counts of the input's partitions. These hold only for
-a table as written (a scan, or columns of one), which every task finds again in the same order; other input is written to
-a table in the shared folder first. A lost executor's tasks are run again with the same outcome.
+Scale. Texts stay where they are read: sequences are written to a table in the shared folder once, with the number of the task that made
+them and their number within it, so a sequence's index follows from that table alone, however it is read again. The one shuffle is of sequences, by
+shard. A lost executor's tasks are run again with the same outcome.
 """
 
 from __future__ import annotations
@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, is_scan, prepare, texts_of
+from .common import Scratch, bounded, texts_of
 
 SEQUENCE = 1024
-#: Bytes of text for one shard.
+#: Bytes of sequences in one shard.
 SHARD_BYTES = 32 << 20
 MAGIC = b"CAIRNSH1"
-_FOOTER = np.dtype([("slot", "<i8"), ("at", "<i8"), ("n", "<i8"), ("doc_id", "<i8"), ("null", "<i4"), ("crc", "<u4")])
+_PIECE = np.dtype([("slot", "<i8"), ("at", "<i4"), ("n", "<i4"), ("doc_id", "<i8"), ("first", "<i8"), ("null", "<i4"), ("crc", "<u4")])
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which the public byte-level vocabulary splits text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,12 +86,13 @@ class Feistel:
         return self._walk(slot, True)
 
 
-def encoder(content: bytes) -> tuple[Callable[[str], list[int]], int]:
+def encoder(content: bytes) -> tuple[Callable[[str], np.ndarray], int]:
     """The encoding function and end-of-text id of a byte-level vocabulary in the ranks format."""
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
-    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, max(ranks.values()) + 1
+    encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: encoding.encode_to_numpy(text, disallowed_special=()), max(ranks.values()) + 1
 
 
 @dataclass(frozen=True)
@@ -110,118 +111,145 @@ class Layout:
         return self.sequence * self.width + 1
 
 
+def sequences(docs: DataFrame, content: bytes, width: int, doc_id: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
+    """(part, seq, ids, pieces): the token sequences of docs; part is the task that made them and seq counts them there.
+
+    pieces: which documents' ids a sequence holds, as footer entries without a slot.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(content)  # a vocabulary file of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(sent.value)
+        kind, part, seq = np.dtype(f"<u{width}"), TaskContext.get().partitionId(), 0
+        held, room, pieces = [], sequence, []  # of the sequence that is being filled
+
+        def full(ready: list) -> pa.RecordBatch:
+            cells = [pa.array([part] * len(ready), pa.int32()), pa.array(range(seq - len(ready), seq), pa.int64()), *[pa.array(c, pa.binary()) for c in zip(*ready, strict=True)]]
+            return pa.RecordBatch.from_arrays(cells, names=["part", "seq", "ids", "pieces"])
+
+        for b in bounded(batches, "text"):
+            ready = []
+            for i, t in zip(b["doc_id"].to_pylist(), texts_of(b["text"]), strict=True):
+                ids = np.append(encode(t), end).astype(kind)
+                first = 0
+                while first < len(ids):
+                    some = ids[first : first + room]
+                    pieces.append((0, sequence - room, len(some), i or 0, first, i is None, zlib.crc32(some.tobytes())))
+                    held.append(some)
+                    room, first = room - len(some), first + len(some)
+                    if not room:
+                        ready.append((np.concatenate(held).tobytes(), np.array(pieces, _PIECE).tobytes()))
+                        held, room, pieces, seq = [], sequence, [], seq + 1
+                        if len(ready) >= 1000:
+                            yield full(ready)
+                            ready = []
+            if ready:
+                yield full(ready)
+        if held:
+            seq += 1
+            yield full([(np.concatenate([*held, np.full(room, end, kind)]).tobytes(), np.array(pieces, _PIECE).tobytes())])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "part int, seq long, ids binary, pieces binary")
+
+
 def write(docs: DataFrame, path: str, key: int = 20240229, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, sequence: int = SEQUENCE, shard_bytes: int = SHARD_BYTES) -> Layout:
     """Writes the shards to path, one file a shard.
 
-    Null and empty texts are sequences of the end-of-text id alone; repeated rows are sequences of their own. The vocabulary, a file
-    of fixed size that the driver reads, is broadcast. An empty table writes no shard.
+    Null and empty texts are the end-of-text id alone; repeated rows are documents of their own; a doc_id that is no integer is an error. The
+    vocabulary, a file of fixed size that the driver reads, is broadcast. An empty table writes no shard.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    if not is_scan(rows):
-        rows = Scratch(spark, "training-input").cut(rows, "rows")
-    counts = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b")).collect()
-    base, total = {}, 0
-    for r in sorted(counts, key=lambda r: r.p):  # a number for each partition, not for each row
-        base[r.p] = total
-        total += r.n
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "sequences")
     with open(vocabulary, "rb") as f:
         content = f.read()
     width = 2 if encoder(content)[1] < 1 << 16 else 4
-    shards = max(1, -(-sum(r.b for r in counts) // shard_bytes))
-    per_shard = -(-total // shards) if total else 1
-    shards = -(-total // per_shard) if total else 0
+    made = scratch.cut(sequences(docs, content, width, doc_id, text, sequence), "sequences")
+    base, total = {}, 0
+    for r in sorted(made.groupBy("part").agg(F.count("*").alias("n")).collect(), key=lambda r: r.part):  # a number for each task, not for each sequence
+        base[r.part] = total
+        total += r.n
+    per_shard = max(1, shard_bytes // (sequence * width + 1))
+    shards = -(-total // per_shard)
+    per_shard = -(-total // shards) if total else per_shard
     layout = Layout(path, total, shards, per_shard, sequence, width)
     if not total:
         return layout
-    order, sent, bases = Feistel(total, key), spark.sparkContext.broadcast(content), spark.sparkContext.broadcast(base)
+    order, bases = Feistel(total, key), spark.sparkContext.broadcast(base)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, seen = TaskContext.get().partitionId(), 0
         for b in batches:
-            slot = order.slot(np.arange(b.num_rows) + (bases.value[p] + seen)) if b.num_rows else np.array([], np.int64)
-            seen += b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard, pa.int32()), pa.array(slot), *b.columns], names=["shard", "slot", "doc_id", "text"])
+            parts, back = np.unique(b["part"].to_numpy(), return_inverse=True)
+            before = np.array([bases.value[p] for p in parts.tolist()], np.int64)
+            slot = order.slot(before[back] + b["seq"].to_numpy()) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard, pa.int32()), pa.array(slot), b["ids"], b["pieces"]], names=["shard", "slot", "ids", "pieces"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(sent.value)
-        kind, full = np.dtype(f"<u{width}"), layout.sequence * width
-        rest, at, written, shard, footer = b"", 0, 0, -1, []
-
-        def records(content: bytes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([content[i : i + full] for i in range(0, len(content), full)], pa.binary())], names=["record"])
-
-        def filled(content: bytes, fill: bytes) -> bytes:
-            return content + fill * (-len(content) % full // len(fill))
-
+        size, footer, written, shard = sequence * width, [], 0, -1
+        records = lambda content: pa.RecordBatch.from_arrays([pa.array(content, pa.binary())], names=["record"])
         for b in batches:
-            parts = [rest]
-            for s, slot, i, t in zip(b["shard"].to_pylist(), b["slot"].to_pylist(), b["doc_id"].to_pylist(), texts_of(b["text"]), strict=True):
-                ids = np.array([*encode(t), end], dtype=kind).tobytes()
-                shard = s
-                footer.append(np.array((slot, at, len(ids) // width, i or 0, i is None, zlib.crc32(ids)), dtype=_FOOTER).tobytes())
-                parts.append(ids)
-                at += len(ids) // width
-            whole = b"".join(parts)
-            cut = len(whole) // full * full
-            rest, written = whole[cut:], written + cut // full
-            if cut:
-                yield records(whole[:cut])
-        if footer:
-            if rest:
-                yield records(filled(rest, np.array([end], kind).tobytes()))
-                written += 1
-            if len(footer) != min(per_shard, total - shard * per_shard):
-                raise ValueError(f"shard {shard} has {len(footer)} sequences: docs changed between two readings; write them to a table first")
-            yield records(filled(b"".join(footer), b"\0"))
-            yield records(filled(MAGIC + struct.pack("<qqq", shard, written, len(footer)), b"\0"))
-
-    placed = rows.mapInArrow(place, "shard int, slot long, doc_id long, text string").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+            if not b.num_rows:
+                continue
+            shard, slots = b["shard"][0].as_py(), b["slot"].to_numpy()
+            if not np.array_equal(slots, np.arange(written, written + len(slots)) + shard * per_shard):
+                raise ValueError(f"shard {shard} lacks sequences or has some twice")
+            for slot, raw in zip(slots.tolist(), b["pieces"].to_pylist(), strict=True):
+                own = np.frombuffer(raw, _PIECE).copy()
+                own["slot"] = slot
+                footer.append(own.tobytes())
+            written += len(slots)
+            yield pa.RecordBatch.from_arrays([b["ids"]], names=["record"])
+        if written:
+            whole = b"".join(footer)
+            last = MAGIC + struct.pack("<qqq", shard, written, len(whole) // _PIECE.itemsize)
+            yield records([whole[i : i + size].ljust(size, b"\0") for i in range(0, len(whole), size)])
+            yield records([last.ljust(size, b"\0")])
+
+    placed = made.mapInArrow(place, "shard int, slot long, ids binary, pieces binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
     placed.mapInArrow(pack, "record binary").select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("compression", "none").text(path)
+    scratch.drop()
     return layout
 
 
 def read_index(spark, layout: Layout) -> DataFrame:
-    """(doc_id, slot, shard, first_token, n_tokens, crc32, crc_ok) for every sequence, read back from the shard files.
+    """(doc_id, slot, shard, at, n_tokens, first_token, crc32, crc_ok) for every piece of a document in a sequence, read back from the shard files.
 
-    crc_ok: whether the ids that lie in the data records have the CRC-32 that the footer records say.
+    at: the piece's place in the sequence; first_token: its place in the document. crc_ok: whether the ids that lie there have the CRC-32 that the
+    footer says.
     """
-    prepare(spark)
-    schema = "doc_id long, slot long, shard int, first_token long, n_tokens long, crc32 long, crc_ok boolean"
+    schema = "doc_id long, slot long, shard int, at int, n_tokens int, first_token long, crc32 long, crc_ok boolean"
     if not layout.shards:
         return spark.createDataFrame([], schema)
-    stride, width = layout.stride, layout.width
+    stride, width, per_shard = layout.stride, layout.width, layout.per_shard
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for buffer in b.column(0):
-                raw = np.frombuffer(buffer.as_buffer(), np.uint8)
-                cells = raw.reshape(-1, stride)[:, :-1]
-                last = cells[-1].tobytes()
-                if last[: len(MAGIC)] != MAGIC:
+                raw = memoryview(buffer.as_buffer())
+                last = raw[len(raw) - stride :]
+                if bytes(last[: len(MAGIC)]) != MAGIC:
                     raise ValueError("not a shard file")
                 shard, written, n = struct.unpack_from("<qqq", last, len(MAGIC))
-                index = np.frombuffer(cells[written:-1].tobytes()[: n * _FOOTER.itemsize], _FOOTER)
-                ids = cells[:written].tobytes()
-                ok = [zlib.crc32(ids[a * width : (a + k) * width]) == c for a, k, c in zip(index["at"].tolist(), index["n"].tolist(), index["crc"].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(index["doc_id"].copy(), mask=index["null"].astype(bool)), pa.array(index["slot"].copy()), pa.array(np.full(n, shard, np.int32)), pa.array(index["at"].copy()), pa.array(index["n"].copy()), pa.array(index["crc"].astype(np.int64)), pa.array(ok)],
-                    names=["doc_id", "slot", "shard", "first_token", "n_tokens", "crc32", "crc_ok"],
-                )
+                cells = np.frombuffer(raw, np.uint8).reshape(-1, stride)[written:-1, :-1]
+                index = np.frombuffer(cells.tobytes()[: n * _PIECE.itemsize], _PIECE)
+                for i in range(0, n, 20_000):
+                    some = index[i : i + 20_000]
+                    starts = (some["slot"] - shard * per_shard) * stride + some["at"].astype(np.int64) * width
+                    ok = [zlib.crc32(raw[a : a + k]) == c for a, k, c in zip(starts.tolist(), (some["n"] * width).tolist(), some["crc"].tolist(), strict=True)]
+                    columns = [pa.array(some["doc_id"].copy(), mask=some["null"].astype(bool)), pa.array(some["slot"].copy()), pa.array(np.full(len(some), shard, np.int32)), *[pa.array(some[c].copy()) for c in ("at", "n", "first")], pa.array(some["crc"].astype(np.int64)), pa.array(ok)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "slot", "shard", "at", "n_tokens", "first_token", "crc32", "crc_ok"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(layout.path).select("content")
     return files.mapInArrow(parse, schema)
 
 
 def read_records(content: bytes, layout: Layout, first: int = 0) -> Iterator[np.ndarray]:
-    """The data records of one shard file in training order, from record `first` on."""
+    """The sequences of one shard file in training order, from record `first` on."""
     _, written, _ = struct.unpack_from("<qqq", content, len(content) - layout.stride + len(MAGIC))
     for r in range(first, written):
         yield np.frombuffer(content, np.dtype(f"<u{layout.width}"), layout.sequence, r * layout.stride)
 
 
 def materialise(docs: DataFrame, **options) -> DataFrame:
-    """Writes the shards of docs to the shared folder and returns their index, one row a sequence, with `path`."""
-    layout = write(docs, Scratch(docs.sparkSession, "training-order").path("shards"), **options)
+    """Writes the shards of docs to the shared folder, where they stay, and returns their index, one row a piece of a document, with `path`."""
+    layout = write(docs, Scratch(docs.sparkSession, "training-order", keep=True).path("shards"), **options)
     return read_index(docs.sparkSession, layout).withColumn("path", F.lit(layout.path))

@@ -6,12 +6,15 @@ Content-Length. Pointer jumping from the start of each file then doubles the set
 closed; only reachable records are kept. Content-Length counts bytes, so a file's records are an unbroken chain.
 
 Writing goes through Spark's text sink: the bytes of a record, with the line separator of the sink as the record's end. No
-executor touches a local file. Reading goes through Spark's binary file source.
+executor touches a local file. Reading goes through Spark's binary file source, a task a file, so files are kept to FILE_BYTES: records are
+written by size class, each with as many records a file as fit, and only a single larger record makes a larger file. A payload of up to 1.9 GB
+can be written and read, which is what a Spark row holds.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -20,29 +23,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare, small
+from .common import Scratch, small
 
 MAGIC = b"WARC/1.0\r\n"
 #: Payloads of fewer bytes are written anew each time.
 REVISIT_BYTES = 1000
-#: Records of one file at most, which bounds what a task holds.
+#: Bytes of payload and records of one file at most, which bounds what a task holds.
+FILE_BYTES = 64 << 20
 FILE_RECORDS = 2000
-#: Bytes that a task scans for record starts at a time.
-CHUNK = 4 << 20
+#: Bytes at the head of a record in which its fields are looked for; the writer puts the one field of unbounded length last.
+HEADER_BYTES = 16 << 10
 _END = "\r\n\r\n"
 _FIELD = re.compile(rb"(?m)^([A-Za-z-]+): ?(.*?)\r$")
+_LENGTH = re.compile("[0-9]{1,18}")
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
-def plan(pages: DataFrame, scratch: Scratch, page_id: str = "page_id", payload: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
-    """pages with `payload` (bytes, null as none), `payload_bytes`, `payload_digest`, `record_type` and `refers_to`.
+def plan(pages: DataFrame, scratch: Scratch, page_id: str = "page_id", payload: str = "html", url: str = "url", least: int = REVISIT_BYTES) -> DataFrame:
+    """(page id, url) of pages under their names, with `payload` (bytes, null as none), `payload_bytes`, `payload_digest`, `record_type`, `refers_to`.
 
-    Of rows with equal payloads of at least `least` bytes the one with the largest id is the response, all others revisit it. Rows
+    Other columns are left out, so that none can clash. Of rows with equal payloads of at least `least` bytes the one with the largest id is the response, all others revisit it. Rows
     that share the largest id are all responses; rows whose id is null revisit the largest id, or are responses if there is none.
     The choice shuffles ids and digests; payloads stay where they are read as long as repeated digests are few enough to broadcast.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b"").cast("binary"))
-    rows = pages.withColumns({"payload": body}).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+    rows = pages.select(page_id, url, body.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     long = rows.filter(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("_d"))
     last = scratch.cut(long.agg(F.max(page_id).alias("_last"), F.count("*").alias("_n")).filter("_n > 1 AND _last IS NOT NULL").drop("_n"), "repeated")
     found = rows.join(small(last, last.count()), (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") >= least), "left")
@@ -54,8 +59,12 @@ def _uri(page: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(">"))
 
 
-def write(planned: DataFrame, path: str, page_id: str = "page_id", url: str = "url", file_records: int = FILE_RECORDS) -> None:
-    """Writes one record per row of a plan() to files under path. A revisit record has no block; its digest is that of the full payload."""
+def write(planned: DataFrame, path: str, page_id: str = "page_id", url: str = "url", file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> None:
+    """Writes one record per row of a plan() to files under path. A revisit record has no block; its digest is that of the full payload.
+
+    A folder `size-k` has the records whose payloads have less than 16 ** k bytes, in files of file_records records and file_bytes bytes at
+    most, or of a single record. An empty plan writes an empty folder.
+    """
 
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -70,59 +79,77 @@ def write(planned: DataFrame, path: str, page_id: str = "page_id", url: str = "u
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", _uri(F.col(page_id))),
         line("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
-        line("WARC-Target-URI", target),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         extra,
         line("Content-Type", F.lit("text/html")),
         line("Content-Length", F.octet_length(block).cast("string")),
+        line("WARC-Target-URI", target),
         F.lit("\r\n"),
     )
     record = F.concat(head.cast("binary"), block).cast("string").alias("value")
-    planned.select(record).write.mode("overwrite").option("lineSep", _END).option("compression", "none").option("maxRecordsPerFile", file_records).text(path)
+    # A record's class follows from the longest that its URL and payload can make it; smaller ones than 16 ** 3 bytes are one class.
+    length = F.octet_length("payload") + F.octet_length(target) + 1024
+    size = F.greatest(F.lit(3), F.ceil(F.log(16.0, length + 1)).cast("int"))
+    for k in sorted(r[0] for r in planned.select(size.alias("k")).distinct().collect()) or [3]:  # 8 classes at most
+        most = max(1, min(file_records, file_bytes // 16**k))
+        planned.filter(size == k).select(record).write.mode("overwrite").option("lineSep", _END).option("compression", "none").option("maxRecordsPerFile", most).text(f"{path}/size-{k}")
 
 
-def _header(content: memoryview | bytes, at: int) -> tuple[dict[str, str], int, int] | None:
-    """Fields, block start and block length of the record that would begin at `at`; None if there can't be one."""
-    end = content.find(b"\r\n\r\n", at)
-    if end < 0:
-        return None
-    fields = {k.decode("latin-1").lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(content[at + len(MAGIC) : end + 2])}
+def _header(content: bytes, at: int, end: int) -> tuple[dict[str, str], int] | None:
+    """Fields and block length of the record that would begin at `at`, its header ending at `end`; None if there can't be one."""
+    fields = {k.decode("latin-1").lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(content[at + len(MAGIC) : min(end + 2, at + HEADER_BYTES)])}
     length = fields.get("content-length", "")
-    return (fields, end + 4, int(length)) if length.isdigit() else None
+    return (fields, int(length)) if _LENGTH.fullmatch(length) else None
 
 
 def candidates(path: str, spark) -> DataFrame:
     """(file, at, next, size, type, id, refers_to, digest, block_bytes, payload_bytes, block_digest) for every magic in the archives.
 
     next is where the successor would begin, or the file's size for a record that would be the last; null if the record
-    would run over the end of the file or has no valid header.
+    would run over the end of the file or has no valid header. The columns behind size are null for records that the file's chain doesn't reach.
     """
-    prepare(spark)
     schema = "file string, at long, next long, size long, type string, id string, refers_to string, digest string, block_bytes long, payload_bytes long, block_digest string"
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.string()]
+
+    def places(content: bytes) -> Iterator[tuple[int, int, int, int]]:
+        """(at, end of header, end of block, successor) for every magic, negative where there is none."""
+        at, end = content.find(MAGIC), -1
+        while at >= 0:
+            # Candidates come in order, so each blank line is looked for once.
+            if end < at:
+                end = content.find(b"\r\n\r\n", at)
+                end = end if end >= 0 else len(content)
+            stop = after = -1
+            if end < len(content) and (head := _header(content, at, end)):
+                stop = end + 4 + head[1]
+                after = stop + len(_END)
+                if after > len(content) or content[stop:after] != _END.encode():
+                    stop = after = -1
+            yield at, end, stop, after
+            at = content.find(MAGIC, at + 1)
+
+    def found(file: str, content: bytes) -> Iterator[list]:
+        spots = np.array(list(places(content)), np.int64).reshape(-1, 4)
+        # Fields and digests are for records that the file's chain reaches: a false one may claim any length of block.
+        kept = reachable(spots[:, 0], spots[:, 3], len(content))
+        for (at, end, stop, after), ok in zip(spots.tolist(), kept.tolist(), strict=True):
+            row = [file, at, after if after >= 0 else None, len(content), *[None] * 7]
+            if ok:
+                fields, length = _header(content, at, end)
+                payload = fields.get("warc-payload-length", str(length))
+                digest = hashlib.sha1(memoryview(content)[end + 4 : stop]).hexdigest()
+                row[4:] = [fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-payload-digest"), length, int(payload) if _LENGTH.fullmatch(payload) else None, digest]
+            yield row
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in schema.split(", ")]
         for b in batches:
             for file, cell in zip(b["path"].to_pylist(), b["content"], strict=True):
-                content, out = cell.as_py(), []
-                for begin in range(0, len(content), CHUNK):
-                    at = content.find(MAGIC, begin, begin + CHUNK + len(MAGIC) - 1)
-                    while at >= 0:
-                        row = [file, at, None, len(content), None, None, None, None, None, None, None]
-                        if head := _header(content, at):
-                            fields, start, length = head
-                            after = start + length + len(_END)
-                            if content[start + length : after] == _END.encode():
-                                digest = hashlib.sha1(content[start : start + length]).hexdigest()
-                                payload = fields.get("warc-payload-length", str(length))
-                                row[2:] = [after, len(content), fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-payload-digest"), length, int(payload) if payload.isdigit() else None, digest]
-                        out.append(row)
-                        at = content.find(MAGIC, at + 1, begin + CHUNK + len(MAGIC) - 1)
-                columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+                rows = found(file, cell.as_py())
+                while some := list(itertools.islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInArrow(scan, schema)
 
 
@@ -169,9 +196,16 @@ def page_of(uri: Column) -> Column:
     return F.nullif(F.regexp_extract(uri, r"^<urn:page:(.*)>$", 1), F.lit("null"))
 
 
-def responses_of(records: DataFrame) -> DataFrame:
-    """Records with `verified`: whether the block of a response has the digest that its header says, and for a revisit the record it refers to."""
-    own = F.concat(F.lit("sha1:"), F.col("block_digest")) == F.col("digest")
-    return records.withColumn("verified", F.when(F.col("type") == "response", own).otherwise(F.lit(None).cast("boolean")))
-
+def verified(records: DataFrame) -> DataFrame:
+    """(id, type, refers_to, payload_bytes, payload_digest, verified) for records as read, from the bytes of the blocks.
 
+    A response has its own block's bytes and digest and is verified if its header says the same digest. A revisit has those of the response that
+    it refers to, and is verified if there is one with the digest that its header says; if not, it has what its header says.
+    """
+    said = F.regexp_replace("digest", "^sha1:", "")
+    own = records.filter("type = 'response'").select("id", "type", "refers_to", F.col("block_bytes").alias("payload_bytes"), F.col("block_digest").alias("payload_digest"), F.coalesce(F.col("block_digest") == said, F.lit(False)).alias("verified"))
+    again = records.filter("type = 'revisit'").select("id", "type", "refers_to", F.col("payload_bytes").alias("_said"), said.alias("_d"))
+    full = own.filter("verified").groupBy(F.col("id").alias("_id"), F.col("payload_digest").alias("_of")).agg(F.max("payload_bytes").alias("_n"))
+    again = again.join(full, (F.col("refers_to") == F.col("_id")) & (F.col("_d") == F.col("_of")), "left")
+    again = again.select("id", "type", "refers_to", F.coalesce("_n", "_said").alias("payload_bytes"), F.col("_d").alias("payload_digest"), F.col("_n").isNotNull().alias("verified"))
+    return own.unionByName(again)

