@@ -125,14 +125,3 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 def texts_of(column: Iterable) -> list[str]:
     """Arrow strings as Python strings, null as the empty text."""
     return [x or "" for x in column.to_pylist()]
-
-
-def prepare(spark):
-    pass
-
-
-ARROW_ROWS = 512
-
-
-def is_scan(df):
-    return False
