@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import uuid
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 #: setting spark.sql.execution.arrow.maxBytesPerBatch.
 SLICE_BYTES = 2 << 20
 
+#: Bytes of the Arrow batches of tables that operators write for themselves; Spark's own setting holds for what they return.
+BATCH_BYTES = 8 << 20
+
 #: A side of a join is broadcast only when it was counted and has at most so many rows (of a few longs each).
 BROADCAST_ROWS = 500_000
 
@@ -53,6 +57,21 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES for what runs meanwhile; the session's setting is as before afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage, so that a lost executor costs only the tasks it ran.
 
@@ -72,7 +91,8 @@ class Scratch:
 
     def cut(self, df: DataFrame, table: str) -> DataFrame:
         """Writes df and returns the written table."""
-        df.write.mode("overwrite").parquet(self.path(table))
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:

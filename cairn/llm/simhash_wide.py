@@ -218,22 +218,25 @@ def _filtered(of_rows, schema: str):
     return lambda df: df.mapInArrow(run, schema)
 
 
-def _dealt(met: DataFrame, hot: DataFrame, block: int, order: tuple[str, ...] = ("set_id",)) -> DataFrame:
+def _dealt(met: DataFrame, hot: DataFrame | None, block: int, order: tuple[str, ...] = ()) -> DataFrame:
     """met (key, set_id, ...) in partitions sorted by (key, pair); the nodes of the hot keys (key, n) in all pairs of their blocks."""
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if hot is None:
+        return met.repartition(parts, "key").sortWithinPartitions("key", *order).withColumn("pair", F.lit(0).cast("long"))
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.hash("set_id"), blocks)
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.least(own, o).cast("long") * (1 << 31) + F.greatest(own, o))
     pair = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("pair")
-    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return met.join(hot, "key", "left").select(*met.columns, pair).repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", *order)
 
 
-def _hot(met: DataFrame, scratch: Scratch, name: str, block: int, sampled: int = 1) -> DataFrame:
-    """(key, n): keys with more than block rows, as counted, or as one row in `sampled` tells."""
+def _hot(met: DataFrame, scratch: Scratch, name: str, block: int, sampled: int = 1) -> DataFrame | None:
+    """(key, n): keys with more than block rows, as counted, or as one row in `sampled` tells; None if there are none."""
     few = met.filter(F.pmod(F.xxhash64("set_id"), F.lit(sampled)) == 0) if sampled > 1 else met
     counted = few.groupBy("key").agg((F.count("*") * sampled).alias("n")).filter((F.col("n") > block) & (F.col("n") > sampled))
     hot = scratch.cut(counted, name)
-    return small(hot, hot.count())
+    n = hot.count()
+    return small(hot, n) if n else None
 
 
 def _distinct_keys(met: DataFrame) -> DataFrame:
@@ -392,7 +395,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     scratch.drop("marks")
     single, several = kept.filter("n = 1").select(k1, k2), kept.filter("n > 1").select(k1, k2)
     again = docs.withColumns({k1: keys[0], k2: keys[1]})
-    out = again.join(several, [k1, k2], "left_semi").dropDuplicates([k1, k2]) if several.count() else None
-    found = again.join(single, [k1, k2], "left_semi")
-    return (found if out is None else found.unionByName(out)).drop(k1, k2)
-
+    n_single, n_several = single.count(), several.count()
+    found = again.join(small(single, n_single), [k1, k2], "left_semi")
+    if n_several:
+        found = found.unionByName(again.join(small(several, n_several), [k1, k2], "left_semi").dropDuplicates([k1, k2]))
+    return found.drop(k1, k2)

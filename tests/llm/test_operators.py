@@ -298,8 +298,8 @@ def test_shards_round_trip(spark, docs, texts, odd, empty):
     # Arithmetic alone leads from a slot to its ids.
     parts = collections.defaultdict(list)
     for r in rows:
-        assert r.shard == r.slot // layout.per_shard
-        begin = (r.slot % layout.per_shard) * layout.stride
+        shard, begin = layout.place(r.slot)
+        assert r.shard == shard
         ids = np.frombuffer(content[r.shard], f"<u{layout.width}", layout.sequence, begin)
         parts[r.doc_id].append((r.first_token, ids[r.at : r.at + r.n_tokens].tolist()))
     got = {i: [x for _, piece in sorted(p) for x in piece] for i, p in parts.items()}
@@ -313,6 +313,16 @@ def test_shards_round_trip(spark, docs, texts, odd, empty):
     assert training_order.materialise(empty).count() == 0
 
 
+def test_long_texts_are_parted_where_tokens_end():
+    with open(training_order.VOCABULARY, "rb") as f:
+        encode, _ = training_order.encoder(f.read())
+    text = "it's  a text, with 12 words\n\n and more \t of it " * 50 + "x" * 300 + " end  "
+    for most in (7, 64, 1000):
+        pieces = list(training_order.parted(text, most))
+        assert "".join(pieces) == text and np.concatenate([encode(p) for p in pieces]).tolist() == encode(text).tolist()
+    assert list(training_order.parted("")) == []
+
+
 def test_input_is_read_once(spark, docs):
     got = training_order.materialise(docs.repartition(5).withColumn("x", F.rand()).filter("x < 0.5")).collect()
     assert sorted({r.slot for r in got}) == list(range(max(r.slot for r in got) + 1)) and all(r.crc_ok for r in got)
