@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import sys
 import tempfile
 import uuid
@@ -15,12 +14,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A Python stage works on so many bytes of text at a time, or on a single longer text. Spark's own Arrow batches are bounded by its
-#: setting spark.sql.execution.arrow.maxBytesPerBatch.
+#: A Python stage works on so many bytes of text at a time, or on a single longer text.
 SLICE_BYTES = 2 << 20
 
-#: Bytes of the Arrow batches of tables that operators write for themselves; Spark's own setting holds for what they return.
-BATCH_BYTES = 8 << 20
+#: Bytes of the Arrow batches that a Python stage gets, for sessions that don't say themselves.
+BATCH_BYTES = 4 << 20
 
 #: A side of a join is broadcast only when it was counted and has at most so many rows (of a few longs each).
 BROADCAST_ROWS = 500_000
@@ -32,6 +30,13 @@ _own: list[str] = []
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
+def prepare(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of a session that has no bound of its own. Results don't depend on it; it stays, as results are read later."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def bounded(batches: Iterable[pa.RecordBatch], text: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts have at most `most` bytes together, but for a single longer text; empty batches are left out."""
     for b in batches:
@@ -43,6 +48,7 @@ def bounded(batches: Iterable[pa.RecordBatch], text: str | int, most: int = SLIC
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
             yield b.slice(at, stop - at)
             at = stop
+        pa.default_memory_pool().release_unused()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,21 +63,6 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of BATCH_BYTES for what runs meanwhile; the session's setting is as before afterwards."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 class Scratch:
     """Tables written to the shared folder. They cut lineage, so that a lost executor costs only the tasks it ran.
 
@@ -79,6 +70,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str, keep: bool = False):
+        prepare(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/cairn/{name}-{uuid.uuid4().hex}"
         if not keep:
             path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -91,8 +83,7 @@ class Scratch:
 
     def cut(self, df: DataFrame, table: str) -> DataFrame:
         """Writes df and returns the written table."""
-        with small_batches(self.spark):
-            df.write.mode("overwrite").parquet(self.path(table))
+        df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, texts_of
+from .common import bounded, fresh, prepare, texts_of
 
 #: Hash buckets of the grams.
 BITS = 15
@@ -104,6 +104,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
     """In how many texts each bucket occurs, over all rows, and the number of rows. BUCKETS counts reach the driver."""
 
+    prepare(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows = np.zeros(BUCKETS + 1, np.int64), 0
         for b in bounded(batches, 0):
@@ -199,6 +201,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", out: tuple
     """
     kept = [c for c in docs.columns if c not in out]
     (own,) = fresh(docs, "__text")
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is BUCKETS times the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, fresh, texts_of
+from .common import Scratch, bounded, fresh, prepare, texts_of
 
 PER_CLASS = 3000
 #: Sampled texts are counted by so many tasks.
@@ -285,6 +285,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: floa
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     (own,) = fresh(docs, "__text")
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample that it was learned from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, small_batches, texts_of
+from .common import Scratch, bounded, prepare, texts_of
 
 SEQUENCE = 1024
 #: Bytes of sequences in one shard, about.
@@ -190,6 +190,7 @@ def write(docs: DataFrame, path: str, key: int = 20240229, doc_id: str = "doc_id
     vocabulary, a file of fixed size that the driver reads, is broadcast. An empty table writes no shard.
     """
     spark = docs.sparkSession
+    prepare(spark)
     with open(vocabulary, "rb") as f:
         content = f.read()
     width = 2 if encoder(content)[1] < 1 << 16 else 4
@@ -218,8 +219,7 @@ def write(docs: DataFrame, path: str, key: int = 20240229, doc_id: str = "doc_id
             yield records([last.ljust(size, b"\0")])
 
     made = sequences(docs, content, width, shards, key, doc_id, text, sequence).repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
-    with small_batches(spark):
-        made.mapInArrow(pack, "record binary").select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("compression", "none").text(path)
+    made.mapInArrow(pack, "record binary").select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("compression", "none").text(path)
     return layout_of(spark, path, sequence, width)
 
 
