@@ -7,7 +7,9 @@ import math
 
 import numpy as np
 
+from . import rules
 from .kernels import circle_fit, contour_features, projection_features, rectangle_fit
+from .rules import Numbers
 
 VIEWS = {"p12": (0, 1), "p13": (0, 2), "p23": (1, 2)}
 #: The axis that a view looks along.
@@ -75,17 +77,10 @@ def prior_of(p: np.ndarray, views: dict, cv: float = 0.12, spread: float = 0.22)
     """The shape that the views speak for, its confidence, the circular views, and the axis if one view alone is circular."""
     circles = [k for k, v in views.items() if v["label"] == "circle"]
     rectangles = sum(v["label"] == "rectangle" for v in views.values())
-    if len(circles) > 1:
-        return {"shape": "sphere", "confidence": "high" if len(circles) == 3 else "medium", "circles": circles, "axis": None}
-    if not circles:
-        return {"shape": "box", "confidence": "medium" if rectangles > 1 else "low", "circles": circles, "axis": None}
-    name, axis = AXIS[circles[0]]
-    f = profile(p, axis)
-    if f is None:
-        shape, sure = "cylinder", "low"
-    else:
-        shape, sure = ("cylinder", "high") if f["cv"] < cv and f["range"] < spread else ("sphere", "medium")
-    return {"shape": shape, "confidence": sure, "circles": circles, "axis": (name, axis)}
+    name, axis = AXIS[circles[0]] if len(circles) == 1 else (None, None)
+    f = (profile(p, axis) if name else None) or {"cv": None, "range": None}
+    shape, sure = rules.prior(Numbers, len(circles), rectangles, f["cv"], f["range"], cv, spread)
+    return {"shape": shape, "confidence": sure, "circles": circles, "axis": (name, axis) if name else None}
 
 
 def _scale(p: np.ndarray) -> float:
@@ -111,8 +106,7 @@ def sphere_candidate(p: np.ndarray, views: dict, ratios: dict) -> dict:
     r = math.sqrt(r2)
     fit = float(np.sqrt(np.mean((np.linalg.norm(q - c, axis=1) - r) ** 2))) / _scale(p)
     circles = sum(v["label"] == "circle" for v in views.values())
-    parts = ((0.45, clip(1 - fit / 0.08)), (0.18, clip(1 - (ratios["iso"] - 1) / 2.5)), (0.12, clip(1 - (ratios["axis"] - 1) / 1.5)), (0.17, clip(circles / 2)), (0.12, _mean(views, "circle")))
-    score = clip(sum(w * x for w, x in parts) - 0.08 * max(_mean(views, "rectangle") - 0.65, 0))
+    score = rules.sphere_score(Numbers, fit, ratios["iso"], ratios["axis"], circles, _mean(views, "circle"), _mean(views, "rectangle"))
     return {"shape": "sphere", "score": score, "params": {"center": (m + c).tolist(), "diameter": 2 * r}}
 
 
@@ -130,18 +124,8 @@ def cylinder_candidate(p: np.ndarray, views: dict, ratios: dict, prior: dict, cv
     fit = float(np.sqrt(np.mean((radii - r) ** 2))) / _scale(p)
     f = profile(p, axis) or {"cv": 1.0, "range": 1.0}
     boxes = sum(v["label"] == "rectangle" for v in views.values())
-    parts = (
-        (0.24, clip(1 - fit / 0.08)),
-        (0.16, clip((ratios["axis"] - 1) / 2.5)),
-        (0.20, clip(1 - f["cv"] / (2 * cv))),
-        (0.12, clip(1 - f["range"] / (2 * spread))),
-        (0.10, clip((height / max(2 * r, 1e-6) - 0.5) / 1.7)),
-        (0.12, clip(0.5 * min(len(prior["circles"]), 1) + 0.5 * min(boxes / 2, 1))),
-        (0.03, _mean(views, "rectangle")),
-        (0.03, _mean(views, "circle")),
-    )
-    unsteady = 0.10 * clip((f["cv"] - cv) / 0.20) + 0.10 * clip((f["range"] - spread) / 0.30)
-    return {"shape": "cylinder", "score": clip(sum(w * x for w, x in parts) - unsteady), "params": {"center": m.tolist(), "axis": axis.tolist(), "radius": r, "height": height}}
+    score = rules.cylinder_score(Numbers, fit, ratios["axis"], f["cv"], f["range"], height, r, len(prior["circles"]), boxes, _mean(views, "rectangle"), _mean(views, "circle"), cv, spread)
+    return {"shape": "cylinder", "score": score, "params": {"center": m.tolist(), "axis": axis.tolist(), "radius": r, "height": height}}
 
 
 def box_candidate(p: np.ndarray, views: dict) -> dict:
@@ -153,9 +137,8 @@ def box_candidate(p: np.ndarray, views: dict) -> dict:
     fit = float(np.sqrt(np.mean(face.min(axis=1) ** 2))) / max(float(np.linalg.norm(size)), 1e-6)
     support = float(np.sort((face < 0.06 * size.mean()).mean(axis=0))[1:].mean())
     count = {k: sum(v["label"] == k for v in views.values()) for k in ("rectangle", "circle")}
-    parts = ((0.42, clip(1 - fit / 0.08)), (0.28, clip(support / 0.8)), (0.20, clip(count["rectangle"] / 2)), (0.06, _mean(views, "rectangle")))
-    score = sum(w * x for w, x in parts) - 0.18 * clip(count["circle"] / 2) - 0.08 * max(_mean(views, "circle") - 0.65, 0)
-    return {"shape": "box", "score": clip(score), "params": {"center": m.tolist(), "sx": float(size[0]), "sy": float(size[1]), "sz": float(size[2]), "rotation": np.eye(3).tolist()}}
+    score = rules.box_score(Numbers, fit, support, count["rectangle"], count["circle"], _mean(views, "rectangle"), _mean(views, "circle"))
+    return {"shape": "box", "score": score, "params": {"center": m.tolist(), "sx": float(size[0]), "sy": float(size[1]), "sz": float(size[2]), "rotation": np.eye(3).tolist()}}
 
 
 def choose(candidates: list[dict], previous: str, margin: float = 0.06) -> dict:
@@ -215,17 +198,15 @@ def initial(p: np.ndarray, mask: np.ndarray | None, least: int = 50, floor: floa
     box = {"shape": "box", "confidence": "low", "allow_upgrade": True, "allow_downgrade": False, "params": params}
     if len(p) < least:
         return box
-    ratio = lambda a, b: max(a, b) / max(min(a, b), 1e-6)
     seen = contour_features(mask) if mask is not None and mask.size else {"valid": False, "circularity": 0.0, "aspect_ratio": 0.0}
     views = {"xy": projection_features(p[:, [0, 1]]), "xz": projection_features(p[:, [0, 2]]), "yz": projection_features(p[:, [1, 2]])}
     disc = {k: v["valid"] and v["pca_ratio"] < 1.30 and v["circularity"] > 0.72 for k, v in views.items()}
     plank = {k: v["valid"] and v["pca_ratio"] > 1.30 and v["rectangularity"] > 0.55 for k, v in views.items()}
     round_mask = seen["valid"] and seen["circularity"] > 0.82 and seen["aspect_ratio"] < 1.25
-    sphere = ratio(sx, sy) < 1.30 and ratio(sx, sz) < 1.80 and ratio(sy, sz) < 1.80 and (round_mask or sum(disc.values()) >= 2)
-    tall = ratio(sx, sy) < 1.30 and sz / max((sx + sy) / 2, 1e-6) > 1.20
-    if sphere:
+    shape = rules.first_shape(Numbers, len(p), sx, sy, sz, round_mask, sum(disc.values()), disc["xy"], plank["xz"] and plank["yz"], least)
+    if shape == "sphere":
         return box | {"shape": "sphere", "allow_downgrade": True, "params": params | {"diameter": max(float(np.median(size)), floor)}}
-    if tall and (disc["xy"] or (plank["xz"] and plank["yz"])):
+    if shape == "cylinder":
         return box | {"shape": "cylinder", "allow_downgrade": True, "params": params | {"radius": max((sx + sy) / 4, floor / 2), "height": max(sz, floor), "axis": [0.0, 0.0, 1.0]}}
     return box
 

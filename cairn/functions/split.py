@@ -7,7 +7,9 @@ from dataclasses import dataclass
 import numpy as np
 
 from ..config import SplitConfig
+from . import rules
 from .kernels import closed, distance, labelled, shift_any
+from .rules import Numbers
 
 _SQUARE3 = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 _SQUARE5 = [(a, b) for a in range(-2, 3) for b in range(-2, 3)]
@@ -44,32 +46,71 @@ def voxel_mean(p: np.ndarray, edge: float) -> np.ndarray:
     return out / n[:, None]
 
 
-def _blocks(p: np.ndarray, size: int = 1024):
-    for i in range(0, len(p), size):
-        yield i, np.linalg.norm(p[i : i + size, None, :3] - p[None, :, :3], axis=2)
+def near_pairs(p: np.ndarray, radius: float, block: int = 20_000):
+    """(a, b, distance) of all ordered pairs a != b at most radius apart, in portions; a point is compared with those of its cell and the 26 around it."""
+    if len(p) < 2:
+        return
+    cell = np.floor((p[:, :3] - p[:, :3].min(axis=0)) / radius).astype(np.int64) + 1
+    side = cell.max(axis=0) + 2
+    step = np.array([side[1] * side[2], side[2], 1])
+    key = cell @ step
+    order = np.argsort(key, kind="stable")
+    ids, starts, counts = np.unique(key[order], return_index=True, return_counts=True)
+    for i in range(0, len(p), block):
+        own = np.arange(i, min(i + block, len(p)))
+        for o in np.ndindex(3, 3, 3):
+            want = key[own] + (np.array(o) - 1) @ step
+            at = np.minimum(np.searchsorted(ids, want), len(ids) - 1)
+            n = np.where(ids[at] == want, counts[at], 0)
+            a = np.repeat(own, n)
+            b = order[np.repeat(starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            d = np.linalg.norm(p[a, :3] - p[b, :3], axis=1)
+            ok = (d <= radius) & (a != b)
+            yield a[ok], b[ok], d[ok]
 
 
 def knn(p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distance to the k-th neighbour, and the mean of the distances to the first k; 1e6 for a point that is alone."""
-    k = min(k, len(p) - 1)
+    """Distance to the k-th neighbour, and the mean of the distances to the first k; 1e6 for a point that is alone.
+
+    Points without k neighbours within a radius are looked at again with twice the radius, so it only sets the cost.
+    """
+    n, k = len(p), min(k, len(p) - 1)
+    kth, mean = np.full(n, 1e6), np.full(n, 1e6)
     if k < 1:
-        return np.full(len(p), 1e6), np.full(len(p), 1e6)
-    near = np.vstack([np.sort(np.partition(d, k, axis=1)[:, : k + 1], axis=1)[:, 1:] for _, d in _blocks(p)])
-    return near[:, -1], near.mean(axis=1)
+        return kth, mean
+    extent = np.ptp(p[:, :3], axis=0)
+    reach = float(np.linalg.norm(extent))
+    radius = max(float(np.prod(np.maximum(extent, reach / 100)) * (k + 1) / n) ** (1 / 3), reach / 1000, 1e-9)
+    todo = np.arange(n)
+    while todo.size:
+        last = radius >= reach
+        number = np.full(n, -1)
+        number[todo] = np.arange(len(todo))
+        parts = [(number[a[ok]], d[ok]) for a, _, d in near_pairs(p, max(radius, 1e-9) * (1 + 1e-9)) for ok in [number[a] >= 0]]
+        a, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((d, a))
+        a, d = a[order], d[order]
+        have = np.bincount(a, minlength=len(todo))
+        first = np.cumsum(have) - have
+        full = np.flatnonzero(have >= k)
+        near = d[first[full][:, None] + np.arange(k)]
+        kth[todo[full]], mean[todo[full]] = near[:, -1], near.mean(axis=1)
+        if last:
+            break
+        todo, radius = todo[have < k], 2 * radius
+    return kth, mean
 
 
 def components(p: np.ndarray, radius: float, core: np.ndarray | None = None) -> np.ndarray:
     """The least index of each point's component in the graph of points at most radius apart; only core points link."""
     label = np.arange(len(p))
-    links = []
-    for i, d in _blocks(p):
-        a, b = np.nonzero(d <= radius)
-        a = a + i
+    links = [np.zeros((2, 0), int)]
+    for a, b, _ in near_pairs(p, radius):
         ok = a < b
         if core is not None:
             ok &= core[a] & core[b]
         links.append(np.stack([a[ok], b[ok]]))
-    e = np.hstack(links) if links else np.zeros((2, 0), int)
+    e = np.hstack(links)
     while True:
         before = label.copy()
         np.minimum.at(label, e[0], label[e[1]])
@@ -88,17 +129,19 @@ def clusters(p: np.ndarray, radius: float, least: int) -> list[np.ndarray]:
 
 def dbscan(p: np.ndarray, eps: float, least: int) -> np.ndarray:
     """Labels of density clusters, -1 for noise; a border point goes to its nearest core point."""
-    core = np.concatenate([(d <= eps).sum(axis=1) for _, d in _blocks(p)]) >= least if len(p) else np.zeros(0, bool)
+    near = np.ones(len(p), int)
+    for a, _, _ in near_pairs(p, eps):
+        near += np.bincount(a, minlength=len(p))
+    core = near >= least
     label = np.where(core, components(p, eps, core), -1)
-    if core.any():
-        at = np.flatnonzero(core)
-        for i, d in _blocks(p):
-            near = d[:, at]
-            best = near.argmin(axis=1)
-            rows = np.arange(i, i + len(d))
-            border = ~core[rows] & (near[np.arange(len(d)), best] <= eps)
-            label[rows[border]] = label[at[best[border]]]
-    return label
+    best = np.full(len(p), np.inf)
+    out = label.copy()
+    for a, b, d in near_pairs(p, eps):
+        ok = ~core[a] & core[b]
+        for i, x, y in zip(a[ok].tolist(), d[ok].tolist(), b[ok].tolist(), strict=True):
+            if x < best[i]:
+                best[i], out[i] = x, label[y]
+    return out
 
 
 def denoise(p: np.ndarray, voxel: float = 0.003, k: int = 20, std_ratio: float = 1.5, keep: str = "largest", ratio: float = 0.15, eps: float | None = None, least: int | None = None) -> np.ndarray:
@@ -135,8 +178,7 @@ def bad_shape(p: np.ndarray) -> bool:
 
 
 def can_split(p: np.ndarray, least: int, size: float) -> bool:
-    s = np.maximum(scales(p), 1e-6)
-    return len(p) >= least and extent(p).max() >= size and not (s[0] / s[1] > 10 and s[1] / s[2] < 2.5)
+    return bool(rules.can_split(Numbers, len(p), float(extent(p).max()), *(float(x) for x in scales(p)), least, size))
 
 
 def largest_ratio(mask: np.ndarray, depth: np.ndarray | None = None, step: float = 0.01) -> float:
@@ -170,23 +212,9 @@ def largest_ratio(mask: np.ndarray, depth: np.ndarray | None = None, step: float
 
 def quality(p: np.ndarray, mask: np.ndarray, cfg: SplitConfig, depth: np.ndarray | None) -> float:
     """How much a cluster looks like one object; large negative values name what it fails."""
-    if len(p) < 50:
-        return -1e6
-    if bad_shape(p):
-        return -1000.0
-    d = density(p)
-    if d < cfg.min_density:
-        return -500.0
-    connected = largest_ratio(mask)
-    if connected < cfg.min_connectivity:
-        return -300.0
-    score = 0.01 * len(p) + 0.0001 * d + 2 * connected
-    if depth is not None:
-        deep = largest_ratio(mask, depth, cfg.depth_jump)
-        if deep < cfg.min_depth_connectivity:
-            return -250.0
-        score += 1.5 * deep
-    return score
+    d, connected = density(p), largest_ratio(mask)
+    deep = largest_ratio(mask, depth, cfg.depth_jump) if depth is not None else None
+    return rules.quality(Numbers, len(p), bad_shape(p), d, connected, deep, cfg.min_density, cfg.min_connectivity, cfg.min_depth_connectivity)
 
 
 def gradient(depth: np.ndarray) -> np.ndarray:
@@ -219,25 +247,27 @@ def least_gap(a: np.ndarray, b: np.ndarray, most: int = 300, seed: int = 0) -> f
     return float(np.linalg.norm(a[:, None] - b[None], axis=2).min())
 
 
+#: What a split is refused for, in the order of the gates.
+GATES = ("less_than_two_clusters", "too_few_total_points", "cluster_too_small", "second_cluster_ratio_too_small", "center_dist_too_small", "gap_dist_too_small", "mask1_area_too_small", "mask2_area_too_small")
+
+
+def gates(cfg: SplitConfig, clusters, total, n1, n2, center, gap, area1, area2) -> list:
+    """Whether each of GATES refuses a split, for numbers or columns: the second cluster is held against the whole object's points."""
+    return [
+        clusters < 2, total < cfg.min_points, (n1 < cfg.min_points_each) | (n2 < cfg.min_points_each), n2 < total * cfg.min_second_ratio,
+        center < cfg.min_center_distance, gap < cfg.min_gap, area1 < cfg.min_mask_area, area2 < cfg.min_mask_area,
+    ]
+
+
 def evaluate(full: np.ndarray, parts: list[np.ndarray], camera: Camera, cfg: SplitConfig, depth: np.ndarray | None, grad: np.ndarray | None) -> tuple[bool, float, str]:
     """Whether a split in two is better than the whole, its gain, and the gate that it failed."""
-    no = lambda why: (False, -1e9, why)
-    if len(parts) < 2:
-        return no("fewer_than_two_clusters")
-    if len(full) < cfg.min_points:
-        return no("too_few_points")
-    a, b = parts[:2]
-    if min(len(a), len(b)) < cfg.min_points_each:
-        return no("cluster_too_small")
-    if min(len(a), len(b)) / max(1, len(a) + len(b)) < cfg.min_second_ratio:
-        return no("second_cluster_too_small")
-    if np.linalg.norm(np.median(a[:, :3], axis=0) - np.median(b[:, :3], axis=0)) < cfg.min_center_distance:
-        return no("centers_too_close")
-    if least_gap(a, b) < cfg.min_gap:
-        return no("gap_too_small")
+    a, b = (list(parts) + [full[:0]] * 2)[:2]
+    both = len(a) and len(b)
+    center = float(np.linalg.norm(np.median(a[:, :3], axis=0) - np.median(b[:, :3], axis=0))) if both else 0.0
     ma, mb, whole = camera.mask(a), camera.mask(b), camera.mask(full)
-    if min(ma.sum(), mb.sum()) < cfg.min_mask_area:
-        return no("mask_too_small")
+    refused = gates(cfg, len(parts), len(full), len(a), len(b), center, least_gap(a, b), ma.sum(), mb.sum())
+    if any(refused):
+        return False, -1e9, GATES[[bool(x) for x in refused].index(True)]
     gain = quality(a, ma, cfg, depth) + quality(b, mb, cfg, depth) - quality(full, whole, cfg, depth)
     if depth is not None:
         score = boundary_score(grad, whole, ma, mb, cfg.boundary_kernel)

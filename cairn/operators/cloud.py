@@ -200,8 +200,12 @@ def fit_plane(points: DataFrame, distance: float = 0.008, iterations: int = 2000
     return best.select("n", "nx", "ny", "nz", "d", "inliers", "inlier_ratio", "status")
 
 
-def fit_planes(points: DataFrame, key: str, distance: float = 0.008, iterations: int = 2000, min_inlier_ratio: float = 0.20, least: int = 200) -> DataFrame:
-    """fit_plane() for every group of a key at once: (key, n, nx, ny, nz, d, inliers, inlier_ratio, status)."""
+def fit_planes(points: DataFrame, key: str, distance: float = 0.008, iterations: int = 2000, min_inlier_ratio: float = 0.20, least: int = 200, up: Sequence[float] | None = None, max_angle_deg: float = 25.0, raw: DataFrame | None = None) -> DataFrame:
+    """fit_plane() for every group of a key at once: (key, n, nx, ny, nz, d, inliers, inlier_ratio, status).
+
+    raw: (key, raw), the points of each group before they were preprocessed; a group that had enough of them and lacks them now has the status
+    too_few_points_after_preprocess, and one that has none left is in the result too.
+    """
     numbered = points.select(key, *XYZ, (F.row_number().over(Window.partitionBy(key).orderBy("pid")) - 1).alias("i"))
     sizes = points.groupBy(key).agg(F.count("*").alias("n"))
     picks = ((7919, 13), (104729, 71), (1299709, 257))
@@ -222,8 +226,19 @@ def fit_planes(points: DataFrame, key: str, distance: float = 0.008, iterations:
     votes = met.groupBy(key, "p.h", "p.nx", "p.ny", "p.nz", "p.d").agg(F.count_if(near).alias("inliers"))
     best = votes.groupBy(key).agg(F.max_by(F.struct("nx", "ny", "nz", "d", "inliers"), F.struct("inliers", -F.col("h"))).alias("b"))
     out = sizes.join(best, key, "left").select(key, "n", "b.nx", "b.ny", "b.nz", "b.d", F.coalesce("b.inliers", F.lit(0)).alias("inliers"))
-    out = out.withColumn("inlier_ratio", F.col("inliers") / F.col("n"))
-    return out.withColumn("status", F.when(F.col("n") < least, "too_few_points").when(F.col("inlier_ratio") < min_inlier_ratio, "inlier_ratio_too_small").otherwise("ok"))
+    if raw is not None:
+        out = raw.join(out, key, "left").withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "inliers": F.coalesce("inliers", F.lit(0).cast("long"))})
+    out = out.withColumn("inlier_ratio", F.coalesce(F.try_divide("inliers", "n"), F.lit(0.0)))
+    few = F.lit("too_few_points") if raw is None else F.when(F.col("raw") < least, "too_few_points").otherwise("too_few_points_after_preprocess")
+    status = F.when(F.col("n") < least, few).when(F.col("inlier_ratio") < min_inlier_ratio, "inlier_ratio_too_small")
+    if up is not None:
+        along = F.col("nx") * float(up[0]) + F.col("ny") * float(up[1]) + F.col("nz") * float(up[2])
+        status = status.when(F.degrees(F.acos(F.least(F.lit(1.0), F.abs(along)))) > max_angle_deg, "plane_rejected_by_normal")
+        out = out.withColumn("_side", F.when(along < 0, F.lit(-1.0)).otherwise(F.lit(1.0))).withColumn("status", status.otherwise("ok"))
+        out = out.withColumns({c: F.col(c) * F.col("_side") for c in ("nx", "ny", "nz", "d")})
+    else:
+        out = out.withColumn("status", status.otherwise("ok"))
+    return out.select(key, "n", "nx", "ny", "nz", "d", "inliers", "inlier_ratio", "status")
 
 
 def preprocess(points: DataFrame, keys: Sequence[str], voxel: float, outliers: bool = True, k: int = 20, std_ratio: float = 2.0) -> DataFrame:

@@ -142,12 +142,17 @@ def watershed(pixels: DataFrame, keys: Sequence[str], peak_ratio: float = 0.38,
     return pixels.groupBy(*keys).applyInPandas(run, _with(pixels, [*keys, "u", "v"], "part int, reason string"))
 
 
+def _columns(points: DataFrame) -> list[str]:
+    """Coordinates, and colours where the points have them."""
+    return [*XYZ, *(c for c in ("r", "g", "b") if c in points.columns)]
+
+
 def refine(points: DataFrame, masks: DataFrame, depth: DataFrame | None, keys: Sequence[str], frame: Sequence[str], camera: split.Camera, cfg: SplitConfig | None = None) -> DataFrame:
-    """(keys, part, mode, x, y, z): every object cleaned and, where that pays, split in two or more.
+    """(keys, part, mode, x, y, z and, if points have them, r, g, b): every object cleaned and, where that pays, split in two or more.
 
     masks: (keys, u, v); depth: (frame, u, v, depth in metres) or None. The depth of a frame reaches each of its objects within its mask's box.
     """
-    cfg = cfg or SplitConfig()
+    cfg, own = cfg or SplitConfig(), _columns(points)
     near = masks.withColumn("_m", F.lit(1))
     if depth is not None:
         box = masks.groupBy(*keys).agg(F.min("u").alias("_u0"), F.max("u").alias("_u1"), F.min("v").alias("_v0"), F.max("v").alias("_v1"))
@@ -157,7 +162,7 @@ def refine(points: DataFrame, masks: DataFrame, depth: DataFrame | None, keys: S
         near = near.withColumn("depth", F.lit(None).cast("double"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = [*keys, "part", "mode", *XYZ]
+        names = [*keys, "part", "mode", *own]
         if not len(a):
             return pd.DataFrame(columns=names)
         mask = image_of(b[b["_m"] == 1], camera.h, camera.w)
@@ -167,23 +172,24 @@ def refine(points: DataFrame, masks: DataFrame, depth: DataFrame | None, keys: S
             seen = b[b["depth"].notna()]
             image[seen["v"].to_numpy(int), seen["u"].to_numpy(int)] = seen["depth"].to_numpy(float)
         out = []
-        for i, (q, mode) in enumerate(split.refine(a.sort_values("pid")[list(XYZ)].to_numpy(float), mask, camera, cfg, image)):
-            part = pd.DataFrame(q[:, :3], columns=list(XYZ)).assign(part=i + 1, mode=mode)
+        for i, (q, mode) in enumerate(split.refine(a.sort_values("pid")[own].to_numpy(float), mask, camera, cfg, image)):
+            part = pd.DataFrame(q, columns=own).assign(part=i + 1, mode=mode)
             out.append(part.assign(**{k: a[k].iloc[0] for k in keys}))
         return pd.concat(out)[names]
 
-    schema = _with(points, keys, "part int, mode string, x double, y double, z double")
+    schema = _with(points, keys, "part int, mode string, " + ", ".join(f"{c} double" for c in own))
     return points.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(run, schema)
 
 
 def denoise(points: DataFrame, keys: Sequence[str], keep: str = "large", **options) -> DataFrame:
-    """(keys, x, y, z): fused clouds as voxel means without outliers and without clusters that are small beside the largest."""
+    """(keys, x, y, z and, if points have them, r, g, b): clouds as voxel means without outliers and without clusters that are small beside the largest."""
+    own = _columns(points)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = split.denoise(pdf.sort_values("pid")[list(XYZ)].to_numpy(float), keep=keep, **options)
-        return pd.DataFrame(q, columns=list(XYZ)).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, *XYZ]]
+        q = split.denoise(pdf.sort_values("pid")[own].to_numpy(float), keep=keep, **options)
+        return pd.DataFrame(q, columns=own).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, *own]]
 
-    return points.groupBy(*keys).applyInPandas(run, _with(points, keys, "x double, y double, z double"))
+    return points.groupBy(*keys).applyInPandas(run, _with(points, keys, ", ".join(f"{c} double" for c in own)))
 
 
 def meshes(geometries: DataFrame, keys: Sequence[str], inflate: float = 1.05) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs, stats
 from ..functions.exprs import XYZ
-from ..operators import cloud, raster
+from ..operators import cloud, raster, scores
 from ..sources import fixtures as fx
 from ..sources.fixtures import H, SCALE, W, K
 
@@ -539,18 +539,6 @@ def prior_bias(spark, sf_dir):
     return c.select("p_partkey", "shape", *_r("biased"), "confidence", exprs.confidence_rank("confidence").alias("rank"))
 
 
-def choose(candidates: DataFrame, keys: list[str], margin: float = 0.06) -> DataFrame:
-    """The best candidate of each group by score, `order` breaking ties; the previous shape's candidate wins if the two best are closer than the margin.
-
-    candidates: keys, shape, score, order, prev (the previous shape, or null).
-    """
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "order")
-    r = candidates.withColumns({"_r": F.row_number().over(w), "_next": F.lead("score").over(w)})
-    g = r.groupBy(*keys).agg(F.min_by(F.struct("shape", "score"), "_r").alias("_best"), F.min_by(F.col("score") - F.col("_next"), "_r").alias("_gap"), F.min_by(F.struct("shape", "score"), F.when(F.col("shape") == F.col("prev"), F.col("_r"))).alias("_old"))
-    chosen = F.when((F.col("_gap") < margin) & F.col("_old").isNotNull(), F.col("_old")).otherwise(F.col("_best"))
-    return g.withColumn("_c", chosen).select(*keys, "_c.shape", "_c.score")
-
-
 @query("""WITH c AS (SELECT p_brand, CASE p_partkey % 3 WHEN 0 THEN 'box' WHEN 1 THEN 'sphere' ELSE 'cylinder' END AS shape, max(p_size) / 50.0 - (p_partkey % 3) * 0.03 AS score FROM part GROUP BY 1, 2, p_partkey % 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, shape) AS r, lead(score) OVER (PARTITION BY p_brand ORDER BY score DESC, shape) AS nxt FROM c)
 SELECT p_brand, coalesce(CASE WHEN score - nxt < 0.06 THEN (SELECT o.shape FROM r o WHERE o.p_brand = r.p_brand AND o.shape = 'cylinder') END, shape) AS shape, round(coalesce(CASE WHEN score - nxt < 0.06 THEN (SELECT o.score FROM r o WHERE o.p_brand = r.p_brand AND o.shape = 'cylinder') END, score), 6) AS score FROM r WHERE r = 1""")
@@ -560,19 +548,7 @@ def choose_best(spark, sf_dir):
     c = fx.table(spark, sf_dir, "part").groupBy("p_brand", k.alias("k")).agg(F.max("p_size").alias("m"))
     c = c.select("p_brand", F.when(F.col("k") == 0, "box").when(F.col("k") == 1, "sphere").otherwise("cylinder").alias("shape"), (F.col("m") / 50.0 - F.col("k") * 0.03).alias("score"))
     c = c.withColumns({"order": F.col("shape"), "prev": F.lit("cylinder")})
-    return choose(c, ["p_brand"]).select("p_brand", "shape", *_r("score"))
-
-
-def support(pixels: DataFrame, keys: list[str], h: int, w: int, band: float, least: int, inside: float, margin: int, edge_inside: float) -> DataFrame:
-    """Per mask: whether its lowest pixels stand on the table.
-
-    pixels: keys, u, v, height (signed, null without depth) and on_table. One row (keys, bottom, inside_ratio, at_edge, reason), reason null if it stands.
-    """
-    g = pixels.groupBy(*keys).agg(F.count("height").alias("_n"), (F.percentile("height", F.lit(0.05)) + band).alias("_t"), F.min("u").alias("_u0"), F.max("u").alias("_u1"), F.min("v").alias("_v0"), F.max("v").alias("_v1"))
-    low = pixels.join(g, keys).groupBy(*keys, "_n", "_u0", "_u1", "_v0", "_v1").agg(F.count_if(F.col("height") <= F.col("_t")).alias("bottom"), F.count_if((F.col("height") <= F.col("_t")) & F.col("on_table")).alias("_in"))
-    low = low.withColumns({"inside_ratio": F.col("_in") / (F.col("bottom") + 1e-6), "at_edge": F.expr(f"_u0 < {margin} OR _v0 < {margin} OR _u1 >= {w - margin} OR _v1 >= {h - margin}")})
-    reason = F.when(F.col("_n") == 0, "empty_mask_or_invalid_depth").when(F.col("bottom") < least, "too_few_bottom_pixels").when(F.col("inside_ratio") < inside, "bottom_inside_ratio_too_low").when(F.col("at_edge") & (F.col("inside_ratio") < edge_inside), "edge_instance_with_low_support")
-    return low.select(*keys, "bottom", "inside_ratio", "at_edge", reason.alias("reason"))
+    return scores.choose(c, ["p_brand"]).select("p_brand", "shape", *_r("score"))
 
 
 @query("""WITH p AS (SELECT (u // 16) * 10 + v // 16 AS obj, u, v, CAST(depth_u16 AS DOUBLE) * 0.001 AS height, depth_u16 % 40 = 0 AS on_table FROM v_pixels),
@@ -583,7 +559,7 @@ SELECT obj, bottom, round(ratio, 6) AS inside_ratio, at_edge, CASE WHEN n = 0 TH
 def support_filter(spark, sf_dir):
     """Which masks stand on the table, and why not."""
     p = fx.pixels(spark, sf_dir).select(F.expr("CAST((u DIV 16) * 10 + v DIV 16 AS BIGINT)").alias("obj"), "u", "v", (F.col("depth_u16").cast("double") * SCALE).alias("height"), (F.col("depth_u16") % 40 == 0).alias("on_table"))
-    return support(p, OBJ, H, W, 0.04, 40, 0.45, 3, 0.60).select("obj", "bottom", *_r("inside_ratio"), "at_edge", "reason")
+    return raster.support(p, OBJ, H, W, 0.04, 40, 0.45, 3, 0.60).select("obj", "bottom", *_r("inside_ratio"), "at_edge", "reason")
 
 
 @query("WITH c AS (SELECT obj, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM v_points GROUP BY obj) SELECT pid, arg_min(c.obj, sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z))) AS template, round(min(sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z))), 6) AS dist FROM v_points p, c GROUP BY pid")

@@ -169,7 +169,27 @@ def test_two_touching_blobs_are_split_and_one_is_not():
 def test_gates_name_what_failed():
     camera = split.Camera((500.0, 500.0, 160.0, 120.0), 240, 320)
     p = RNG.normal(scale=0.01, size=(2000, 3)) + (0, 0, 0.6)
-    assert split.evaluate(p, [p], camera, SplitConfig(), None, None)[2] == "fewer_than_two_clusters"
-    assert split.evaluate(p[:100], [p, p], camera, SplitConfig(), None, None)[2] == "too_few_points"
-    assert split.evaluate(p, [p[:1000], p[:50]], camera, SplitConfig(), None, None)[2] == "cluster_too_small"
-    assert split.evaluate(p, [p[:1000], p[1000:]], camera, SplitConfig(), None, None)[2] == "centers_too_close"
+    why = lambda full, parts: split.evaluate(full, parts, camera, SplitConfig(), None, None)[2]
+    assert why(p, [p]) == "less_than_two_clusters" and why(p[:100], [p, p]) == "too_few_total_points"
+    assert why(p, [p[:1000], p[:50]]) == "cluster_too_small" and why(p, [p[:1000], p[1000:]]) == "center_dist_too_small"
+    # The second cluster is held against all points of the object, those that a split leaves out included.
+    whole = np.vstack([p, p + (0.2, 0, 0)])
+    assert why(whole, [p[:900], p[:400] + (0.2, 0, 0)]) == "second_cluster_ratio_too_small"
+    assert why(whole, [p[:900], p[:700] + (0.2, 0, 0)]) != "second_cluster_ratio_too_small"
+
+
+def test_grid_neighbours_equal_all_pairs():
+    p = np.vstack([RNG.uniform(size=(300, 3)), RNG.normal(scale=0.01, size=(100, 3)), [[5.0, 5.0, 5.0]]])
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    got = {(int(a), int(b)) for x, y, _ in split.near_pairs(p, 0.1, 50) for a, b in zip(x, y, strict=True)}
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero((d <= 0.1) & ~np.eye(len(p), dtype=bool)), strict=True)}
+    near = np.sort(d, axis=1)[:, 1:8]
+    kth, mean = split.knn(p, 7)
+    assert np.allclose(kth, near[:, -1]) and np.allclose(mean, near.mean(axis=1))
+    assert split.knn(p[:1], 3)[0].tolist() == [1e6] and np.allclose(split.knn(np.zeros((5, 3)), 3)[0], 0)
+
+
+def test_colours_go_through_cleaning():
+    p = np.hstack([RNG.normal(scale=0.01, size=(500, 3)), np.tile([0.2, 0.4, 0.6], (500, 1))])
+    q = split.denoise(p, 0.003, 10, 1.5, "large")
+    assert q.shape[1] == 6 and np.allclose(q[:, 3:], [0.2, 0.4, 0.6])
