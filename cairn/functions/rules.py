@@ -21,8 +21,8 @@ class Numbers:
 
     @staticmethod
     def first(*cases):
-        """The value of the first (condition, value) that holds; the last case is the value otherwise."""
-        value = next((v for c, v in cases[:-1] if c), cases[-1])
+        """The value of the first (condition, value) that holds, the last case otherwise; functions are called when they are needed."""
+        value = next((v for c, v in cases[:-1] if (c() if callable(c) else c)), cases[-1])
         return value() if callable(value) else value
 
 
@@ -54,6 +54,7 @@ class Columns:
         value = lambda v: cls._c(v if isinstance(v, Column) or not callable(v) else v())
         out = None
         for c, v in cases[:-1]:
+            c = value(c)
             out = F.when(c, value(v)) if out is None else out.when(c, value(v))
         return out.otherwise(value(cases[-1]))
 
@@ -99,7 +100,7 @@ def first_shape(o, n, sx, sy, sz, round_mask, discs, disc_xy, planks, least=50):
 def quality(o, n, bad, density, connected, deep, min_density, min_connected, min_deep):
     """How much a cluster looks like one object; large negative values name what it fails. deep: its connectivity in depth, if known."""
     score = 0.01 * n + 0.0001 * density + 2 * connected
-    return o.first((n < 50, -1e6), (bad, -1000.0), (density < min_density, -500.0), (connected < min_connected, -300.0), (o.missing(deep), score), (deep < min_deep, -250.0), lambda: score + 1.5 * deep)
+    return o.first((n < 50, -1e6), (bad, -1000.0), (density < min_density, -500.0), (connected < min_connected, -300.0), (o.missing(deep), score), (lambda: deep < min_deep, -250.0), lambda: score + 1.5 * deep)
 
 
 def can_split(o, n, extent, s1, s2, s3, least, size):
