@@ -155,3 +155,23 @@ def robust_trim(points: DataFrame, keys: Sequence[str], keep: float = 0.97) -> D
     left = q.groupBy(*keys).agg(F.count_if(F.col("_d") <= F.col("_t")).alias("_left"))
     q = q.join(left, list(keys)).filter("_n < 30 OR _left < 20 OR _d <= _t")
     return q.drop("_n", "_mx", "_my", "_mz", "_d", "_t", "_left")
+
+
+def pca_ratios(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per group: how unequal the variances along its principal axes are: first to third, first to second, second to third; a floor of 1e-6 under the lower ones."""
+    c = with_eigenvalues(covariance(points, keys))
+    e2, e3 = F.greatest("l2", F.lit(1e-6)), F.greatest("l3", F.lit(1e-6))
+    return c.select(*keys, "n", (F.col("l1") / e3).alias("iso"), (F.col("l1") / e2).alias("axis"), (F.col("l2") / e3).alias("mid"))
+
+
+def face_support(points: DataFrame, keys: Sequence[str], share: float = 0.06) -> DataFrame:
+    """Per group: the root mean square distance to the faces of its box from the 2nd to the 98th percentile, relative to its diagonal, and the share of points near
+    the faces, the mean of the two best axes."""
+    q = {c: F.percentile(c, F.array(F.lit(0.02), F.lit(0.98))) for c in XYZ}
+    b = points.groupBy(*keys).agg(*[((q[c][0] + q[c][1]) / 2).alias(f"_m{c}") for c in XYZ], *[F.greatest(q[c][1] - q[c][0], F.lit(1e-6)).alias(f"_s{c}") for c in XYZ])
+    p = points.join(b, list(keys)).withColumns({f"_f{c}": F.abs(F.abs(F.col(c) - F.col(f"_m{c}")) - F.col(f"_s{c}") / 2) for c in XYZ})
+    near = share * (F.col("_sx") + F.col("_sy") + F.col("_sz")) / 3
+    least = F.least("_fx", "_fy", "_fz")
+    size = F.sqrt(F.col("_sx") * F.col("_sx") + F.col("_sy") * F.col("_sy") + F.col("_sz") * F.col("_sz"))
+    g = p.groupBy(*keys).agg(F.sqrt(F.avg(least * least)).alias("_r"), F.first(size).alias("_d"), F.array_sort(F.array(*[F.avg((F.col(f"_f{c}") < near).cast("int")) for c in XYZ])).alias("_a"))
+    return g.select(*keys, (F.col("_r") / F.greatest("_d", F.lit(1e-6))).alias("nrmse"), ((F.col("_a")[1] + F.col("_a")[2]) / 2).alias("support"))

@@ -109,6 +109,17 @@ def projection_features(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return points.groupBy(*keys).applyInPandas(run, _with(points, keys, "view string, valid boolean, circularity double, aspect_ratio double, corners int, rectangularity double, line_support double, pca_ratio double"))
 
 
+def rasterised(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", pad: int = 3, most: int = 2048, disc: bool = False, resolution: float = 0.003) -> DataFrame:
+    """(keys, u, v): the occupancy image of every object's 2-D points; none for fewer than 10 points or a side over `most`."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = kernels.rasterise(pdf[[x, y]].to_numpy(float), pad, most, disc, resolution)
+        v, u = np.nonzero(image) if image is not None else (np.zeros(0, int),) * 2
+        return pd.DataFrame({"u": u, "v": v}).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "u", "v"]]
+
+    return points.groupBy(*keys).applyInPandas(run, _with(points, keys, "u int, v int"))
+
+
 def view_labels(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Circle or rectangle for the three views of every object's principal frame, and the shape that they speak for."""
 
@@ -192,8 +203,17 @@ def denoise(points: DataFrame, keys: Sequence[str], keep: str = "large", **optio
     return points.groupBy(*keys).applyInPandas(run, _with(points, keys, ", ".join(f"{c} double" for c in own)))
 
 
+def debug_refine(points: DataFrame, masks: DataFrame, depth: DataFrame | None, keys: Sequence[str], frame: Sequence[str], camera: split.Camera, one: dict, cfg: SplitConfig | None = None) -> DataFrame:
+    """refine() of the one object whose keys have the given values."""
+    same = lambda df: df.filter(" AND ".join(f"`{k}` = {v!r}" for k, v in one.items()))
+    return refine(same(points), same(masks), depth, keys, frame, camera, cfg)
+
+
 def meshes(geometries: DataFrame, keys: Sequence[str], inflate: float = 1.05) -> DataFrame:
-    """(keys, kind, i, a, b, c): vertices and faces of every geometry that has the parameters its shape needs."""
+    """(keys, kind, i, a, b, c): vertices and faces of every geometry that has the parameters its shape needs.
+
+    inflate: 1.10 is meant for first geometries, 1.05 for later ones.
+    """
     columns = ["shape", "sx", "sy", "sz", "diameter", "radius", "height"]
 
     def run(batches):

@@ -252,6 +252,12 @@ def resize_nearest(mask: DataFrame, h: int, w: int, to_h: int, to_w: int) -> Dat
     return out.join(mask.select(F.col("u").alias("_u"), F.col("v").alias("_v")), ["_u", "_v"], "left_semi").select(*UV)
 
 
+def mask_or_zeros(frames: DataFrame, mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, area, readable) for all frames: a mask that can't be read has no pixel."""
+    n = mask.groupBy(*keys).agg(F.count("*").alias("area"))
+    return frames.select(*keys).distinct().join(n, list(keys), "left").select(*keys, F.coalesce("area", F.lit(0).cast("long")).alias("area"), F.col("area").isNotNull().alias("readable"))
+
+
 def split_points(points: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """Points (with their pixel u, v) with `side`: a or b by the mask that holds the pixel, the nearer centroid if both do, ties to a; others go."""
     mids = [m.agg(F.avg("u").alias(f"_{n}u"), F.avg("v").alias(f"_{n}v")) for m, n in ((a, "a"), (b, "b"))]

@@ -728,3 +728,5 @@ def track_objects(spark, sf_dir):
 
     p = fx.points(spark, sf_dir).selectExpr("'r' AS rec_id", "CAST(pid % 3 AS INT) AS keyframe_index", "CAST(obj AS INT) AS local_id", "pid", *XYZ, "r", "g", "b")
     return track_batch(observations_of(p), StateConfig(min_points=5), fixed=True)
+
+from . import catalog_pipeline  # noqa: E402, F401  registers its queries

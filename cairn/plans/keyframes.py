@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FusionConfig, MaskConfig, SplitConfig, TableConfig
-from ..functions.exprs import XYZ, back_project, project_trunc
+from ..functions.exprs import XYZ, back_project, project_round, project_trunc
 from ..functions.split import Camera
 from ..operators import cloud, objects, raster
 from .lineage import cut
@@ -179,6 +179,15 @@ def fuse(points: DataFrame, events: DataFrame, cfg: FusionConfig | None = None)
     return objects.denoise(thin, ids, "large", voxel=0.0, k=cfg.neighbours, std_ratio=cfg.std_ratio, ratio=cfg.keep_cluster_ratio, eps=cfg.eps, least=cfg.min_samples)
 
 
+def projected_masks(points: DataFrame, keys: Sequence[str], k: Sequence[float], h: int, w: int, size: int = 5) -> DataFrame:
+    """(keys, u, v): the masks of clouds: their pixels, rounded half to even, dilated and closed by a square."""
+    seen = project_round(points, k, h, w).filter("inside").select(*keys, F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v")).distinct()
+    if size <= 1:
+        return seen
+    kernel = raster.square(size)
+    return raster.close(raster.dilate(seen, keys, kernel, h, w), keys, kernel, h, w)
+
+
 def refined_objects(seg: Segmented, refined: DataFrame) -> DataFrame:
     """The objects that refinement left, as points of frames numbered anew: larger objects first, parts of one after the other."""
     order = Window.partitionBy("fid").orderBy("local_id", "part")
@@ -193,6 +202,8 @@ def run(pixels: DataFrame, frames: DataFrame, k: Sequence[float], h: int, w: int
 
     seg = segment(pixels, k, h, w, scale, table, mask)
     left = refined_objects(seg, cut(refine(seg, pixels, k, h, w, scale, split, with_depth)))
+    camera = cut(left.join(frames.select("fid", "rec_id", "keyframe_index"), FID))
     points = cut(to_reference(left, frames))
-    events = cut(track_batch(observations_of(points), fixed=fixed))
+    masks = projected_masks(camera, ["rec_id", "keyframe_index", "local_id"], k, h, w)
+    events = cut(track_batch(observations_of(points, camera, masks), fixed=fixed))
     return seg, events, fuse(points, events)

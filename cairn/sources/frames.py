@@ -69,8 +69,8 @@ def parse_ply(content: bytes) -> pd.DataFrame:
     return out
 
 
-def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """Points of PLY files with their path and number in the file."""
+def read_ply(spark: SparkSession, path: str, pattern: str = "*.ply") -> DataFrame:
+    """Points of PLY files, in folders below too, with their path and number in the file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -78,4 +78,4 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
                 p = parse_ply(bytes(content))
                 yield p.assign(path=at, pid=range(len(p)))[[c.split()[0] for c in POINTS.split(", ")]]
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").load(path).select("path", "content").mapInPandas(run, POINTS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(run, POINTS)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stats
+
 #: The colours of overlays, in turn.
 PALETTE = ((255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0), (255, 0, 255), (0, 255, 255), (255, 128, 0), (128, 0, 255))
 
@@ -74,6 +76,83 @@ def renumber(objects: DataFrame, frame: Sequence[str], order: str) -> DataFrame:
     return objects.withColumn("local_id", F.row_number().over(Window.partitionBy(*frame).orderBy(order)))
 
 
+def split_view(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, u, v, r, g, b): parts of a split in the palette's colours, the line between them (label -1) red, everything else black."""
+    colour = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in PALETTE[1:]]), (F.pmod(F.col("label") - 1, F.lit(len(PALETTE) - 1)) + 1).cast("int"))
+    pick = lambda i: F.when(F.col("label") == -1, PALETTE[0][i]).when(F.col("label") > 0, colour(i)).otherwise(0)
+    return labels.select(*keys, "u", "v", *[pick(i).alias(c) for i, c in enumerate("rgb")])
+
+
+def run_summary(status: DataFrame) -> DataFrame:
+    """One JSON object `json` for a run: its frames, how many are ok, and how many ended in each stage status."""
+    n = status.groupBy("stage_status").agg(F.count("*").alias("n"))
+    whole = n.agg(F.sum("n").alias("frames"), F.coalesce(F.sum(F.when(F.col("stage_status") == "ok", F.col("n"))), F.lit(0)).alias("ok"), F.array_sort(F.collect_list(F.struct(F.col("stage_status").alias("status"), "n"))).alias("statuses"))
+    return whole.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def id_map(events: DataFrame) -> DataFrame:
+    """(rec_id, keyframe_index, json): which identity each object of a keyframe got, in the order of the objects."""
+    pairs = F.array_sort(F.collect_list(F.struct("local_id", "global_id")))
+    return events.groupBy("rec_id", "keyframe_index").agg(F.to_json(pairs).alias("json"))
+
+
+def track_points(points: DataFrame, events: DataFrame) -> DataFrame:
+    """Object points (rec_id, keyframe_index, local_id, ...) with the identity that they count for."""
+    return points.join(events.filter("global_id > 0").select("rec_id", "keyframe_index", "local_id", "global_id"), ["rec_id", "keyframe_index", "local_id"])
+
+
+def accumulated(points: DataFrame, events: DataFrame, keyframes: DataFrame) -> DataFrame:
+    """The cloud of every track as it is after each of the keyframes (rec_id, keyframe_index) that are asked for: `at` and the points until then.
+
+    Keyframes of a recording are bounded by its source; ask for the last alone to get each track's latest cloud.
+    """
+    asked = keyframes.select("rec_id", F.col("keyframe_index").alias("at")).distinct()
+    return track_points(points, events).join(asked, "rec_id").filter("keyframe_index <= at")
+
+
+def state_summary(points: DataFrame, events: DataFrame) -> DataFrame:
+    """(rec_id, global_id, ...): observations, last keyframe, points, median centre, extent and mean colour of every track, and its geometry where events have it."""
+    ids = ["rec_id", "global_id"]
+    p = track_points(points, events)
+    own = stats.summary(p, ids).select(*ids, F.col("n").alias("points"), *[f"{k}{c}" for k in "ce" for c in "xyz"])
+    seen = p.groupBy(*ids).agg(F.countDistinct("keyframe_index", "local_id").alias("obs_count"), F.max("keyframe_index").alias("last_seen"))
+    out = own.join(stats.mean_colour(p, ids), ids).join(seen, ids)
+    if "shape" not in events.columns:
+        return out
+    last = events.filter("global_id > 0").groupBy(*ids).agg(F.max_by(F.struct("shape", "confidence", "pending_count", "params"), "keyframe_index").alias("s"))
+    return out.join(last, ids).select(*out.columns, "s.*")
+
+
+def geometry_of(summary: DataFrame) -> DataFrame:
+    """A state summary with the parameters of each track's geometry as columns."""
+    p = F.from_json("params", "sx double, sy double, sz double, diameter double, radius double, height double")
+    return summary.withColumn("_p", p).select(*summary.columns, "_p.*")
+
+
+def write_keyframes(points: DataFrame, events: DataFrame, path: str) -> None:
+    """A folder for each recording and keyframe: identities, the tracks' clouds so far, and their meshes by the geometry of that keyframe."""
+    from ..operators import objects
+
+    at = ["rec_id", "keyframe_index"]
+    write_table(id_map(events), f"{path}/id_map", at)
+    write_table(accumulated(points, events, events).withColumnRenamed("at", "snapshot"), f"{path}/tracks", ["rec_id", "snapshot"])
+    write_table(events, f"{path}/events", at)
+    shaped = geometry_of(events.filter("global_id > 0 AND params IS NOT NULL").select(*at, "global_id", "shape", "params"))
+    write_table(objects.meshes(shaped, [*at, "global_id"]), f"{path}/meshes", at)
+
+
+def write_final(points: DataFrame, events: DataFrame, fused: DataFrame, path: str) -> None:
+    """What is left of a run: the state summary, every identity's fused cloud as PLY and Parquet, and its mesh."""
+    from ..operators import objects
+
+    ids = ["rec_id", "global_id"]
+    summary = state_summary(points, events)
+    write_json(summary, f"{path}/summary")
+    write_table(fused, f"{path}/clouds", ids)
+    write_ply(fused.withColumn("pid", F.xxhash64(*[c for c in fused.columns if c not in ids])), f"{path}/ply", ids)
+    write_table(objects.meshes(geometry_of(summary.filter("params IS NOT NULL")), ids), f"{path}/meshes", ids)
+
+
 def foreach_keyframe(path: str):
     """A foreachBatch function that appends events and keeps the last state of every track, one folder a batch."""
 

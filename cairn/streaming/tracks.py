@@ -6,6 +6,7 @@ folded are reported as `late` and change nothing. Points of a track grow with it
 
 from __future__ import annotations
 
+import json
 import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -19,9 +20,11 @@ from ..config import StateConfig
 from ..functions import shapes
 from ..functions.split import denoise, voxel_mean
 
-#: One row of input is one observed object: its points in the reference frame as three equally long arrays.
+#: One row of input is one observed object: its points in the reference frame as three equally long arrays. Its points in the camera frame and its
+#: mask's pixels, for the first geometry, may follow.
 OBSERVATION = "rec_id string, keyframe_index int, local_id int, x array<double>, y array<double>, z array<double>, r double, g double, b double"
-EVENT = "rec_id string, keyframe_index int, local_id int, global_id int, event string, obs_count int, points long, shape string, confidence string, pending_count int"
+SEEN = "cx array<double>, cy array<double>, cz array<double>, mu array<int>, mv array<int>"
+EVENT = "rec_id string, keyframe_index int, local_id int, global_id int, event string, obs_count int, points long, shape string, confidence string, pending_count int, params string"
 
 
 @dataclass
@@ -104,18 +107,37 @@ def _update_geometry(track: Track, cfg: StateConfig) -> str | None:
     return confirm(track, shapes.infer(p, track.geometry, least), cfg.confirmations, cfg.least_confidence)
 
 
-def fold_keyframe(state: State, rec: str, keyframe: int, rows: list[dict], cfg: StateConfig, fixed: bool, voxel: float) -> list[dict]:
+def ignore_reason(global_id: Column, allowed: Column) -> Column:
+    """Why an assigned object is passed over: no identity, or one that isn't allowed; null for one that is kept."""
+    return F.when(global_id < 0, "global_id_is_minus_one").when(~allowed, "not_in_allowed_global_ids")
+
+
+def existing(objects: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+    """Objects that have a point."""
+    return objects.join(points.select(*keys), keys, "left_semi")
+
+
+def _first_geometry(row: dict, p: np.ndarray, cfg: StateConfig) -> dict:
+    """From the camera-frame cloud and the mask where they were observed and the cloud is large enough; else from the reference-frame cloud."""
+    cam, mask = row.get("cam"), row.get("mask")
+    if cam is not None and mask is not None and len(cam) >= 50:
+        return shapes.initial(denoise(cam, cfg.voxel, cfg.neighbours, cfg.std_ratio, "all"), mask)
+    return shapes.initial(p, None)
+
+
+def fold_keyframe(state: State, rec: str, keyframe: int, rows: list[dict], cfg: StateConfig, fixed: bool, voxel: float, allowed: frozenset[int] | None = None) -> list[dict]:
     """Events of one keyframe's objects, which the state then holds.
 
     fixed: the first keyframe's objects are the only templates, later ones get one of them or -1. Otherwise an object joins the nearest
-    track within the gate, or begins a new one; several objects of a keyframe may join one track, whose centre moves after each.
+    track within the gate, or begins a new one; several objects of a keyframe may join one track, whose centre moves after each. allowed: the
+    identities that are followed, all if None.
     """
     out = []
 
     def tell(row: dict, g: int, event: str) -> None:
         t = state.tracks.get(g)
         geometry = (t.geometry if t else None) or {}
-        out.append({"rec_id": rec, "keyframe_index": keyframe, "local_id": row["local_id"], "global_id": g, "event": event, "obs_count": t.obs_count if t else 0, "points": len(t.points) if t else 0, "shape": geometry.get("shape"), "confidence": geometry.get("confidence"), "pending_count": t.pending_count if t else 0})
+        out.append({"rec_id": rec, "keyframe_index": keyframe, "local_id": row["local_id"], "global_id": g, "event": event, "obs_count": t.obs_count if t else 0, "points": len(t.points) if t else 0, "shape": geometry.get("shape"), "confidence": geometry.get("confidence"), "pending_count": t.pending_count if t else 0, "params": json.dumps(geometry["params"], sort_keys=True, default=float) if geometry else None})
 
     if state.last is not None and keyframe <= state.last:
         for row in rows:
@@ -144,9 +166,12 @@ def fold_keyframe(state: State, rec: str, keyframe: int, rows: list[dict], cfg:
             g = min(centres, key=lambda k: (centres[k], k), default=0)
             if not g or centres[g] >= cfg.match_distance:
                 g = len(state.tracks) + 1
+        if allowed is not None and g not in allowed:
+            tell(row, g, "not_in_allowed_global_ids")
+            continue
         t = state.tracks.get(g)
         if t is None:
-            first = shapes.initial(p, None)
+            first = _first_geometry(row, p, cfg)
             state.tracks[g] = Track(p, colour, 1, keyframe, first, first)
             tell(row, g, "init")
             continue
@@ -165,43 +190,76 @@ def fold_keyframe(state: State, rec: str, keyframe: int, rows: list[dict], cfg:
 
 
 def _rows(pdf: pd.DataFrame) -> Iterator[tuple[int, list[dict]]]:
+    def row(r) -> dict:
+        out = {"local_id": int(r.local_id), "points": _stacked(r.x, r.y, r.z), "colour": np.array([r.r, r.g, r.b], float)}
+        if getattr(r, "cx", None) is not None:
+            out["cam"] = _stacked(r.cx, r.cy, r.cz)
+        if getattr(r, "mu", None) is not None and len(r.mu):
+            u, v = (np.asarray(c, int) - min(c) + 1 for c in (r.mu, r.mv))
+            out["mask"] = np.zeros((v.max() + 2, u.max() + 2), bool)
+            out["mask"][v, u] = True
+        return out
+
     for keyframe, group in pdf.groupby("keyframe_index", sort=True):
-        yield int(keyframe), [{"local_id": int(r.local_id), "points": np.stack([np.asarray(r.x, float), np.asarray(r.y, float), np.asarray(r.z, float)], axis=1).reshape(-1, 3), "colour": np.array([r.r, r.g, r.b], float)} for r in group.itertuples()]
+        yield int(keyframe), [row(r) for r in group.itertuples()]
+
+
+def _stacked(*columns) -> np.ndarray:
+    return np.stack([np.asarray(c, float) for c in columns], axis=1).reshape(-1, 3)
 
 
 def _columns() -> list[str]:
     return [c.split()[0] for c in EVENT.split(", ")]
 
 
-def track_batch(observations: DataFrame, cfg: StateConfig | None = None, fixed: bool = True, voxel: float = 0.0) -> DataFrame:
+def track_batch(observations: DataFrame, cfg: StateConfig | None = None, fixed: bool = True, voxel: float = 0.0, allowed: frozenset[int] | None = None) -> DataFrame:
     """Events of all observations, every recording folded in the order of its keyframes. A recording's keyframes are bounded by its source."""
     cfg = cfg or StateConfig()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state, rec = State(), pdf["rec_id"].iloc[0]
-        return pd.DataFrame([e for k, rows in _rows(pdf) for e in fold_keyframe(state, rec, k, rows, cfg, fixed, voxel)], columns=_columns())
+        return pd.DataFrame([e for k, rows in _rows(pdf) for e in fold_keyframe(state, rec, k, rows, cfg, fixed, voxel, allowed)], columns=_columns())
 
     return observations.groupBy("rec_id").applyInPandas(run, EVENT)
 
 
-def track_stream(observations: DataFrame, cfg: StateConfig | None = None, fixed: bool = True, voxel: float = 0.0) -> DataFrame:
-    """track_batch() over a stream: the state of a recording outlives micro-batches; within one its keyframes are put in order."""
+def track_stream(observations: DataFrame, cfg: StateConfig | None = None, fixed: bool = True, voxel: float = 0.003, allowed: frozenset[int] | None = None) -> DataFrame:
+    """track_batch() over a stream: the state of a recording outlives micro-batches; within one its keyframes are put in order.
+
+    Tracks are thinned to voxels, so that the state is bounded by the scene and not by the length of the stream; 0 keeps all points.
+    """
     cfg = cfg or StateConfig()
 
     def run(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = pickle.loads(state.get[0]) if state.exists else State()
         pdf = pd.concat(list(frames))
-        events = [e for k, rows in _rows(pdf) for e in fold_keyframe(held, key[0], k, rows, cfg, fixed, voxel)]
+        events = [e for k, rows in _rows(pdf) for e in fold_keyframe(held, key[0], k, rows, cfg, fixed, voxel, allowed)]
         state.update((pickle.dumps(held),))
         yield pd.DataFrame(events, columns=_columns())
 
     return observations.groupBy("rec_id").applyInPandasWithState(run, EVENT, "state binary", "append", "NoTimeout")
 
 
-def observations_of(points: DataFrame) -> DataFrame:
-    """OBSERVATION rows of points with rec_id, keyframe_index, local_id, pid, x, y, z and r, g, b."""
-    g = points.groupBy("rec_id", "keyframe_index", "local_id").agg(F.array_sort(F.collect_list(F.struct("pid", "x", "y", "z"))).alias("p"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("r", "g", "b")])
-    return g.select("rec_id", "keyframe_index", "local_id", *[F.col(f"p.{c}").alias(c) for c in ("x", "y", "z")], "r", "g", "b")
+def observations_of(points: DataFrame, camera: DataFrame | None = None, masks: DataFrame | None = None) -> DataFrame:
+    """OBSERVATION rows of points with rec_id, keyframe_index, local_id, pid, x, y, z and r, g, b.
+
+    camera: the same points in the camera frame; masks: (rec_id, keyframe_index, local_id, u, v). With either the SEEN columns follow.
+    """
+    keys = ["rec_id", "keyframe_index", "local_id"]
+    cloud = lambda df, names: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pid", "x", "y", "z"))).alias("p"), *([F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("r", "g", "b")] if names == "xyz" else []))
+    out = cloud(points, "xyz")
+    out = out.select(*keys, *[F.col(f"p.{c}").alias(c) for c in ("x", "y", "z")], "r", "g", "b")
+    if camera is None and masks is None:
+        return out
+    if camera is not None:
+        out = out.join(cloud(camera, "c").select(*keys, *[F.col(f"p.{c}").alias(f"c{c}") for c in ("x", "y", "z")]), keys, "left")
+    if masks is not None:
+        px = masks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", "u"))).alias("m"))
+        out = out.join(px.select(*keys, F.col("m.u").cast("array<int>").alias("mu"), F.col("m.v").cast("array<int>").alias("mv")), keys, "left")
+    for name, kind in (c.split(" ") for c in SEEN.split(", ")):
+        if name not in out.columns:
+            out = out.withColumn(name, F.lit(None).cast(kind))
+    return out
 
 
 def confirm_fold(candidates: Column, times: int = 3) -> Column:
