@@ -694,7 +694,13 @@ def watershed(spark, sf_dir):
     return objects.watershed(p, OBJ, 0.38, 10)
 
 
-@query()
+_M200 = "m AS (SELECT u, v FROM v_pixels WHERE depth_u16 <= 200)"
+_PEAKS = "b AS (SELECT u, v FROM v_grid WHERE (u, v) NOT IN (SELECT (u, v) FROM m)), dist AS (SELECT m.u, m.v, sqrt(min((m.u - b.u) * (m.u - b.u) + (m.v - b.v) * (m.v - b.v))) AS d FROM m, b GROUP BY m.u, m.v), pk AS (SELECT u, v FROM dist WHERE d >= (SELECT max(d) * 0.45 FROM dist))"
+_TWO = "two AS (SELECT avg(u) AS cu, avg(v) AS cv, row_number() OVER (ORDER BY count(*) DESC, label) AS r FROM lab GROUP BY label), near AS (SELECT m.u, m.v, (m.u - a.cu) * (m.u - a.cu) + (m.v - a.cv) * (m.v - a.cv) <= (m.u - c.cu) * (m.u - c.cu) + (m.v - c.cv) * (m.v - c.cv) AS first FROM m, two a, two c WHERE a.r = 1 AND c.r = 2), n1 AS (SELECT u, v FROM near WHERE first), n2 AS (SELECT u, v FROM near WHERE NOT first)"
+_BOTH = "o AS (SELECT u, v, 1 AS part FROM e1 UNION ALL SELECT u, v, 2 FROM e2)"
+
+
+@query(f"WITH {_M200}, {_PEAKS}, {_REACH.format(m='pk')}, {_TWO}, {_sql_dilate('d1', 'n1', _S3)}, {_sql_erode('e1', 'd1', _S3)}, {_sql_dilate('d2', 'n2', _S3)}, {_sql_erode('e2', 'd2', _S3)}, {_BOTH} SELECT u, v, part FROM o WHERE (SELECT min(n) >= 10 AND count(*) = 2 FROM (SELECT count(*) AS n FROM o GROUP BY part))", recursive=True)
 def voronoi_split(spark, sf_dir):
     """A mask cut at the nearer of its two broadest places."""
     return raster.voronoi_split(fx.mask(spark, sf_dir, 200), H, W, 0.45, 1, 10)

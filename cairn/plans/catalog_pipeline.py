@@ -173,6 +173,13 @@ def double_semi_join(spark, sf_dir):
     return p.join(a, ["u", "v"], "left_semi").join(b, ["u", "v"], "left_semi").select("u", "v", "depth_u16")
 
 
+@query(f"WITH {_XYZ1}, n AS (SELECT count(*) FILTER (s BETWEEN 0.05 AND 0.25) AS up, count(*) FILTER (-s BETWEEN 0.05 AND 0.25) AS down FROM t JOIN s USING (u, v)) SELECT CAST(0 AS BIGINT) AS fid, CASE WHEN down > up THEN 1.0 ELSE -1.0 END AS nz, CASE WHEN down > up THEN -0.75 ELSE 0.75 END AS d FROM n")
+def oriented_plane(spark, sf_dir):
+    """A plane whose normal points to the side that has more of the table mask in the height range of objects."""
+    xyz, table, plane = _scene(spark, sf_dir)
+    return keyframes.oriented(plane, xyz, table, _MASK).select("fid", "nz", "d")
+
+
 # Decisions
 
 
