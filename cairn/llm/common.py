@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -30,6 +31,13 @@ _own: list[str] = []
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system: a worker outlives its task, and others share the executor with it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def prepare(spark: SparkSession) -> None:
     """Bounds the Arrow batches of a session that has no bound of its own. Results don't depend on it; it stays, as results are read later."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -48,7 +56,7 @@ def bounded(batches: Iterable[pa.RecordBatch], text: str | int, most: int = SLIC
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
             yield b.slice(at, stop - at)
             at = stop
-        pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def shared_folder(spark: SparkSession) -> str:

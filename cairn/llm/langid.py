@@ -183,7 +183,14 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
     idf = np.log((1 + total) / (1 + df)) + 1
     weighted = [(at, SCALE * n * idf[at] / max(1e-9, float(n @ idf[at]))) for at, n in rows]
     calibrate = np.random.default_rng(seed).random(len(rows)) < 0.2
-    train = np.flatnonzero(~calibrate) if (~calibrate).any() else np.arange(len(rows))
+    calibrate[[int(np.flatnonzero(y == k)[0]) for k in np.unique(y)]] = False  # each language trains with one text at least
+    # A language with many rows of few texts trains as often as one with many texts.
+    copies = {r.y: r["count"] for r in docs.groupBy(F.col(label).cast("string").alias("y")).count().collect()}
+    parts = []
+    for k, language in enumerate(languages):
+        own, asked = np.flatnonzero((y == k) & ~calibrate), min(int(0.8 * per_language), copies[language])
+        parts.append(np.resize(own, asked) if 0 < 2 * len(own) < asked else own)
+    train = np.sort(np.concatenate(parts))
     w = _ftrl([weighted[i] for i in train], y[train], len(languages), epochs, alpha, beta, l1, l2, seed)
     held = np.flatnonzero(calibrate) if calibrate.any() else train
     logits = np.stack([weighted[i][1] @ w[weighted[i][0]] + w[-1] for i in held])

@@ -29,15 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, fresh, row_key, small, texts_of
+from .common import Scratch, bounded, fresh, give_back, row_key, small, texts_of
 from .components import components
 from .simhash import hashes
 
 WIDTH = 5
 THRESHOLD = 0.8
 RECALL = 0.95
-#: Most nodes of one key that a single task compares.
-BLOCK = 2000
+#: A key with more nodes is dealt out in blocks of so many; a task compares two blocks.
+BLOCK = 500
 #: One node in so many tells which keys are common; a common key that the sample misses costs time and nothing else.
 SAMPLED = 64
 #: Bits of a set's parity map, whose differences are never more than those of the sets.
@@ -214,6 +214,7 @@ def _filtered(of_rows, schema: str):
         for t in _whole_groups(batches):
             on = of_rows(t, _runs(t["key"].to_numpy(), t["pair"].to_numpy()))
             yield from t.select(names).filter(pa.array(on)).to_batches()
+        give_back()
 
     return lambda df: df.mapInArrow(run, schema)
 

@@ -68,14 +68,17 @@ def _table() -> np.ndarray:
 
 
 def fold_all(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """All texts folded, each after a space, in one string that ends in a space; where each begins; each one's number of words."""
-    u = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "replace"), dtype=np.uint32)
+    """All texts folded, each between spaces, in one string; where the space before each is; each one's number of words.
+
+    Two spaces part two texts, so that no phrase reaches from one into the next.
+    """
+    u = np.frombuffer(("\n" + "\n\n".join(texts) + "\n").encode("utf-32-le", "replace"), dtype=np.uint32)
     c = _table()[np.minimum(u, 65535)]
     high = u > 65535
     if high.any():
         values, back = np.unique(u[high], return_inverse=True)
         c[high] = np.array([ord(_skeleton(chr(x))) for x in values.tolist()], dtype=np.uint32)[back]
-    starts = np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))[:-1]))
+    starts = np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts)))[:-1]))
     begins = np.append((c[:-1] == 32) & (c[1:] != 32), False)
     return c.tobytes().decode("utf-32-le"), starts, np.add.reduceat(begins, starts, dtype=np.int64)
 
