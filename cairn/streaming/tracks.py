@@ -223,10 +223,11 @@ def track_batch(observations: DataFrame, cfg: StateConfig | None = None, fixed:
     return observations.groupBy("rec_id").applyInPandas(run, EVENT)
 
 
-def track_stream(observations: DataFrame, cfg: StateConfig | None = None, fixed: bool = True, voxel: float = 0.003, allowed: frozenset[int] | None = None) -> DataFrame:
+def track_stream(observations: DataFrame, cfg: StateConfig | None = None, fixed: bool = True, voxel: float = 0.0, allowed: frozenset[int] | None = None) -> DataFrame:
     """track_batch() over a stream: the state of a recording outlives micro-batches; within one its keyframes are put in order.
 
-    Tracks are thinned to voxels, so that the state is bounded by the scene and not by the length of the stream; 0 keeps all points.
+    By default all points are kept, as in the batch: a recording is bounded by its keyframe limit. Where there is no such limit, `voxel` bounds the
+    state by the scene.
     """
     cfg = cfg or StateConfig()
 
