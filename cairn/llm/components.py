@@ -21,19 +21,23 @@ def _small(e: DataFrame) -> DataFrame:
     return near.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_done(e: DataFrame) -> bool:
+    """Whether edges (u, v) with v < u are stars: each u has one v, and no v is a u. Both steps leave stars, and nothing else, as they are."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR (down = 1 AND up = 1)").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataFrame:
     """(node, root) for every node but the roots of the graph with edges (u, v); root is the component's smallest node.
 
     Edges must be of non-null longs; loops and repeats are ignored, an empty table gives an empty table. Each round is
     written to the shared folder, which cuts lineage; a round moves at most the edges and only minima per node, never
-    a node's whole neighbourhood. The number of rounds grows with the logarithm of the longest path.
+    a node's whole neighbourhood. The number of rounds grows with the logarithm of the longest path; edges that are stars take none.
     """
-    e = scratch.cut(edges.select("u", "v").filter("u <> v").distinct(), f"{name}-0")
-    before, k = None, 0
-    while True:
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == before or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e, k = scratch.cut(down, f"{name}-0"), 0
+    while not _is_done(e):
         k += 1
-        before, e = now, scratch.cut(_small(_large(e)), f"{name}-{k}")
+        e = scratch.cut(_small(_large(e)), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
