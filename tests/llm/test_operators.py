@@ -505,6 +505,21 @@ def test_links_of_dense_groups_keep_components(spark, block, distance):
     assert {r.node: r.root for r in stars} == {x: r for x, r in parts(near).items() if x != r}
 
 
+@pytest.mark.parametrize(
+    "edges, roots",
+    [
+        ([], {}),
+        ([(4, 4)], {}),
+        ([(1, 5), (5, 1), (7, 1), (9, 8), (9, 8)], {5: 1, 7: 1, 9: 8}),  # stars in either direction, with repeats
+        ([(k, k + 1) for k in range(20)], {k + 1: 0 for k in range(20)}),
+        ([(9, 2), (9, 3), (-4, 3)], {9: -4, 3: -4, 2: -4}),  # a node with two smaller neighbours
+    ],
+)
+def test_components_of_small_graphs(spark, edges, roots):
+    got = components(spark.createDataFrame(edges, "u long, v long"), scratch(spark)).collect()
+    assert len(got) == len(roots) and {r.node: r.root for r in got} == roots
+
+
 
 # Language ID
 
