@@ -17,6 +17,8 @@ COLUMNS = {
     "op8_spotsigs": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
     "op9_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op10_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op11_chat": {"conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint", "loss_sha256": "string", "formatted_chars": "bigint"},
+    "op12_spelling": {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"},
 }
 
 
@@ -26,7 +28,7 @@ def test_columns_and_rows(spark, name):
     types = dict(df.dtypes)
     assert {c: types.get(c) for c in COLUMNS[name]} == COLUMNS[name]
     rows = df.collect()
-    if name not in ("op2_warc", "op4_decontaminate"):
+    if name not in ("op2_warc", "op4_decontaminate", "op11_chat", "op12_spelling"):
         ids = {r.doc_id for r in rows} if name == "op6_training_order" else [r.doc_id for r in rows]
         assert sorted(ids) == sorted(r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
 
@@ -34,7 +36,7 @@ def test_columns_and_rows(spark, name):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cur = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in cur.description]
