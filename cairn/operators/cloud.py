@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,88 +146,86 @@ def keep_large(labels: DataFrame, ratio: float) -> DataFrame:
     return n.withColumn("most", F.max("n").over(Window.partitionBy())).filter(F.col("n") >= ratio * F.col("most")).drop("most")
 
 
-def plane_hypotheses(points: DataFrame, iterations: int) -> DataFrame:
-    """(h, nx, ny, nz, d): planes through three points each, chosen by integer arithmetic, so that runs agree.
+#: Points that a task holds against the hypotheses of their group at a time, and rows of one matrix product.
+VOTE_POINTS = 200_000
+_PRODUCT_ROWS = 2048
+
+
+def numbered(points: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "i") -> DataFrame:
+    """Points of every group with their number from 0 in the given order.
+
+    Points are dealt by ranges of (keys, order), numbered in their range and moved on by the sizes of the ranges before, so that a large
+    group is spread over tasks. Equal points keep to one range.
+    """
+    ranges = cut(points.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_block", F.spark_partition_id()))
+    own = Window.partitionBy(*keys, "_block")
+    sizes = ranges.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))  # one row a range of a group
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = ranges.withColumn(name, F.row_number().over(own.orderBy(*order)).cast("long") - 1)
+    return rows.join(sizes.withColumn("_before", before).drop("_n"), [*keys, "_block"]).withColumn(name, F.col(name) + F.col("_before")).drop("_block", "_before")
+
+
+def plane_hypotheses(points: DataFrame, key: str, sizes: DataFrame, iterations: int) -> DataFrame:
+    """(key, h, nx, ny, nz, d): planes through three points of a group each, chosen by integer arithmetic, so that runs agree. sizes: (key, n).
 
     Points are numbered from 0 by pid. Hypothesis h takes points h * 7919 + 13, h * 104729 + 71 and h * 1299709 + 257 modulo their number;
     those that fall together or on a line are left out.
     """
-    numbered = points.select(*XYZ, (F.row_number().over(Window.orderBy("pid")) - 1).alias("i"))
-    n = points.count()
-    h = points.sparkSession.range(iterations).select(F.col("id").alias("h"), *[((F.col("id") * a + b) % max(1, n)).alias(f"i{k}") for k, (a, b) in enumerate(((7919, 13), (104729, 71), (1299709, 257)))])
-    for k in range(3):
-        h = h.join(numbered.select(F.col("i").alias(f"i{k}"), *[F.col(c).alias(f"{c}{k}") for c in XYZ]), f"i{k}")
+    rows = numbered(points.select(key, "pid", *XYZ), [key], ["pid"])
+    picks = ((7919, 13), (104729, 71), (1299709, 257))
+    h = sizes.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
+    h = h.select(key, "h", F.posexplode(F.array(*[(F.col("h") * a + b) % F.col("n") for a, b in picks])).alias("k", "i"))
+    h = h.join(rows, [key, "i"]).groupBy(key, "h").agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in XYZ])
     a = [F.col(f"{c}1") - F.col(f"{c}0") for c in XYZ]
     b = [F.col(f"{c}2") - F.col(f"{c}0") for c in XYZ]
-    raw = {"px": a[1] * b[2] - a[2] * b[1], "py": a[2] * b[0] - a[0] * b[2], "pz": a[0] * b[1] - a[1] * b[0]}
-    h = h.withColumns(raw).withColumn("_l", F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py") + F.col("pz") * F.col("pz"))).filter("_l > 1e-12")
+    h = h.withColumns({"px": a[1] * b[2] - a[2] * b[1], "py": a[2] * b[0] - a[0] * b[2], "pz": a[0] * b[1] - a[1] * b[0]})
+    h = h.withColumn("_l", F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py") + F.col("pz") * F.col("pz"))).filter("_l > 1e-12")
     h = h.withColumns({"nx": F.col("px") / F.col("_l"), "ny": F.col("py") / F.col("_l"), "nz": F.col("pz") / F.col("_l")})
-    return h.select("h", "nx", "ny", "nz", (-(F.col("nx") * F.col("x0") + F.col("ny") * F.col("y0") + F.col("nz") * F.col("z0"))).alias("d"))
+    return h.select(key, "h", "nx", "ny", "nz", (-(F.col("nx") * F.col("x0") + F.col("ny") * F.col("y0") + F.col("nz") * F.col("z0"))).alias("d"))
 
 
-def plane_votes(points: DataFrame, hypotheses: DataFrame, distance: float) -> DataFrame:
-    """Hypotheses with their number of points nearer than the distance.
+def plane_votes(points: DataFrame, hypotheses: DataFrame, key: str, sizes: DataFrame, distance: float) -> DataFrame:
+    """(key, h, inliers): the number of a group's points nearer than the distance to each of its hypotheses.
 
-    A stated set of hypotheses against all points: the hypotheses, a number set by the caller, are one broadcast array, and every
-    point adds to all counts of its task at once.
+    A group is dealt in parts of some VOTE_POINTS points, each beside the hypotheses of its group; a part is a few matrix products, and what leaves it
+    is one count a hypothesis.
     """
-    table = hypotheses.agg(F.collect_list(F.struct("h", "nx", "ny", "nz", "d")).alias("hs"))
-    met = points.select(*XYZ).join(F.broadcast(table)).select(*XYZ, F.explode("hs").alias("p"))
-    near = F.abs(F.col("p.nx") * F.col("x") + F.col("p.ny") * F.col("y") + F.col("p.nz") * F.col("z") + F.col("p.d")) < distance
-    return met.groupBy("p.h", "p.nx", "p.ny", "p.nz", "p.d").agg(F.count_if(near).alias("inliers"))
+    parts = sizes.select(key, F.expr(f"CAST(n DIV {VOTE_POINTS} + 1 AS INT)").alias("_parts"))
+    dealt = points.join(parts, key).select(key, F.pmod(F.xxhash64("pid"), F.col("_parts")).cast("int").alias("_part"), *XYZ)
+    given = hypotheses.join(parts, key).select(key, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "h", "nx", "ny", "nz", "d")
 
+    def vote(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        p, n, d = a[list(XYZ)].to_numpy(float), b[["nx", "ny", "nz"]].to_numpy(float).T, b["d"].to_numpy(float)
+        count = np.zeros(len(b), np.int64)
+        for at in range(0, len(p) if len(b) else 0, _PRODUCT_ROWS):
+            count += (np.abs(p[at : at + _PRODUCT_ROWS] @ n + d) < distance).sum(axis=0)
+        return pd.DataFrame({key: b[key], "h": b["h"], "inliers": count})
 
-def fit_plane(points: DataFrame, distance: float = 0.008, iterations: int = 2000, min_inlier_ratio: float = 0.20, least: int = 200, up: Sequence[float] | None = None, max_angle_deg: float = 25.0) -> DataFrame:
-    """One row (n, nx, ny, nz, d, inliers, inlier_ratio, status) for the plane with most points near it, the least h among equals.
+    schema = f"`{key}` {points.schema[key].dataType.simpleString()}, h long, inliers long"
+    return dealt.groupBy(key, "_part").cogroup(given.groupBy(key, "_part")).applyInPandas(vote, schema).groupBy(key, "h").agg(F.sum("inliers").alias("inliers"))
 
-    status: too_few_points, inlier_ratio_too_small, plane_rejected_by_normal or ok. With an up vector a plane that leans
-    more than the angle is rejected and the normal is turned to the side of up.
-    """
-    n = points.count()
-    if n < least:
-        none = {c: F.lit(None).cast("double") for c in ("nx", "ny", "nz", "d")}
-        one = points.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), *[v.alias(k) for k, v in none.items()], F.lit(0).cast("long").alias("inliers"), F.lit(0.0).alias("inlier_ratio"), F.lit("too_few_points").alias("status"))
-        return one
-    best = plane_votes(points, plane_hypotheses(points, iterations), distance).orderBy(F.desc("inliers"), "h").limit(1)
-    best = best.withColumns({"n": F.lit(n).cast("long"), "inlier_ratio": F.col("inliers") / F.lit(n)})
-    status = F.when(F.col("inlier_ratio") < min_inlier_ratio, "inlier_ratio_too_small")
-    if up is not None:
-        along = F.col("nx") * float(up[0]) + F.col("ny") * float(up[1]) + F.col("nz") * float(up[2])
-        status = status.when(F.degrees(F.acos(F.least(F.lit(1.0), F.abs(along)))) > max_angle_deg, "plane_rejected_by_normal")
-        side = F.when(along < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-        best = best.withColumn("_side", side)
-        best = best.withColumns({c: F.col(c) * F.col("_side") for c in ("nx", "ny", "nz", "d")}).withColumn("status", status.otherwise("ok"))
-    else:
-        best = best.withColumn("status", status.otherwise("ok"))
-    return best.select("n", "nx", "ny", "nz", "d", "inliers", "inlier_ratio", "status")
+
+def fit_plane(points: DataFrame, distance: float = 0.008, iterations: int = 2000, min_inlier_ratio: float = 0.20, least: int = 200, up: Sequence[float] | None = None, max_angle_deg: float = 25.0) -> DataFrame:
+    """fit_planes() of all points as one group: one row (n, nx, ny, nz, d, inliers, inlier_ratio, status)."""
+    found = fit_planes(points.withColumn("_one", F.lit(0)), "_one", distance, iterations, min_inlier_ratio, least, up, max_angle_deg)
+    zero = F.lit(0).cast("long")
+    out = points.sparkSession.range(1).select(F.lit(0).alias("_one")).join(found, "_one", "left")
+    return out.select(F.coalesce("n", zero).alias("n"), "nx", "ny", "nz", "d", F.coalesce("inliers", zero).alias("inliers"), F.coalesce("inlier_ratio", F.lit(0.0)).alias("inlier_ratio"), F.coalesce("status", F.lit("too_few_points")).alias("status"))
 
 
 def fit_planes(points: DataFrame, key: str, distance: float = 0.008, iterations: int = 2000, min_inlier_ratio: float = 0.20, least: int = 200, up: Sequence[float] | None = None, max_angle_deg: float = 25.0, raw: DataFrame | None = None) -> DataFrame:
-    """fit_plane() for every group of a key at once: (key, n, nx, ny, nz, d, inliers, inlier_ratio, status).
+    """(key, n, nx, ny, nz, d, inliers, inlier_ratio, status): for every group the plane with most points near it, the least h among equals.
 
-    raw: (key, raw), the points of each group before they were preprocessed; a group that had enough of them and lacks them now has the status
-    too_few_points_after_preprocess, and one that has none left is in the result too.
+    status: too_few_points, inlier_ratio_too_small, plane_rejected_by_normal or ok. With an up vector a plane that leans more than the angle is
+    rejected and the normal is turned to the side of up. raw: (key, raw), the points of each group before they were preprocessed; a group that
+    had enough of them and lacks them now has the status too_few_points_after_preprocess, and one that has none left is in the result too.
     """
-    numbered = points.select(key, *XYZ, (F.row_number().over(Window.partitionBy(key).orderBy("pid")) - 1).alias("i"))
     sizes = points.groupBy(key).agg(F.count("*").alias("n"))
-    picks = ((7919, 13), (104729, 71), (1299709, 257))
-    h = sizes.filter(F.col("n") >= least).withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
-    h = h.select(key, "n", "h", *[((F.col("h") * a + b) % F.col("n")).alias(f"i{k}") for k, (a, b) in enumerate(picks)])
-    for k in range(3):
-        h = h.join(numbered.select(key, F.col("i").alias(f"i{k}"), *[F.col(c).alias(f"{c}{k}") for c in XYZ]), [key, f"i{k}"])
-    a = [F.col(f"{c}1") - F.col(f"{c}0") for c in XYZ]
-    b = [F.col(f"{c}2") - F.col(f"{c}0") for c in XYZ]
-    h = h.withColumns({"px": a[1] * b[2] - a[2] * b[1], "py": a[2] * b[0] - a[0] * b[2], "pz": a[0] * b[1] - a[1] * b[0]})
-    h = h.withColumn("_l", F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py") + F.col("pz") * F.col("pz"))).filter("_l > 1e-12")
-    h = h.withColumns({"nx": F.col("px") / F.col("_l"), "ny": F.col("py") / F.col("_l"), "nz": F.col("pz") / F.col("_l")})
-    h = h.select(key, "h", "nx", "ny", "nz", (-(F.col("nx") * F.col("x0") + F.col("ny") * F.col("y0") + F.col("nz") * F.col("z0"))).alias("d"))
-    # The iterations of a group are one array beside its points; every point adds to all counts of its task at once.
-    table = h.groupBy(key).agg(F.collect_list(F.struct("h", "nx", "ny", "nz", "d")).alias("hs"))
-    met = points.select(key, *XYZ).join(table, key).select(key, *XYZ, F.explode("hs").alias("p"))
-    near = F.abs(F.col("p.nx") * F.col("x") + F.col("p.ny") * F.col("y") + F.col("p.nz") * F.col("z") + F.col("p.d")) < distance
-    votes = met.groupBy(key, "p.h", "p.nx", "p.ny", "p.nz", "p.d").agg(F.count_if(near).alias("inliers"))
-    best = votes.groupBy(key).agg(F.max_by(F.struct("nx", "ny", "nz", "d", "inliers"), F.struct("inliers", -F.col("h"))).alias("b"))
-    out = sizes.join(best, key, "left").select(key, "n", "b.nx", "b.ny", "b.nz", "b.d", F.coalesce("b.inliers", F.lit(0)).alias("inliers"))
+    large = sizes.filter(F.col("n") >= least)
+    planes = cut(plane_hypotheses(points.join(large.select(key), key, "left_semi"), key, large, iterations))
+    votes = plane_votes(points, planes, key, large, distance)
+    best = votes.groupBy(key).agg(F.max(F.struct("inliers", (-F.col("h")).alias("m"))).alias("b")).select(key, F.col("b.inliers").alias("inliers"), (-F.col("b.m")).alias("h"))
+    out = sizes.join(best.join(planes, [key, "h"]), key, "left").select(key, "n", "nx", "ny", "nz", "d", F.coalesce("inliers", F.lit(0).cast("long")).alias("inliers"))
     if raw is not None:
         out = raw.join(out, key, "left").withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "inliers": F.coalesce("inliers", F.lit(0).cast("long"))})
     out = out.withColumn("inlier_ratio", F.coalesce(F.try_divide("inliers", "n"), F.lit(0.0)))
@@ -245,9 +245,8 @@ def preprocess(points: DataFrame, keys: Sequence[str], voxel: float, outliers: b
     """Points thinned to voxel means (if voxel > 0, with new pids), then without outliers where a group has more than 50."""
     out = points
     if voxel > 0:
-        thin = voxel_mean(points, keys, voxel)
-        order = Window.partitionBy(*keys).orderBy("ix", "iy", "iz") if keys else Window.orderBy("ix", "iy", "iz")
-        out = thin.withColumn("pid", F.row_number().over(order).cast("long")).select(*keys, "pid", *XYZ)
+        thin = numbered(voxel_mean(points, keys, voxel), keys, ("ix", "iy", "iz"), "pid")
+        out = thin.withColumn("pid", F.col("pid") + 1).select(*keys, "pid", *XYZ)
     if not outliers:
         return out
     big = out.groupBy(*keys).count().filter("count > 50").select(*keys) if keys else None

@@ -164,6 +164,7 @@ c4 AS (SELECT *, acos(greatest(-1.0, least(1.0, ((xx - q) / p * ((yy - q) / p *
 c5 AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM c4),
 s AS (SELECT obj, n, sqrt(greatest(l1, 1e-12)) AS s1, sqrt(greatest(3 * q - l1 - l3, 1e-12)) AS s2, sqrt(greatest(l3, 1e-12)) AS s3 FROM c5)
 """
+PCA_SQL = _PCA.removeprefix("WITH ")
 
 
 @query(_PCA + "SELECT obj, n, round(s1, 6) AS s1, round(s2, 6) AS s2, round(s3, 6) AS s3, (n < 20 OR (s1 / greatest(s2, 1e-6) > 8 AND s2 / greatest(s3, 1e-6) > 6)) AS bad_shape, (s1 / greatest(s2, 1e-6) > 10 AND s2 / greatest(s3, 1e-6) < 2.5) AS thin_rod FROM s")
