@@ -13,7 +13,8 @@ from ..config import SplitConfig
 from ..functions import kernels, shapes, split
 from ..functions.exprs import XYZ, finite
 from ..functions.stats import robust_trim
-from . import cloud
+from ..plans.lineage import cut
+from . import cloud, outline
 
 
 def _with(df: DataFrame, keys: Sequence[str], ddl: str) -> str:
@@ -99,14 +100,23 @@ def rectangle_fits(points: DataFrame, keys: Sequence[str], x: str = "x", y: str
     return points.groupBy(*keys).applyInPandas(run, _with(points, keys, "valid boolean, iou double, score double, nrmse double, w double, h double, angle double"))
 
 
-def projection_features(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Outline features of the three coordinate projections of every object."""
+def projection_features(points: DataFrame, keys: Sequence[str], resolution: float = 0.003, votes: int = outline.VOTES) -> DataFrame:
+    """(keys, view, valid, circularity, rectangularity, line_support, pca_ratio) of the three coordinate projections xy, xz, yz of every object.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[list(XYZ)].to_numpy(float)
-        return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | {"view": v} | kernels.projection_features(p[:, ij]) for v, ij in (("xy", [0, 1]), ("xz", [0, 2]), ("yz", [1, 2]))])
-
-    return points.groupBy(*keys).applyInPandas(run, _with(points, keys, "view string, valid boolean, circularity double, aspect_ratio double, corners int, rectangularity double, line_support double, pca_ratio double"))
+    pca_ratio is that of the projection's principal variances, 999 with fewer than 10 finite points; the rest is of its occupancy image's outline and
+    lines, and 0 where there is none.
+    """
+    views = F.explode(F.array(*[F.struct(F.lit(a + b).alias("view"), F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y")) for a, b in (("x", "y"), ("x", "z"), ("y", "z"))]))
+    flat = points.select(*keys, views.alias("p")).select(*keys, "p.*")
+    own = [*keys, "view"]
+    sound = F.when(~F.isnan("_x") & ~F.isnan("_y") & (F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf")), True)
+    c = flat.groupBy(*own).agg(F.count(sound).alias("_n"), *[F.covar_samp(F.when(sound, F.col(a)), F.when(sound, F.col(b))).alias(n) for n, a, b in (("_xx", "_x", "_x"), ("_xy", "_x", "_y"), ("_yy", "_y", "_y"))])
+    half, root = (F.col("_xx") + F.col("_yy")) / 2, F.sqrt((F.col("_xx") - F.col("_yy")) * (F.col("_xx") - F.col("_yy")) / 4 + F.col("_xy") * F.col("_xy"))
+    ratio = F.when(F.col("_n") >= 10, (half + root) / F.greatest(half - root, F.lit(1e-6))).otherwise(999.0)
+    image = cut(rasterised(flat, own, "_x", "_y", 3, 2048, False, resolution))
+    seen = outline.features(image, own, votes)
+    none = {"valid": F.lit(False)} | {n: F.lit(0.0) for n in ("circularity", "rectangularity", "line_support")}
+    return c.select(*own, ratio.alias("pca_ratio")).join(seen, own, "left").select(*own, *[F.coalesce(n, v).alias(n) for n, v in none.items()], "pca_ratio")
 
 
 def rasterised(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", pad: int = 3, most: int = 2048, disc: bool = False, resolution: float = 0.003) -> DataFrame:

@@ -12,7 +12,7 @@ from .. import config
 from ..functions import exprs, rules, split, stats
 from ..functions.exprs import XYZ
 from ..functions.rules import Columns
-from ..operators import cloud, objects, raster
+from ..operators import cloud, objects, outline, raster
 from ..sources import fixtures as fx
 from ..sources import frames, sinks
 from ..sources.fixtures import SCALE, H, K, W
@@ -572,3 +572,68 @@ def above_plane(spark, sf_dir):
     """Points above a plane's band, on the side that is up."""
     s = exprs.plane_distance(*PLANE)
     return fx.points(spark, sf_dir).withColumn("s", s).filter("s > 0.02").select("obj", "pid", *_r("s"))
+
+
+# Outlines and lines
+
+# Outer outlines of masks m (obj, u, v): holes filled, parts labelled, blocks of 2 by 2 pixels counted; the largest of each mask is in ol.
+_OUTLINE_SQL = """box AS (SELECT obj, min(u) - 1 AS u0, max(u) + 1 AS u1, min(v) - 1 AS v0, max(v) + 1 AS v1 FROM m GROUP BY obj),
+cell AS (SELECT obj, u, unnest(range(v0, v1 + 1)) AS v FROM (SELECT *, unnest(range(u0, u1 + 1)) AS u FROM box)),
+back AS (SELECT obj, u, v FROM cell WHERE (obj, u, v) NOT IN (SELECT (obj, u, v) FROM m)),
+outside(obj, u, v) AS (SELECT obj, u0, v0 FROM box UNION SELECT b.obj, b.u, b.v FROM outside o JOIN back b ON b.obj = o.obj AND abs(b.u - o.u) + abs(b.v - o.v) = 1),
+full_ AS (SELECT obj, u, v FROM cell WHERE (obj, u, v) NOT IN (SELECT (obj, u, v) FROM outside)),
+lab(obj, u, v, label) USING KEY (obj, u, v) AS (SELECT obj, u, v, v * 4096 + u FROM full_ UNION SELECT n.obj, n.u, n.v, min(l.label) FROM lab l JOIN recurring.lab n ON n.obj = l.obj AND n.u BETWEEN l.u - 1 AND l.u + 1 AND n.v BETWEEN l.v - 1 AND l.v + 1 WHERE l.label < n.label GROUP BY n.obj, n.u, n.v),
+blk AS (SELECT obj, label, u + du AS bu, v + dv AS bv, sum(b) AS p, count(*) AS n FROM lab, (VALUES (0, 0, 1), (-1, 0, 2), (0, -1, 4), (-1, -1, 8)) k(du, dv, b) GROUP BY 1, 2, 3, 4),
+part_ AS (SELECT obj, label, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END) AS area, sum(CASE WHEN n = 3 THEN sqrt(2) WHEN p IN (6, 9) THEN 2 * sqrt(2) WHEN n = 2 THEN 1.0 ELSE 0.0 END) AS len, max(bu) - min(bu) AS w, max(bv) - min(bv) AS h FROM blk GROUP BY 1, 2),
+ol AS (SELECT obj, area, len, w, h, area > 1 AND len > 1e-6 AS valid FROM (SELECT *, row_number() OVER (PARTITION BY obj ORDER BY area DESC, label) AS r FROM part_) WHERE r = 1)"""
+
+
+def _line_sql(votes: int) -> str:
+    """Straight runs of masks m whose outlines are ol: each pixel on its line of most votes, lines cut where more than 3 pixels are missing; in sup."""
+    from ..operators.outline import TURNS
+
+    turns = ", ".join(f"({i}, {c!r}::DOUBLE, {s!r}::DOUBLE)" for i, (c, s) in enumerate(TURNS))
+    return f"""hit AS (SELECT obj, u, v, a, CAST(round_even(u * c + v * s, 0) AS BIGINT) AS rho FROM m, (VALUES {turns}) t(a, c, s)),
+vote AS (SELECT obj, a, rho, count(*) AS n FROM hit GROUP BY 1, 2, 3 HAVING count(*) >= {votes}),
+own AS (SELECT obj, u, v, a, rho, CASE WHEN a BETWEEN 45 AND 135 THEN u ELSE v END AS p, CASE WHEN a BETWEEN 45 AND 135 THEN v ELSE u END AS q FROM (SELECT hit.*, row_number() OVER (PARTITION BY hit.obj, u, v ORDER BY n DESC, hit.a) AS r FROM hit JOIN vote ON vote.obj = hit.obj AND vote.a = hit.a AND vote.rho = hit.rho) WHERE r = 1),
+cutp AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY obj, a, rho ORDER BY p, q) > 4, FALSE) AS new FROM own),
+runp AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY obj, a, rho ORDER BY p, q ROWS UNBOUNDED PRECEDING) AS k FROM cutp),
+runs AS (SELECT obj, max(u) - min(u) AS du, abs(arg_max(v, (p, q)) - arg_min(v, (p, q))) AS dv, abs(arg_max(u, (p, q)) - arg_min(u, (p, q))) AS eu FROM runp GROUP BY obj, a, rho, k),
+sup AS (SELECT obj, count(*) AS runs, sum(sqrt(eu * eu + dv * dv)) AS total FROM runs JOIN ol USING (obj) WHERE greatest(eu, dv) >= greatest(8, floor(0.15 * greatest(w, h))) GROUP BY obj)"""
+
+
+_LINED = f"m AS (SELECT DISTINCT l_linenumber AS obj, CAST(l_orderkey % {W} AS INTEGER) AS u, CAST((l_partkey * 31 + l_suppkey) % {H} AS INTEGER) AS v FROM lineitem WHERE l_quantity <= 8)"
+
+
+def _lined(spark, sf_dir) -> DataFrame:
+    """A mask for every line number."""
+    rows = fx.table(spark, sf_dir, "lineitem").filter("l_quantity <= 8")
+    return rows.selectExpr("l_linenumber AS obj", f"CAST(l_orderkey % {W} AS INT) AS u", f"CAST((l_partkey * 31 + l_suppkey) % {H} AS INT) AS v").distinct()
+
+
+@query(f"WITH {_LINED}, {_OUTLINE_SQL} SELECT obj, round(area, 6) AS area, round(len, 6) AS length, w, h, valid, round(CASE WHEN valid THEN 4 * pi() * area / (len * len) ELSE 0.0 END, 6) AS circularity, round(CASE WHEN valid THEN greatest(w, h) / greatest(least(w, h), 1) ELSE 0.0 END, 6) AS aspect_ratio, round(CASE WHEN valid THEN area / greatest(w * h, 1) ELSE 0.0 END, 6) AS rectangularity FROM ol", recursive=True)
+def outlines(spark, sf_dir):
+    """The largest outer outline of every line number's mask."""
+    return outline.outlines(_lined(spark, sf_dir), OBJ).select("obj", *_r("area", "length"), "w", "h", "valid", *_r("circularity", "aspect_ratio", "rectangularity"))
+
+
+@query(f"WITH {_LINED}, {_OUTLINE_SQL}, {_line_sql(12)} SELECT obj, coalesce(runs, 0) AS runs, round(CASE WHEN valid THEN least(coalesce(total, 0) / greatest(len, 1), 1) ELSE 0.0 END, 6) AS line_support FROM ol LEFT JOIN sup USING (obj)", recursive=True)
+def line_support(spark, sf_dir):
+    """How much of an outline straight lines make up, for every line number's mask."""
+    mask = _lined(spark, sf_dir)
+    return outline.line_support(mask, OBJ, outline.outlines(mask, OBJ), 12).select("obj", "runs", *_r("line_support"))
+
+
+_SEEN = f"WITH vp AS (SELECT obj * 3 AS obj, x, y FROM v_points UNION ALL SELECT obj * 3 + 1, x, z FROM v_points UNION ALL SELECT obj * 3 + 2, y, z FROM v_points), {_raster_sql(False).replace('v_points', 'vp').removeprefix('WITH ').replace('SELECT obj, u, v FROM g', '')}".rstrip()
+
+
+@query(
+    f"{_SEEN}, m AS (SELECT obj, u, v FROM g), {_OUTLINE_SQL}, {_line_sql(6)}, cv AS (SELECT obj, (covar_samp(x, x) + covar_samp(y, y)) / 2 AS half, sqrt((covar_samp(x, x) - covar_samp(y, y)) * (covar_samp(x, x) - covar_samp(y, y)) / 4 + covar_samp(x, y) * covar_samp(x, y)) AS root FROM vp GROUP BY obj) "
+    "SELECT cv.obj // 3 AS obj, ['xy', 'xz', 'yz'][cv.obj % 3 + 1] AS view, coalesce(valid, FALSE) AS valid, round(CASE WHEN valid THEN 4 * pi() * area / (len * len) ELSE 0.0 END, 6) AS circularity, round(CASE WHEN valid THEN area / greatest(w * h, 1) ELSE 0.0 END, 6) AS rectangularity, "
+    "round(CASE WHEN valid THEN least(coalesce(total, 0) / greatest(len, 1), 1) ELSE 0.0 END, 6) AS line_support, round((half + root) / greatest(half - root, 1e-6), 6) AS pca_ratio FROM cv LEFT JOIN ol ON ol.obj = cv.obj LEFT JOIN sup ON sup.obj = cv.obj",
+    recursive=True,
+)
+def projection_features(spark, sf_dir):
+    """Outline, lines and principal variances of the three projections of every object."""
+    p = objects.projection_features(fx.points(spark, sf_dir), OBJ, 0.05, 6)
+    return p.select("obj", "view", "valid", *_r("circularity", "rectangularity", "line_support", "pca_ratio"))
