@@ -6,7 +6,6 @@ outlines exist the one with the largest area counts.
 
 from __future__ import annotations
 
-import heapq
 from collections import deque
 
 import numpy as np
@@ -243,47 +242,3 @@ def distance(image: np.ndarray) -> np.ndarray:
         src, dst = slice(max(0, -dv), h - max(0, dv)), slice(max(0, dv), h - max(0, -dv))
         out[dst] = np.minimum(out[dst], line[src] ** 2 + dv * dv)
     return np.sqrt(out)
-
-
-def watershed(colour: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Labels of the mask's pixels, flooded from the markers in the order of the colour step to the flooded side, then of arrival.
-
-    Pixels where floods of two labels meet keep the label that came first; there is no boundary label.
-    """
-    out, (h, w) = np.where(mask, markers, 0), mask.shape
-    heap, n = [], 0
-
-    def spread(u: int, v: int) -> None:
-        nonlocal n
-        for du, dv in _RING:
-            a, b = u + du, v + dv
-            if 0 <= a < w and 0 <= b < h and mask[b, a] and not out[b, a]:
-                n += 1
-                heapq.heappush(heap, (int(np.abs(colour[b, a].astype(int) - colour[v, u].astype(int)).max()), n, a, b, int(out[v, u])))
-
-    for v, u in zip(*np.nonzero(out), strict=True):
-        spread(int(u), int(v))
-    while heap:
-        _, _, u, v, label = heapq.heappop(heap)
-        if not out[v, u]:
-            out[v, u] = label
-            spread(u, v)
-    return out
-
-
-def watershed_split(colour: np.ndarray, mask: np.ndarray, peak_ratio: float = 0.38, least: int = 300) -> tuple[list[np.ndarray], str]:
-    """Submasks of a mask that has several broad places, and the reason; [mask] if it isn't split."""
-    if mask.sum() < 2 * least:
-        return [mask], "mask_too_small"
-    d = np.where(mask, distance(mask), 0)
-    if d.max() < 1:
-        return [mask], "distance_transform_too_small"
-    labels, n = labelled(d > peak_ratio * d.max())
-    sizes = np.bincount(labels.ravel(), minlength=n + 1)
-    seeds = [k for k in range(1, n + 1) if sizes[k] >= least]
-    if len(seeds) < 2:
-        return [mask], "peak_components<2"
-    markers = sum((np.where(labels == k, i + 1, 0) for i, k in enumerate(seeds)), np.zeros(mask.shape, np.int64))
-    flooded = watershed(colour, markers, mask)
-    parts = [p for i in range(len(seeds)) if (p := flooded == i + 1).sum() >= least]
-    return (parts, "watershed_split") if len(parts) > 1 else ([mask], "watershed_not_split")

@@ -145,24 +145,6 @@ def view_labels(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return points.groupBy(*keys).applyInPandas(run, _with(points, keys, "view string, label string, circle double, rectangle double, prior string, prior_confidence string"))
 
 
-def watershed(pixels: DataFrame, keys: Sequence[str], peak_ratio: float = 0.38, least: int = 300) -> DataFrame:
-    """(keys, u, v, part, reason) for the masks given by pixels with r, g, b: several parts where a mask has several broad places."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v = (pdf["u"] - pdf["u"].min() + 1).to_numpy(int), (pdf["v"] - pdf["v"].min() + 1).to_numpy(int)
-        mask = image_of(pdf)
-        colour = np.zeros((*mask.shape, 3), int)
-        colour[v, u] = pdf[["r", "g", "b"]].to_numpy(int)
-        parts, reason = kernels.watershed_split(colour, mask, peak_ratio, least)
-        label = np.zeros(mask.shape, int)
-        for i, p in enumerate(parts):
-            label[p] = i + 1
-        out = pdf[[*keys, "u", "v"]].assign(part=label[v, u], reason=reason)
-        return out[out["part"] > 0]
-
-    return pixels.groupBy(*keys).applyInPandas(run, _with(pixels, [*keys, "u", "v"], "part int, reason string"))
-
-
 def _columns(points: DataFrame) -> list[str]:
     """Coordinates, and colours where the points have them."""
     return [*XYZ, *(c for c in ("r", "g", "b") if c in points.columns)]

@@ -191,17 +191,18 @@ def boundary_score(a: DataFrame, b: DataFrame, full: DataFrame, gradient_map: Da
     return here.join(there).select(F.when(F.col("n") < 20, F.lit(0.0)).otherwise((0.5 * F.col("m") + 0.5 * F.col("p")) / (F.coalesce("all", F.lit(0.0)) + 1e-6)).alias("score"))
 
 
-def distance_transform(mask: DataFrame, h: int, w: int) -> DataFrame:
-    """One frame's mask with `dist`, the exact Euclidean distance to the nearest background pixel; h + w where there is none.
+def distance_transform(mask: DataFrame, h: int, w: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Masks with `dist`, the exact Euclidean distance to the nearest background pixel of their image; h + w where there is none.
 
     Two passes: the nearest background in a pixel's own row, then the least over the pixels of its column, as the squared distance is a sum. What
-    a pixel's own row and column have bounds how far along the column it has to look.
+    a pixel's own row and column have bounds how far along the column it has to look. With keys all frames go through at once, a task for each of their rows and columns.
     """
-    back = complement(mask, h, w).withColumn("_b", F.lit(True))
-    line = mask.select(*UV, F.lit(False).alias("_b")).unionByName(back)
+    at = [*keys, *UV]
+    back = complement(mask, h, w, keys).select(*at, F.lit(True).alias("_b"))
+    line = mask.select(*at, F.lit(False).alias("_b")).unionByName(back)
 
     def gap(along: str, across: str) -> Column:
-        order = Window.partitionBy(across).orderBy(along)
+        order = Window.partitionBy(*keys, across).orderBy(along)
         seen = F.when(F.col("_b"), F.col(along))
         before = F.last(seen, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
         after = F.first(seen, True).over(order.rowsBetween(0, Window.unboundedFollowing))
@@ -210,11 +211,11 @@ def distance_transform(mask: DataFrame, h: int, w: int) -> DataFrame:
     line = line.withColumn("_g", gap("u", "v")).withColumn("_c", gap("v", "u"))
     reach = F.least(F.col("_g"), F.col("_c"), F.lit(h - 1)).cast("int")
     first, last = F.greatest(-reach, -F.col("v")).cast("int"), F.least(reach, F.lit(h - 1) - F.col("v")).cast("int")
-    looks = line.filter("NOT _b").select(*UV, F.explode(F.sequence(first, last)).alias("_d"))
-    looks = looks.select("u", F.col("v").alias("_v"), (F.col("v") + F.col("_d")).cast("int").alias("v"), "_d")
-    met = looks.join(line.select(*UV, "_g"), list(UV)).select("u", F.col("_v").alias("v"), (F.col("_g") * F.col("_g") + F.col("_d") * F.col("_d")).alias("_s"))
-    least = met.groupBy(*UV).agg(F.min("_s").alias("_s"))
-    return mask.select(*UV).join(least, list(UV)).select(*UV, F.coalesce(F.sqrt("_s"), F.lit(float(h + w))).alias("dist"))
+    looks = line.filter("NOT _b").select(*at, F.explode(F.sequence(first, last)).alias("_d"))
+    looks = looks.select(*keys, "u", F.col("v").alias("_v"), (F.col("v") + F.col("_d")).cast("int").alias("v"), "_d")
+    met = looks.join(line.select(*at, "_g"), at).select(*keys, "u", F.col("_v").alias("v"), (F.col("_g") * F.col("_g") + F.col("_d") * F.col("_d")).alias("_s"))
+    least = met.groupBy(*at).agg(F.min("_s").alias("_s"))
+    return mask.select(*at).join(least, at).select(*at, F.coalesce(F.sqrt("_s"), F.lit(float(h + w))).alias("dist"))
 
 
 def voronoi_split(mask: DataFrame, h: int, w: int, peak_ratio: float = 0.45, least_peak: int = 200, least_part: int = 180) -> DataFrame:

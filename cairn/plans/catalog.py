@@ -613,8 +613,8 @@ def overlay(spark, sf_dir):
 
 
 def _observed(spark, sf_dir) -> DataFrame:
-    e = fx.table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("shape"), (F.col("value") >= 20).alias("sure")))).alias("c"))
+    """Observations of tracks, an event each."""
+    return fx.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("order"), F.col("event_type").alias("label"), (F.col("value") >= 20).alias("sure"))
 
 
 @query(
@@ -631,10 +631,30 @@ SELECT user_id, arg_max(shape, i) AS shape, arg_max(switches, i) AS switches, ar
 )
 def confirm_switch(spark, sf_dir):
     """The shape of every track after its observations, another shape being taken over when it was seen three times."""
-    from ..streaming.tracks import confirm_fold
+    from ..streaming.switches import advance
 
-    s = _observed(spark, sf_dir).select("user_id", confirm_fold(F.col("c")).alias("s"))
-    return s.select("user_id", "s.shape", "s.switches", F.col("s.count").alias("pending_count"))
+    return advance(_observed(spark, sf_dir), ["user_id"], told=()).states.select("user_id", "shape", F.col("switches").cast("int").alias("switches"), "pending_count")
+
+
+_SWITCHES = """o AS (SELECT user_id, event_id, event_type AS c, value >= 20 AS sure, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, event_id, i, c, c AS shape, CAST(NULL AS VARCHAR) AS pending, 0 AS n, FALSE AS waits, FALSE AS turns, 0 AS k FROM o WHERE i = 1
+UNION ALL SELECT user_id, event_id, i, c, CASE WHEN turns THEN c ELSE shape END, CASE WHEN turns OR c = shape THEN NULL WHEN waits THEN c ELSE pending END, CASE WHEN turns OR c = shape THEN 0 WHEN waits THEN k ELSE n END, waits, turns, k
+FROM (SELECT *, waits AND k >= 3 AS turns FROM (SELECT o.user_id, o.event_id, o.i, o.c, f.shape, f.pending, f.n, o.c <> f.shape AND o.sure AS waits, CASE WHEN f.pending = o.c THEN f.n + 1 ELSE 1 END AS k FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))),
+held AS (SELECT *, lag(shape) OVER (PARTITION BY user_id ORDER BY i) AS was FROM f)"""
+
+
+@query(
+    f"""WITH {_SWITCHES} SELECT user_id, event_id, 'init' AS event, c AS label, shape, 0 AS pending_count, i AS obs_count FROM held WHERE i = 1
+UNION ALL SELECT user_id, event_id, 'infer', c, was, n, i FROM held WHERE i > 1
+UNION ALL SELECT user_id, event_id, 'pending_update', c, was, k, i FROM held WHERE waits
+UNION ALL SELECT user_id, event_id, 'switch_confirmed', c, c, 0, i FROM held WHERE turns""",
+    recursive=True,
+)
+def geometry_history(spark, sf_dir):
+    """What every observation of every track did: inferred, pending with its count, switched."""
+    from ..streaming.switches import advance
+
+    return advance(_observed(spark, sf_dir), ["user_id"]).events.withColumnRenamed("order", "event_id")
 
 
 @query()
@@ -686,15 +706,6 @@ def projection_shapes(spark, sf_dir):
     return objects.view_labels(fx.points(spark, sf_dir), OBJ)
 
 
-@query()
-def watershed(spark, sf_dir):
-    """Parts of a mask by the watershed."""
-    from ..operators import objects
-
-    p = fx.pixels(spark, sf_dir).filter("depth_u16 <= 400").selectExpr("1 AS obj", "u", "v", "depth_u16 % 256 AS r", "u % 256 AS g", "v % 256 AS b")
-    return objects.watershed(p, OBJ, 0.38, 10)
-
-
 _M200 = "m AS (SELECT u, v FROM v_pixels WHERE depth_u16 <= 200)"
 _PEAKS = "b AS (SELECT u, v FROM v_grid WHERE (u, v) NOT IN (SELECT (u, v) FROM m)), dist AS (SELECT m.u, m.v, sqrt(min((m.u - b.u) * (m.u - b.u) + (m.v - b.v) * (m.v - b.v))) AS d FROM m, b GROUP BY m.u, m.v), pk AS (SELECT u, v FROM dist WHERE d >= (SELECT max(d) * 0.45 FROM dist))"
 _TWO = "two AS (SELECT avg(u) AS cu, avg(v) AS cv, row_number() OVER (ORDER BY count(*) DESC, label) AS r FROM lab GROUP BY label), near AS (SELECT m.u, m.v, (m.u - a.cu) * (m.u - a.cu) + (m.v - a.cv) * (m.v - a.cv) <= (m.u - c.cu) * (m.u - c.cu) + (m.v - c.cv) * (m.v - c.cv) AS first FROM m, two a, two c WHERE a.r = 1 AND c.r = 2), n1 AS (SELECT u, v FROM near WHERE first), n2 AS (SELECT u, v FROM near WHERE NOT first)"

@@ -13,6 +13,7 @@ from ..functions import exprs, rules, split, stats
 from ..functions.exprs import XYZ
 from ..functions.rules import Columns
 from ..operators import cloud, objects, outline, raster
+from ..operators import watershed as forest
 from ..sources import fixtures as fx
 from ..sources import frames, sinks
 from ..sources.fixtures import SCALE, H, K, W
@@ -637,3 +638,32 @@ def projection_features(spark, sf_dir):
     """Outline, lines and principal variances of the three projections of every object."""
     p = objects.projection_features(fx.points(spark, sf_dir), OBJ, 0.05, 6)
     return p.select("obj", "view", "valid", *_r("circularity", "rectangularity", "line_support", "pca_ratio"))
+
+
+_FLOODED = f"px AS (SELECT *, obj * 4096 + v * 64 + u AS id, d % 256 AS r, (7 * u) % 256 AS g, (5 * v) % 256 AS b FROM (SELECT l_linenumber AS obj, CAST(l_orderkey % {W} AS INTEGER) AS u, CAST((l_partkey * 31 + l_suppkey) % {H} AS INTEGER) AS v, CAST(min(l_quantity) * 20 AS INTEGER) AS d FROM lineitem GROUP BY 1, 2, 3) WHERE d <= 400)"
+# The links of a round: for every dry region c the far end t of its first edge.
+_LINKS = "SELECT c, arg_min(t, k) AS t FROM (SELECT p.c AS c, q.c AS t, k FROM e JOIN recurring.f p ON p.id = e.a JOIN recurring.f q ON q.id = e.b WHERE p.c <> q.c UNION ALL SELECT q.c, p.c, k FROM e JOIN recurring.f p ON p.id = e.a JOIN recurring.f q ON q.id = e.b WHERE p.c <> q.c) WHERE c >= 0 GROUP BY c"
+
+
+@query(
+    f"""WITH {_FLOODED}, frame AS (SELECT DISTINCT obj FROM px), back AS (SELECT obj, g.u, g.v FROM frame, v_grid g WHERE (obj, g.u, g.v) NOT IN (SELECT (obj, u, v) FROM px)),
+dist AS (SELECT px.obj, px.u, px.v, px.id, sqrt(min((px.u - q.u) * (px.u - q.u) + (px.v - q.v) * (px.v - q.v))) AS d FROM px JOIN back q ON q.obj = px.obj GROUP BY ALL),
+top AS (SELECT obj, max(d) AS top, count(*) AS n FROM dist GROUP BY obj),
+pk(obj, u, v, label) USING KEY (obj, u, v) AS (SELECT obj, u, v, id FROM dist JOIN top USING (obj) WHERE d > 0.38 * top UNION SELECT n.obj, n.u, n.v, min(l.label) FROM pk l JOIN recurring.pk n ON n.obj = l.obj AND n.u BETWEEN l.u - 1 AND l.u + 1 AND n.v BETWEEN l.v - 1 AND l.v + 1 WHERE l.label < n.label GROUP BY n.obj, n.u, n.v),
+sd AS (SELECT obj, label, row_number() OVER (ORDER BY obj, label) AS m FROM pk GROUP BY obj, label HAVING count(*) >= 10),
+plan AS (SELECT obj, CASE WHEN n < 20 THEN 'mask_too_small' WHEN top < 1 THEN 'distance_transform_too_small' WHEN (SELECT count(*) FROM sd WHERE sd.obj = top.obj) < 2 THEN 'peak_components<2' END AS stays FROM top),
+mark AS (SELECT obj * 4096 + v * 64 + u AS id, m FROM pk JOIN sd USING (obj, label) JOIN plan USING (obj) WHERE stays IS NULL),
+e AS (SELECT a.id AS a, b.id AS b, row_number() OVER (ORDER BY greatest(abs(a.r - b.r), abs(a.g - b.g), abs(a.b - b.b)), a.id, b.id) AS k FROM px a JOIN px b ON b.obj = a.obj AND b.id > a.id AND abs(a.u - b.u) <= 1 AND b.v - a.v BETWEEN 0 AND 1 JOIN plan ON plan.obj = a.obj WHERE stays IS NULL),
+f(id, c) USING KEY (id) AS (SELECT px.id, coalesce(-m, px.id) FROM px JOIN plan USING (obj) LEFT JOIN mark USING (id) WHERE stays IS NULL
+UNION SELECT x.id, l.t FROM recurring.f x JOIN ({_LINKS}) l ON l.c = x.c LEFT JOIN ({_LINKS}) o ON o.c = l.t WHERE l.t < 0 OR (o.t = l.c AND l.c > l.t)),
+part AS (SELECT px.obj, px.u, px.v, -c AS m FROM f JOIN px USING (id) WHERE c < 0),
+large AS (SELECT obj, m, row_number() OVER (PARTITION BY obj ORDER BY m) AS part FROM part GROUP BY obj, m HAVING count(*) >= 10),
+why AS (SELECT obj, coalesce(stays, CASE WHEN (SELECT count(*) FROM large WHERE large.obj = plan.obj) > 1 THEN 'watershed_split' ELSE 'watershed_not_split' END) AS reason FROM plan)
+SELECT obj, u, v, CAST(part AS INTEGER) AS part, reason FROM part JOIN large USING (obj, m) JOIN why USING (obj) WHERE reason = 'watershed_split' UNION ALL SELECT obj, u, v, 1, reason FROM px JOIN why USING (obj) WHERE reason <> 'watershed_split'""",
+    recursive=True,
+)
+def watershed(spark, sf_dir):
+    """Parts of every line number's mask by the watershed, all masks in one plan."""
+    cells = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("obj"), (F.col("l_orderkey") % W).cast("int").alias("u"), ((F.col("l_partkey") * 31 + F.col("l_suppkey")) % H).cast("int").alias("v")).agg((F.min("l_quantity") * 20).cast("int").alias("d"))
+    p = cells.filter("d <= 400").selectExpr("obj", "u", "v", "d % 256 AS r", "(7 * u) % 256 AS g", "(5 * v) % 256 AS b")
+    return forest.watershed_split(p, OBJ, H, W, 0.38, 10)

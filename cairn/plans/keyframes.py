@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import FusionConfig, MaskConfig, SplitConfig, TableConfig
 from ..functions.exprs import XYZ, back_project, project_round, project_trunc
 from ..functions.split import Camera
-from ..operators import cloud, objects, raster
+from ..operators import cloud, objects, raster, watershed
 from .lineage import cut
 
 FID = ["fid"]
@@ -133,7 +133,7 @@ def _parts_of(kept: DataFrame, pixels: DataFrame, k: Sequence[float], h: int, w:
     sized = large.join(kept.groupBy(*keys).agg(F.count("*").alias("n")), keys)
     suspect = cloud.merged_candidates(sized, keys, cfg.merged_points, cfg.merged_area, cfg.merged_side).filter("suspicious").select(*keys)
     rgb = mask.join(suspect, keys, "left_semi").join(pixels.select("fid", "u", "v", "r", "g", "b"), ["fid", "u", "v"])
-    cutup = objects.watershed(rgb.select(*keys, "u", "v", "r", "g", "b"), keys, cfg.peak_ratio, cfg.min_peak_area)
+    cutup = watershed.watershed_split(rgb.select(*keys, "u", "v", "r", "g", "b"), keys, h, w, cfg.peak_ratio, cfg.min_peak_area)
     whole = mask.join(suspect, keys, "left_anti").select(*keys, F.lit(1).alias("part"), "u", "v")
     parts = cut(whole.unionByName(cutup.select(*keys, "part", "u", "v")))
     done = object_mask(parts, ids, h, w, cfg)

@@ -79,15 +79,6 @@ def test_distance_is_exact():
         assert d[v, u] == pytest.approx(np.sqrt(((bv - v) ** 2 + (bu - u) ** 2).min()))
 
 
-def test_watershed_parts_two_discs():
-    v, u = np.mgrid[0:60, 0:110]
-    m = ((u - 28) ** 2 + (v - 30) ** 2 <= 24**2) | ((u - 80) ** 2 + (v - 30) ** 2 <= 24**2) | ((abs(v - 30) < 3) & (u > 28) & (u < 80))
-    parts, why = kernels.watershed_split(np.zeros((60, 110, 3), int), m)
-    assert why == "watershed_split" and len(parts) == 2 and not (parts[0] & parts[1]).any()
-    assert kernels.watershed_split(np.zeros((60, 110, 3), int), m & (u < 50))[1] == "peak_components<2"
-    assert kernels.watershed_split(np.zeros((60, 110, 3), int), m & (u < 10))[1] == "mask_too_small"
-
-
 @pytest.mark.parametrize("make,shape", [(sphere, "sphere"), (cylinder, "cylinder"), (box, "box")])
 def test_shapes_are_told_apart(make, shape):
     before = {"shape": "box", "confidence": "low", "allow_upgrade": True, "allow_downgrade": False, "params": {}}
