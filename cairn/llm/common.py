@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +45,16 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def by_value(value: object) -> bytes:
+    """A value for a broadcast, with the classes of this package that it is made of; held() has it back where the package isn't installed."""
+    return cloudpickle.dumps(value)
+
+
+def held(sent: Broadcast) -> object:
+    """The value of a broadcast that by_value() made; unpickled anew at each call, so once a task."""
+    return cloudpickle.loads(sent.value)
+
+
 def bounded(batches: Iterable[pa.RecordBatch], text: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts have at most `most` bytes together, but for a single longer text; empty batches are left out."""
     for b in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, prepare, texts_of
+from .common import bounded, by_value, held, prepare, texts_of
 
 #: Hash buckets of the grams.
 BITS = 15
@@ -207,24 +207,24 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", out: tuple
     names in docs are replaced; rows, repeats included, are kept as they are.
     """
     kept = [c for c in docs.columns if c not in out]
-    (own,) = fresh(docs, "__text")
+    quoted = [F.col(f"`{c}`") for c in kept]
     prepare(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is BUCKETS times the number of languages
+    sent = docs.sparkSession.sparkContext.broadcast(by_value(model))  # its size is BUCKETS times the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for b in bounded(batches, own):
-            texts = texts_of(b.column(own))
+        m = held(sent)
+        for b in bounded(batches, "t"):
+            texts = texts_of(b["t"])
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             if m is not None:
                 p, letters = m.probabilities(texts)
                 best = p.argmax(axis=1)
                 lang = [m.languages[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist(), strict=True)]
                 score = np.where(letters, p[np.arange(len(texts)), best], 0.0).clip(0, 1).tolist()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, *out])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, *out])
 
-    got = docs.select(*kept, F.col(text).alias(own))
-    schema = docs.select(*kept).withColumns({out[0]: F.lit(""), out[1]: F.lit(0.0)}).schema
+    got = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(quoted)], F.col(text).alias("t"))  # names with dots don't pass
+    schema = docs.select(*quoted).withColumns({out[0]: F.lit(""), out[1]: F.lit(0.0)}).schema
     return got.mapInArrow(run, schema)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, kept_as, row_key, small
+from .common import Scratch, by_value, fresh, held, kept_as, row_key, small
 from .training_order import Feistel
 
 WEIGHTS = (5, 2, 1)
@@ -180,15 +180,16 @@ def mix(docs: DataFrame, scratch: Scratch, text: str = "text", source: str = "so
     table = docs.sparkSession.createDataFrame(each, "__s string, __number int, source_size long, target double")
     full = placed.join(small(table, len(each)), F.col("__source").cast("string").eqNullSafe(F.col("__s")))
     full = full.select(*key, "size", "source_size", "target", "_k1", "_k2", "__number", "__at")
-    sent = docs.sparkSession.sparkContext.broadcast(p)
+    sent = docs.sparkSession.sparkContext.broadcast(by_value(p))
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan_ = held(sent)
         for b in batches:
             number, at, size = (b[c].to_numpy() for c in ("__number", "__at", "size"))
             out = np.zeros((3, len(at)), np.int64)
             for i in np.unique(number).tolist():
                 own = number == i
-                out[:, own] = draws(sent.value, i, at[own], size[own])
+                out[:, own] = draws(plan_, i, at[own], size[own])
             cells = [pa.array(out[0]), pa.array(out[1].astype(np.int32)), pa.array(out[2].astype(np.int32), mask=out[2] < 0)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cells], names=[*b.schema.names, "taken", "copies", "first_shard"])
 

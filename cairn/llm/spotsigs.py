@@ -6,8 +6,8 @@ Every text with a word has at least the signature of its beginning. Where common
 RARE words (another language, tables, junk), one word in HASHED, chosen by hash, is an anchor too.
 
 Sets are compared by Jaccard similarity, pruned by size: sets are partitioned by their number of signatures, and a pair whose partitions lie
-so far apart that it can't reach the least similarity asked for is not compared. Stated pairs (a text and its edited text, a document
-and the next one) go through that comparison alone. The search for all similar sets compares sets of the same or the next partition, where only
+so far apart that it can't reach the least similarity asked for is not compared. Whether stated pairs (a text and its edited text, a document
+and the next one) are alike is found so; their likeness itself is exact for every pair, as no size may change it. The search for all similar sets compares sets of the same or the next partition, where only
 the rarest signatures of a set (its prefix) are index keys: two similar sets share one of them.
 """
 
@@ -25,8 +25,6 @@ CHAIN = 2
 RARE = 20
 HASHED = 8
 THRESHOLD = 0.8
-#: Stated pairs that can't be as alike as this, by their sizes, count as unlike: 0.
-LEAST = 0.02
 #: Text bytes of one bucket of neighbours; buckets are more than partitions.
 BUCKET_BYTES = 64 << 20
 
@@ -136,11 +134,12 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tu
 
 
 def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of docs.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, alike_edited, alike_next) for every row of docs.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next
     document by descending doc_id. Null texts count as empty; repeated rows stay; an empty table gives an empty table. near_edited and
-    near_next are the likeness of the fingerprints' signature sets, 0 where their sizes don't allow LEAST. A doc_id that is no integer is an error.
+    near_next are the likeness of the fingerprints' signature sets, of all pairs; alike_edited and alike_next, by the pruned comparison, say whether it is
+    THRESHOLD or more. A doc_id that is no integer is an error.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, order = with_next(plain)
@@ -149,8 +148,12 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     rows = with_signatures(rows, "text", "__own").withColumn("n_chars", n.cast("long")).drop("text")
     rows = rows.withColumn("__following", F.lead("__own").over(order)).filter(~F.col("__copy"))
     rows = with_signatures(rows, "__edited", "__other").withColumn("edited_sha256", F.sha2(F.col("__edited").cast("binary"), 256))
-    near = lambda a, b: F.coalesce(pruned_likeness(a, b, LEAST), F.lit(0.0))
-    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint("__own").alias("fingerprint"), fingerprint("__other").alias("edited_fingerprint"), near("__own", "__other").alias("near_edited"), near("__own", "__following").alias("near_next"))
+    alike = lambda a, b: F.coalesce(pruned_likeness(a, b, THRESHOLD) >= THRESHOLD - 1e-12, F.lit(False))
+    pairs = {"edited": ("__own", "__other"), "next": ("__own", "__following")}
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint("__own").alias("fingerprint"), fingerprint("__other").alias("edited_fingerprint"),
+        *[likeness(*p).alias(f"near_{k}") for k, p in pairs.items()], *[alike(*p).alias(f"alike_{k}") for k, p in pairs.items()],
+    )
 
 
 def similar_sets(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, fresh, prepare, texts_of
+from .common import Scratch, bounded, by_value, held, prepare, texts_of
 
 PER_CLASS = 3000
 #: Sampled texts are counted by so many tasks.
@@ -287,16 +287,17 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: floa
     Columns of these names in docs are replaced.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    (own,) = fresh(docs, "__text")
+    quoted = [F.col(f"`{c}`") for c in kept]
     prepare(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample that it was learned from
+    sent = docs.sparkSession.sparkContext.broadcast(by_value(lexicon))  # bounded by the sample that it was learned from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = sent.value.automaton()
-        for b in bounded(batches, own):
-            s = _score(*sums(texts_of(b[own]), a), sent.value.curve)
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
+        known = held(sent)
+        a = known.automaton()
+        for b in bounded(batches, "t"):
+            s = _score(*sums(texts_of(b["t"]), a), known.curve)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    got = docs.select(*kept, F.col(text).alias(own))
-    schema = docs.select(*kept).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    got = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(quoted)], F.col(text).alias("t"))  # names with dots don't pass
+    schema = docs.select(*quoted).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     return got.mapInArrow(run, schema)

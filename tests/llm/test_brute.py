@@ -215,7 +215,7 @@ def test_likeness_is_that_of_the_fingerprints(spark):
         r = rows[i]
         assert r.near_edited == pytest.approx(like(cut(r.fingerprint), cut(r.edited_fingerprint)))
         exact = like(cut(r.fingerprint), cut(rows[following].fingerprint))
-        assert r.near_next == pytest.approx(exact) or (r.near_next == 0 and exact < spotsigs.LEAST)
+        assert r.near_next == pytest.approx(exact) and r.alike_next == (exact >= spotsigs.THRESHOLD - 1e-12)
 
 
 # Long texts and clashing names
