@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, langid, mixing, simhash_wide, training_order
-from cairn.llm.common import Scratch, is_held_out
+from cairn.llm.common import Scratch, fresh, is_held_out
 
 #: A document goes if its language is undetermined or less likely than this.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -21,8 +21,9 @@ LEAST_LANGUAGE_SCORE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a likely language go."""
     model = langid.fit(langid.learnable(docs, is_held_out()))
-    seen = langid.predict(docs, model, out=("__language", "__likely"))
-    return seen.filter((F.col("__language") != "und") & (F.col("__likely") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    language, likely = fresh(docs, "__language", "__likely")
+    seen = langid.predict(docs, model, out=(language, likely))
+    return seen.filter((F.col(language) != "und") & (F.col(likely) >= LEAST_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
