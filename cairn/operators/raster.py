@@ -166,16 +166,32 @@ def smooth(depth: DataFrame, keys: Sequence[str], value: str = "depth") -> DataF
     return out.withColumn(value, F.when(F.col(value) > 0, F.col("_s")).otherwise(F.col(value))).drop("_s")
 
 
-def height_view(heights: DataFrame, keys: Sequence[str], value: str = "height") -> DataFrame:
-    """Heights of masks as 0 to 255: clipped to their 5th to 99th percentile, spread, smoothed; a flat mask is 255 throughout."""
+#: The 5-tap kernel that smooths 8-bit images.
+BINOMIAL = (1, 4, 6, 4, 1)
+
+
+def height_view(heights: DataFrame, keys: Sequence[str], h: int, w: int, value: str = "height") -> DataFrame:
+    """(keys, u, v, level): heights of masks as 0 to 255: clipped to their 5th to 99th percentile, spread, truncated, and smoothed over the image.
+
+    The image is 0 off the mask and mirrored at its edges, without its outermost pixels; a smoothed level is rounded half up and pixels of level 0 are left out. A flat mask
+    is 255 throughout and not smoothed.
+    """
     e = heights.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.99))).alias("_e"))
     q = heights.join(e, list(keys)) if keys else heights.join(F.broadcast(e))
     lo, hi = F.col("_e")[0], F.col("_e")[1]
-    level = F.when(hi - lo < 1e-9, F.lit(255.0)).otherwise(F.floor((F.least(F.greatest(F.col(value), lo), hi) - lo) / F.greatest(hi - lo, F.lit(1e-9)) * 255).cast("double"))
-    q = q.select(*keys, *UV, level.alias("level"), (hi - lo < 1e-9).alias("_flat"))
-    w = {(du, dv): GAUSS[du + 2] * GAUSS[dv + 2] for du in range(-2, 3) for dv in range(-2, 3)}
-    s = stencil(q, keys, "level", {"_s": w})
-    return s.select(*keys, *UV, F.when(F.col("_flat"), F.col("level")).otherwise(F.col("_s")).alias("level"))
+    level = (F.least(F.greatest(F.col(value), lo), hi) - lo) / (hi - lo + 1e-6) * 255
+    q = q.select(*keys, *UV, F.floor(F.least(F.greatest(level, F.lit(0.0)), F.lit(255.0))).cast("int").alias("level"), (hi <= lo + 1e-6).alias("_flat"))
+
+    def places(c: str, n: int) -> Column:
+        """Where a pixel stands along an axis, mirrored places beyond the edges included."""
+        x = F.col(c)
+        return F.filter(F.array(x, F.when(x.between(1, 2), -x), F.when(x.between(n - 3, n - 2), 2 * (n - 1) - x)), lambda p: p.isNotNull())
+
+    taps = _offsets([(du, dv, a * b) for du, a in zip(range(-2, 3), BINOMIAL, strict=True) for dv, b in zip(range(-2, 3), BINOMIAL, strict=True)], ("du", "dv", "k"))
+    seen = q.filter("NOT _flat").withColumn("_u", F.explode(places("u", w))).withColumn("_v", F.explode(places("v", h)))
+    sent = seen.select(*keys, "level", "_u", "_v", taps.alias("o")).select(*keys, (F.col("_u") + F.col("o.du")).cast("int").alias("u"), (F.col("_v") + F.col("o.dv")).cast("int").alias("v"), (F.col("level") * F.col("o.k")).alias("_x"))
+    smooth_ = sent.filter(f"u >= 0 AND u < {w} AND v >= 0 AND v < {h}").groupBy(*keys, *UV).agg(F.floor((F.sum("_x") + 128) / 256).cast("int").alias("level")).filter("level > 0")
+    return smooth_.unionByName(q.filter("_flat").select(*keys, *UV, F.lit(255).alias("level")))
 
 
 def check_depth(depth: DataFrame, keys: Sequence[str], h: int, w: int) -> DataFrame:

@@ -485,11 +485,17 @@ def split_by_masks(spark, sf_dir):
     return raster.split_points(p, d.filter("depth_u16 <= 60").select("u", "v"), d.filter("depth_u16 BETWEEN 40 AND 100").select("u", "v")).select("pid", "side")
 
 
-@query(f"WITH p AS (SELECT u, v, CAST(depth_u16 AS DOUBLE) * 0.001 AS h FROM v_pixels), e AS (SELECT quantile_cont(h, 0.05) AS lo, quantile_cont(h, 0.99) AS hi FROM p), s AS (SELECT u, v, floor((least(greatest(h, lo), hi) - lo) / (hi - lo) * 255) AS d FROM p, e), {_sql_sums({'g': _GAUSS})} SELECT u, v, round(g, 6) + 0.0 AS level FROM t")
+@query(
+    """WITH p AS (SELECT u, v, CAST(depth_u16 AS DOUBLE) * 0.001 AS h FROM v_pixels WHERE depth_u16 <= 200), e AS (SELECT quantile_cont(h, 0.05) AS lo, quantile_cont(h, 0.99) AS hi FROM p),
+s AS (SELECT u, v, CAST(floor(least(255, greatest(0, (least(greatest(h, lo), hi) - lo) / (hi - lo + 1e-6) * 255))) AS INTEGER) AS d FROM p, e),
+k AS (SELECT * FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) t(o, w)),
+x AS (SELECT g.u, g.v, a.w * b.w AS w, CASE WHEN g.u + a.o < 0 THEN -(g.u + a.o) WHEN g.u + a.o > 63 THEN 126 - (g.u + a.o) ELSE g.u + a.o END AS su, CASE WHEN g.v + b.o < 0 THEN -(g.v + b.o) WHEN g.v + b.o > 47 THEN 94 - (g.v + b.o) ELSE g.v + b.o END AS sv FROM v_grid g, k a, k b)
+SELECT x.u, x.v, CAST(floor((sum(w * d) + 128) / 256) AS INTEGER) AS level FROM x JOIN s ON s.u = su AND s.v = sv GROUP BY x.u, x.v HAVING floor((sum(w * d) + 128) / 256) > 0"""
+)
 def height_view(spark, sf_dir):
-    """Heights spread to 0 to 255 and smoothed."""
-    p = fx.pixels(spark, sf_dir).select("u", "v", (F.col("depth_u16").cast("double") * SCALE).alias("height"))
-    return raster.height_view(p, []).select("u", "v", *_r("level"))
+    """Heights of a mask as grey values, smoothed over the image."""
+    p = fx.pixels(spark, sf_dir).filter("depth_u16 <= 200").select("u", "v", (F.col("depth_u16").cast("double") * SCALE).alias("height"))
+    return raster.height_view(p, [], H, W)
 
 
 @query("SELECT count(*) = 3072 AND count(DISTINCT (u, v)) = 3072 AND min(u) >= 0 AND max(u) < 64 AND min(v) >= 0 AND max(v) < 48 AS ok FROM v_pixels")

@@ -504,21 +504,23 @@ def depth_view(spark, sf_dir):
     return sinks.depth_view(fx.pixels(spark, sf_dir), []).select("u", "v", "grey")
 
 
-_OVER = "c AS (SELECT u, v, depth_u16 % 256 AS r, u % 256 AS g, v % 256 AS b FROM v_pixels), m AS (SELECT u, v, max(id) AS id FROM (SELECT u, v, 1 AS id FROM v_pixels WHERE depth_u16 <= 60 UNION ALL SELECT u, v, 10 FROM v_pixels WHERE depth_u16 BETWEEN 40 AND 100) GROUP BY u, v)"
+# Two masks of numbers 1 and 10, so of the first and the second colour: green, and yellow. A pixel under both is blended twice, in single precision, and truncated each time.
+_OVER = "c AS (SELECT u, v, depth_u16 % 256 AS r, u % 256 AS g, v % 256 AS b, depth_u16 <= 60 AS m1, depth_u16 BETWEEN 40 AND 100 AS m10 FROM v_pixels)"
+_OVER += "".join(f", o{i} AS (SELECT u, v, m1, m10, {', '.join(f'CASE WHEN m{i} THEN CAST(floor(CAST({c} AS FLOAT) * CAST(0.65 AS FLOAT) + CAST({x} AS FLOAT) * CAST(0.35 AS FLOAT)) AS INTEGER) ELSE {c} END AS {c}' for c, x in zip('rgb', colour, strict=True))} FROM {source})" for i, source, colour in ((1, "c", (0, 255, 0)), (10, "o1", (255, 255, 0))))
 
 
 def _masks(p: DataFrame) -> DataFrame:
     return p.filter("depth_u16 <= 60").select("u", "v", F.lit(1).alias("mask_id")).union(p.filter("depth_u16 BETWEEN 40 AND 100").select("u", "v", F.lit(10).alias("mask_id")))
 
 
-@query(f"WITH {_OVER} SELECT u, v, CAST(CASE WHEN id IS NULL THEN r WHEN id = 1 THEN round_even(0.65 * r + 0.35 * 255, 0) ELSE round_even(0.65 * r, 0) END AS INTEGER) AS r, CAST(CASE WHEN id IS NULL THEN g WHEN id = 1 THEN round_even(0.65 * g, 0) ELSE round_even(0.65 * g + 0.35 * 255, 0) END AS INTEGER) AS g, CAST(CASE WHEN id IS NULL THEN b ELSE round_even(0.65 * b, 0) END AS INTEGER) AS b, id AS mask_id FROM c LEFT JOIN m USING (u, v)")
+@query(f"WITH {_OVER} SELECT u, v, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b, CASE WHEN m10 THEN 10 WHEN m1 THEN 1 END AS mask_id FROM o10")
 def mask_overlay(spark, sf_dir):
     """Masks blended over an image in their colours."""
     p = fx.pixels(spark, sf_dir)
     return sinks.overlay(p.selectExpr("u", "v", "depth_u16 % 256 AS r", "u % 256 AS g", "v % 256 AS b"), _masks(p), [])
 
 
-@query(f"WITH {_OVER}, n AS (SELECT u, v, 1 AS id FROM v_pixels WHERE depth_u16 <= 60 UNION ALL SELECT u, v, 10 FROM v_pixels WHERE depth_u16 BETWEEN 40 AND 100) SELECT id AS mask_id, CAST(trunc(avg(u)) AS INTEGER) AS u, CAST(trunc(avg(v)) AS INTEGER) AS v FROM n GROUP BY id")
+@query("WITH n AS (SELECT u, v, 1 AS id FROM v_pixels WHERE depth_u16 <= 60 UNION ALL SELECT u, v, 10 FROM v_pixels WHERE depth_u16 BETWEEN 40 AND 100) SELECT id AS mask_id, CAST(trunc(avg(u)) AS INTEGER) AS u, CAST(trunc(avg(v)) AS INTEGER) AS v FROM n GROUP BY id")
 def mask_labels(spark, sf_dir):
     """Where each mask's number is written; masks that are missing have no place."""
     return sinks.mask_labels(_masks(fx.pixels(spark, sf_dir)), [])
@@ -531,17 +533,19 @@ def split_view(spark, sf_dir):
 
 
 def _projected(a: str, b: str) -> str:
-    return f"SELECT obj, pid, '{a}{b}' AS view, CAST(round_even(({a} - min({a}) OVER w) * (472 / greatest(max({a}) OVER w - min({a}) OVER w, max({b}) OVER w - min({b}) OVER w, 1e-9)) + 20, 0) AS INTEGER) AS px, CAST(round_even(511 - (({b} - min({b}) OVER w) * (472 / greatest(max({a}) OVER w - min({a}) OVER w, max({b}) OVER w - min({b}) OVER w, 1e-9)) + 20), 0) AS INTEGER) AS py FROM v_points WINDOW w AS (PARTITION BY obj)"
+    """Pixels of a projection: both axes at the scale that fits 472 pixels, the second one counted down from 512."""
+    scale = f"(472 / greatest(max({a}) OVER w - min({a}) OVER w, max({b}) OVER w - min({b}) OVER w, 1e-6))"
+    return f"SELECT obj, pid, '{a}{b}' AS view, CAST(round_even(({a} - min({a}) OVER w) * {scale} + 20, 0) AS INTEGER) AS px, CAST(round_even(512 - (({b} - min({b}) OVER w) * {scale} + 20), 0) AS INTEGER) AS py FROM v_points WINDOW w AS (PARTITION BY obj)"
 
 
-@query(f"SELECT obj, view, count(*) AS n, min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1 FROM ({_projected('x', 'y')} UNION ALL {_projected('x', 'z')} UNION ALL {_projected('y', 'z')}) GROUP BY obj, view")
+@query(f"SELECT obj, view, count(*) AS n, count(*) FILTER (px BETWEEN 0 AND 511 AND py BETWEEN 0 AND 511) AS drawn, min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1 FROM ({_projected('x', 'y')} UNION ALL {_projected('x', 'z')} UNION ALL {_projected('y', 'z')}) GROUP BY obj, view")
 def projection_views(spark, sf_dir):
-    """The frame that each projection of every object takes in its picture."""
+    """The rectangle about the points of each projection of every object in its picture."""
     p, out = fx.points(spark, sf_dir), None
     for a, b in (("x", "y"), ("x", "z"), ("y", "z")):
         v = sinks.projection_view(p, OBJ, a, b).withColumn("view", F.lit(f"{a}{b}"))
         out = v if out is None else out.union(v)
-    return out.groupBy("obj", "view").agg(F.count("*").alias("n"), F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"))
+    return sinks.projection_frame(out, ["obj", "view"])
 
 
 _CORNERS = ", ".join(f"({4 * (x > 0) + 2 * (y > 0) + (z > 0)}, {x}, {y}, {z})" for x in (-1, 1) for y in (-1, 1) for z in (-1, 1))

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 
-#: The colours of overlays, in turn.
-PALETTE = ((255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0), (255, 0, 255), (0, 255, 255), (255, 128, 0), (128, 0, 255))
+#: The colours of overlays as blue, green, red, in turn.
+PALETTE = ((0, 255, 0), (0, 255, 255), (255, 0, 0), (255, 0, 255), (0, 128, 255), (255, 255, 0), (128, 0, 255), (255, 128, 0))
+
+#: Colours of the parts of a split as red, green, blue, in turn; the line between them is red.
+PARTS = ((0, 255, 0), (0, 0, 255), (255, 255, 0), (255, 0, 255), (0, 255, 255), (255, 128, 0), (128, 0, 255))
+LINE = (255, 0, 0)
 
 
 def ply_text(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -48,12 +52,20 @@ def depth_view(pixels: DataFrame, keys: Sequence[str], depth: str = "depth_u16")
 
 
 def overlay(pixels: DataFrame, masks: DataFrame, keys: Sequence[str], alpha: float = 0.35) -> DataFrame:
-    """Pixels r, g, b with each mask's colour blended over them; of masks that overlap the higher number lies on top. masks: (keys, mask_id, u, v)."""
-    top = masks.groupBy(*keys, "u", "v").agg(F.max("mask_id").alias("mask_id"))
-    q = pixels.join(top, [*keys, "u", "v"], "left")
-    colour = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in PALETTE]), (F.pmod(F.col("mask_id") - 1, F.lit(len(PALETTE))) + 1).cast("int"))
-    blend = lambda c, i: F.when(F.col("mask_id").isNull(), F.col(c)).otherwise(F.rint((1 - alpha) * F.col(c) + alpha * colour(i)).cast("int"))
-    return q.select(*keys, "u", "v", *[blend(c, i).alias(c) for i, c in enumerate("rgb")], "mask_id")
+    """Pixels r, g, b with the masks' colours blended over them, one after the other by mask_id from 1, each time truncated; `mask_id` is the last one's. masks: (keys, mask_id, u, v).
+
+    Blending is in single precision, as an image's is. A pixel has at most as many entries as its frame has masks.
+    """
+    over = masks.groupBy(*keys, "u", "v").agg(F.array_sort(F.collect_list("mask_id")).alias("_over"))
+    q = pixels.join(over, [*keys, "u", "v"], "left")
+    single = lambda x: F.lit(x).cast("float")
+
+    def blend(channel: str, i: int) -> Column:
+        table = F.array(*[F.lit(float(c[i])).cast("float") for c in PALETTE])
+        mixed = lambda x, m: F.floor(x * single(1 - alpha) + F.element_at(table, (F.pmod(m - 1, F.lit(len(PALETTE))) + 1).cast("int")) * single(alpha)).cast("float")
+        return F.aggregate(F.coalesce("_over", F.array().cast("array<int>")), F.col(channel).cast("float"), mixed).cast("int").alias(channel)
+
+    return q.select(*keys, "u", "v", blend("r", 2), blend("g", 1), blend("b", 0), F.array_max("_over").alias("mask_id"))
 
 
 def mask_labels(masks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -62,11 +74,18 @@ def mask_labels(masks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def projection_view(points: DataFrame, keys: Sequence[str], x: str, y: str, size: int = 512, margin: int = 20) -> DataFrame:
-    """(keys, px, py): 2-D points fitted into a square image with a margin, y upwards."""
-    e = points.groupBy(*keys).agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
-    q = points.join(e, list(keys))
-    scale: Column = (size - 2 * margin) / F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(1e-9))
-    return q.select(*keys, F.rint((F.col(x) - F.col("_x0")) * scale + margin).cast("int").alias("px"), F.rint(size - 1 - ((F.col(y) - F.col("_y0")) * scale + margin)).cast("int").alias("py"))
+    """(keys, px, py, drawn): finite 2-D points fitted into a square image with a margin, y upwards. A point on the image's lower edge falls outside and isn't drawn."""
+    sound = points.filter(" AND ".join(f"NOT isnan(`{c}`) AND abs(`{c}`) < double('Infinity')" for c in (x, y)))
+    e = sound.groupBy(*keys).agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
+    q = sound.join(e, list(keys)) if keys else sound.join(F.broadcast(e))
+    scale: Column = (size - 2 * margin) / F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(1e-6))
+    at = q.select(*keys, F.rint((F.col(x) - F.col("_x0")) * scale + margin).cast("int").alias("px"), F.rint(size - ((F.col(y) - F.col("_y0")) * scale + margin)).cast("int").alias("py"))
+    return at.withColumn("drawn", F.expr(f"px >= 0 AND px < {size} AND py >= 0 AND py < {size}"))
+
+
+def projection_frame(view: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, drawn, x0, y0, x1, y1): the rectangle about the points of projection_view(), and how many of them are drawn."""
+    return view.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("drawn").alias("drawn"), F.min("px").alias("x0"), F.min("py").alias("y0"), F.max("px").alias("x1"), F.max("py").alias("y1"))
 
 
 def renumber(objects: DataFrame, frame: Sequence[str], order: str) -> DataFrame:
@@ -77,9 +96,9 @@ def renumber(objects: DataFrame, frame: Sequence[str], order: str) -> DataFrame:
 
 
 def split_view(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, u, v, r, g, b): parts of a split in the palette's colours, the line between them (label -1) red, everything else black."""
-    colour = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in PALETTE[1:]]), (F.pmod(F.col("label") - 1, F.lit(len(PALETTE) - 1)) + 1).cast("int"))
-    pick = lambda i: F.when(F.col("label") == -1, PALETTE[0][i]).when(F.col("label") > 0, colour(i)).otherwise(0)
+    """(keys, u, v, r, g, b): parts of a split in the colours of PARTS, the line between them (label -1) red, everything else black."""
+    colour = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in PARTS]), (F.pmod(F.col("label") - 1, F.lit(len(PARTS))) + 1).cast("int"))
+    pick = lambda i: F.when(F.col("label") == -1, LINE[i]).when(F.col("label") > 0, colour(i)).otherwise(0)
     return labels.select(*keys, "u", "v", *[pick(i).alias(c) for i, c in enumerate("rgb")])
 
 

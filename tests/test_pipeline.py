@@ -210,10 +210,10 @@ def test_debug_views(spark):
     assert grey[1] == 0 and grey[3] == 254 and grey[0] == 0
     masks = spark.createDataFrame([(1, 1, 2, 0), (1, 2, 3, 0)], "fid int, mask_id int, u int, v int")
     o = {r.u: (r.r, r.g, r.b) for r in sinks.overlay(px, masks, ["fid"]).collect()}
-    assert o[0] == (100, 100, 100) and o[2] == (154, 65, 65) and o[3] == (65, 154, 65)
+    assert o[0] == (100, 100, 100) and o[2] == (65, 154, 65) and o[3] == (154, 154, 65)
     assert {(r.mask_id, r.u) for r in sinks.mask_labels(masks, ["fid"]).collect()} == {(1, 2), (2, 3)}
     view = sinks.projection_view(px.select("fid", F.col("u").cast("double").alias("x"), F.col("v").cast("double").alias("y")), ["fid"], "x", "y").collect()
-    assert min(r.px for r in view) == 20 and max(r.px for r in view) == 492
+    assert min(r.px for r in view) == 20 and max(r.px for r in view) == 492 and {r.py for r in view} == {492} and all(r.drawn for r in view)
 
 
 def test_geometry_columns_hold_all_parameters():
