@@ -12,7 +12,7 @@ from .. import config
 from ..functions import exprs, rules, split, stats
 from ..functions.exprs import XYZ
 from ..functions.rules import Columns
-from ..operators import cloud, objects, outline, raster
+from ..operators import association, cloud, objects, outline, raster
 from ..operators import watershed as forest
 from ..sources import fixtures as fx
 from ..sources import frames, sinks
@@ -671,3 +671,42 @@ def watershed(spark, sf_dir):
     cells = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("obj"), (F.col("l_orderkey") % W).cast("int").alias("u"), ((F.col("l_partkey") * 31 + F.col("l_suppkey")) % H).cast("int").alias("v")).agg((F.min("l_quantity") * 20).cast("int").alias("d"))
     p = cells.filter("d <= 400").selectExpr("obj", "u", "v", "d % 256 AS r", "(7 * u) % 256 AS g", "(5 * v) % 256 AS b")
     return forest.watershed_split(p, OBJ, H, W, 0.38, 10)
+
+
+# Association
+
+# Three recordings of four keyframes each; the first keyframe's objects are templates, pairs within 0.4 are taken cheapest first.
+_SEEN_POINTS = "pt AS (SELECT 'r' || (pid % 3) AS rec_id, CAST(pid // 3 % 4 AS INTEGER) AS keyframe_index, CAST(obj AS INTEGER) AS local_id, x, y, z, r, g, b FROM v_points)"
+_SIGNED = (
+    "sg AS (SELECT rec_id, keyframe_index, local_id, count(*) AS n, " + ", ".join(f"quantile_cont({c}, 0.5) AS c{c}, quantile_cont({c}, 0.95) - quantile_cont({c}, 0.05) AS e{c}" for c in "xyz") + ", " + ", ".join(f"avg({c}) AS mean_{c}" for c in "rgb") + " FROM pt GROUP BY ALL)"
+)
+_APART = lambda *c: "sqrt(" + " + ".join(f"(t.{x} - o.{x}) * (t.{x} - o.{x})" for x in c) + ")"
+_ASSIGNED = f"""{_SEEN_POINTS}, {_SIGNED}, us AS (SELECT *, min(keyframe_index) OVER (PARTITION BY rec_id) AS k0 FROM sg WHERE n >= 3),
+tpl AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY local_id) AS g FROM us WHERE keyframe_index = k0),
+pr AS (SELECT o.rec_id, o.keyframe_index, o.local_id, g, row_number() OVER (PARTITION BY o.rec_id, o.keyframe_index ORDER BY {_APART('cx', 'cy', 'cz')} + 0.1 * {_APART('ex', 'ey', 'ez')} + 0.04 * {_APART('mean_r', 'mean_g', 'mean_b')}, g, o.local_id) AS k FROM us o JOIN tpl t ON t.rec_id = o.rec_id WHERE o.keyframe_index > o.k0 AND {_APART('cx', 'cy', 'cz')} < 0.4),
+gr(rec_id, keyframe_index, g, local_id) USING KEY (rec_id, keyframe_index, g) AS (SELECT rec_id, keyframe_index, g, local_id FROM pr WHERE k = 1
+UNION SELECT rec_id, keyframe_index, arg_min(g, k), arg_min(local_id, k) FROM pr p WHERE NOT EXISTS (SELECT 1 FROM recurring.gr x WHERE x.rec_id = p.rec_id AND x.keyframe_index = p.keyframe_index AND (x.g = p.g OR x.local_id = p.local_id)) GROUP BY rec_id, keyframe_index),
+asg AS (SELECT sg.rec_id, sg.keyframe_index, sg.local_id, sg.n, CAST(coalesce(tpl.g, gr.g, -1) AS INTEGER) AS global_id FROM sg LEFT JOIN tpl USING (rec_id, keyframe_index, local_id) LEFT JOIN gr USING (rec_id, keyframe_index, local_id))"""
+
+
+def _recorded(spark, sf_dir) -> DataFrame:
+    return fx.points(spark, sf_dir).selectExpr("concat('r', pid % 3) AS rec_id", "CAST(pid DIV 3 % 4 AS INT) AS keyframe_index", "CAST(obj AS INT) AS local_id", *XYZ, "r", "g", "b")
+
+
+@query(f"WITH {_ASSIGNED} SELECT * FROM asg", recursive=True)
+def fixed_ids(spark, sf_dir):
+    """The identity of every object of every keyframe among those of its recording's first keyframe."""
+    return association.assign_fixed(_recorded(spark, sf_dir), 0.4, 3)
+
+
+@query(
+    f"WITH {_ASSIGNED}, mem AS (SELECT rec_id, global_id, CAST(sum(n) AS BIGINT) AS num_points, count(*) AS num_members, string_agg(keyframe_index || ':' || local_id, ',' ORDER BY keyframe_index, local_id) AS members FROM asg WHERE global_id > 0 GROUP BY 1, 2) "
+    f"SELECT mem.*, {', '.join(f'round(tpl.{c}, 6) + 0.0 AS {c}' for c in association.SIGNATURE)} FROM mem JOIN tpl ON tpl.rec_id = mem.rec_id AND tpl.g = mem.global_id",
+    recursive=True,
+)
+def fusion_summary(spark, sf_dir):
+    """Members, points and template of every identity."""
+    p = _recorded(spark, sf_dir)
+    s = association.fused_summary(p, association.assign_fixed(p, 0.4, 3))
+    members = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["keyframe_index"], m["local_id"])), ",")
+    return s.select("rec_id", "global_id", "num_points", "num_members", members.alias("members"), *_r(*association.SIGNATURE))
