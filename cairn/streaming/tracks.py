@@ -191,7 +191,7 @@ def fold_keyframe(state: State, rec: str, keyframe: int, rows: list[dict], cfg:
 
 def _rows(pdf: pd.DataFrame) -> Iterator[tuple[int, list[dict]]]:
     def row(r) -> dict:
-        out = {"local_id": int(r.local_id), "points": _stacked(r.x, r.y, r.z), "colour": np.array([r.r, r.g, r.b], float)}
+        out = {"local_id": int(r.local_id), "points": _stacked(r.x, r.y, r.z), "colour": np.array([r.r, r.g, r.b], float), "seen": r}
         if getattr(r, "cx", None) is not None:
             out["cam"] = _stacked(r.cx, r.cy, r.cz)
         if getattr(r, "mu", None) is not None and len(r.mu):
