@@ -3,7 +3,8 @@
 Two stateful steps follow each other. The first, keyed by recording, knows the templates of a recording (or the running centres of its tracks) and
 gives every observed object its identity; that is a few numbers a track. The second, keyed by recording and track, keeps the track's points as a list that
 is only appended to (or, with a voxel, thinned to one point a voxel), and the state of its geometry. Both run as transformWithState over a stream and as grouped
-maps over a table, through the same functions, so stream and batch agree. A timer clears what belongs to a recording that has been silent for `idle_ms`.
+maps over a table, through the same functions, so stream and batch agree. A timer clears what belongs to a recording that has been silent for `idle_ms`;
+it needs a query that keeps running, as one that ends with what is there (availableNow) would wait for its timers without an end.
 
 Events tell what happened to an object: late, too_few_raw_points, global_id_is_minus_one, not_in_allowed_global_ids, too_few_points, init, updated; and after an update
 the track's history: infer with the candidate, pending_update with its count, switch_confirmed with the new shape.

@@ -1,6 +1,7 @@
 """Tracks as keyed state: a stream over restarts equals the table, and both follow the ordered fold of a whole recording."""
 
 import json
+import time
 from dataclasses import replace
 
 import numpy as np
@@ -98,6 +99,30 @@ def test_allowed_identities_and_voxels(spark):
 
 
 def test_silent_recordings_are_forgotten(spark, rocksdb, tmp_path):
-    rows = _observed(2)
-    out = _streamed(spark, tmp_path, [rows, rows], idle_ms=1)
-    assert out.filter("event = 'init'").count() in (4, 8)  # 8 where the timer ran before the rows came again
+    """Timers need a query that keeps running: one that takes what is there and ends would wait for them without an end."""
+    rows, at = _observed(1), f"file://{tmp_path}"
+
+    def land():
+        spark.createDataFrame(rows, tracks.OBSERVATION).coalesce(1).write.mode("append").parquet(f"{at}/in")
+
+    def begun():
+        return spark.read.schema(stream.schema).parquet(f"{at}/out").filter("event = 'init'").count() if (tmp_path / "out").exists() else 0
+
+    def wait(enough):
+        for _ in range(120):
+            if enough():
+                return True
+            time.sleep(0.5)
+        return False
+
+    land()
+    stream = keyed.history_stream(frames.frame_stream(spark, f"{at}/in", 100, tracks.OBSERVATION), CFG, idle_ms=1)
+    query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        assert wait(lambda: begun() == 4)
+        passed = query.lastProgress.batchId
+        assert wait(lambda: query.lastProgress.batchId > passed + 1)
+        land()
+        assert wait(lambda: begun() == 8)
+    finally:
+        query.stop()
