@@ -710,3 +710,55 @@ def fusion_summary(spark, sf_dir):
     s = association.fused_summary(p, association.assign_fixed(p, 0.4, 3))
     members = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["keyframe_index"], m["local_id"])), ",")
     return s.select("rec_id", "global_id", "num_points", "num_members", members.alias("members"), *_r(*association.SIGNATURE))
+
+
+# What a run writes
+
+_OWN = f"tp AS (SELECT p.*, 'r' AS rec_id, CAST(pid % 3 AS INTEGER) AS keyframe_index, CAST(obj AS INTEGER) AS local_id, CAST(CASE WHEN obj = 9 THEN -1 ELSE obj + 1 END AS INTEGER) AS global_id FROM v_points p), ev AS (SELECT rec_id, keyframe_index, local_id, global_id, count(*) AS n, {', '.join(f'greatest({_Q(c, 0.98)} - {_Q(c, 0.02)}, 0.01) AS s{c}' for c in 'xyz')} FROM tp GROUP BY 1, 2, 3, 4), got AS (SELECT * FROM ev WHERE global_id > 0)"
+
+
+def _written(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Points of objects in three keyframes, and events that give each object but one an identity and its own robust box as geometry."""
+    at = ["rec_id", "keyframe_index", "local_id"]
+    p = fx.points(spark, sf_dir).selectExpr("'r' AS rec_id", "CAST(pid % 3 AS INT) AS keyframe_index", "CAST(obj AS INT) AS local_id", "pid", *XYZ, "r", "g", "b")
+    e = stats.summary(p, at).withColumn("global_id", F.expr("CAST(CASE WHEN local_id = 9 THEN -1 ELSE local_id + 1 END AS INT)"))
+    return p, e.select(*at, "global_id", F.lit("box").alias("shape"), F.lit("low").alias("confidence"), F.lit(0).alias("pending_count"), F.to_json(F.struct("sx", "sy", "sz")).alias("params"))
+
+
+@query(
+    f"""WITH {_OWN}, snap AS (SELECT k.keyframe_index, count(*) AS points, count(DISTINCT tp.global_id) AS tracks FROM (SELECT DISTINCT keyframe_index FROM ev) k JOIN tp ON tp.keyframe_index <= k.keyframe_index AND tp.global_id > 0 GROUP BY 1)
+SELECT keyframe_index, (SELECT count(*) FROM ev WHERE ev.keyframe_index = snap.keyframe_index) AS objects, tracks, points, 8 * (SELECT count(*) FROM got WHERE got.keyframe_index = snap.keyframe_index) AS vertices, 12 * (SELECT count(*) FROM got WHERE got.keyframe_index = snap.keyframe_index) AS faces,
+round((SELECT sum(sx * sy * sz) * 1.05 * 1.05 * 1.05 FROM got WHERE got.keyframe_index = snap.keyframe_index), 6) AS volume FROM snap"""
+)
+def keyframe_outputs(spark, sf_dir):
+    """The folders of all keyframes, written and read back: objects in the identity map, tracks and points of the clouds so far, and the meshes' size."""
+    at, (p, e) = _folder(spark, "run"), _written(spark, sf_dir)
+    sinks.write_keyframes(p, e, at)
+    read = lambda name: spark.read.parquet(f"{at}/{name}")
+    ids = read("id_map").select("keyframe_index", F.json_array_length("json").cast("long").alias("objects"))
+    clouds = read("tracks").groupBy(F.col("snapshot").alias("keyframe_index")).agg(F.countDistinct("global_id").alias("tracks"), F.count("*").alias("points"))
+    vertex = F.when(F.col("kind") == "vertex", True)
+    boxes = read("meshes").groupBy("keyframe_index", "global_id").agg(F.count(vertex).alias("v"), (F.count("*") - F.count(vertex)).alias("f"), *[(F.max(F.when(vertex, F.col(c))) - F.min(F.when(vertex, F.col(c)))).alias(c) for c in "abc"])
+    mesh = boxes.groupBy("keyframe_index").agg(F.sum("v").alias("vertices"), F.sum("f").alias("faces"), F.round(F.sum(F.col("a") * F.col("b") * F.col("c")), 6).alias("volume"))
+    return ids.join(clouds, "keyframe_index").join(mesh, "keyframe_index").select("keyframe_index", "objects", "tracks", "points", "vertices", "faces", "volume")
+
+
+@query(
+    f"""WITH {_OWN}, low AS (SELECT global_id, min(x) - 0.1 AS lx, min(y) - 0.1 AS ly, min(z) - 0.1 AS lz FROM tp WHERE global_id > 0 GROUP BY 1),
+vox AS (SELECT global_id, avg(x) AS x FROM tp JOIN low USING (global_id) GROUP BY global_id, floor((x - lx) / 0.2), floor((y - ly) / 0.2), floor((z - lz) / 0.2)),
+cl AS (SELECT global_id, count(*) AS cloud, sum(x) AS sum_x FROM vox GROUP BY 1), last AS (SELECT global_id, arg_max(sx, keyframe_index) AS sx FROM got GROUP BY 1)
+SELECT tp.global_id, count(*) AS points, count(DISTINCT keyframe_index) AS obs_count, max(keyframe_index) AS last_seen, any_value(cloud) AS cloud, any_value(cloud) AS in_ply, round(any_value(sum_x), 3) + 0.0 AS sum_x, round(any_value(sum_x), 3) + 0.0 AS ply_x, round(any_value(last.sx) * 1.05, 6) AS mesh_x
+FROM tp JOIN cl USING (global_id) JOIN last USING (global_id) GROUP BY tp.global_id"""
+)
+def final_outputs(spark, sf_dir):
+    """What is left of a run, written and read back: summary, fused clouds as tables and as point files, meshes."""
+    at, (p, e) = _folder(spark, "final"), _written(spark, sf_dir)
+    ids = ["rec_id", "global_id"]
+    fused = cloud.voxel_mean(sinks.track_points(p, e), ids, 0.2, ("r", "g", "b")).select(*ids, *XYZ, "r", "g", "b")
+    sinks.write_final(p, e, fused, at)
+    summary = spark.read.json(f"{at}/summary").select(F.col("global_id").cast("int").alias("global_id"), "points", "obs_count", "last_seen")
+    clouds = spark.read.parquet(f"{at}/clouds").groupBy("global_id").agg(F.count("*").alias("cloud"), F.sum("x").alias("sum_x"))
+    ply = frames.read_ply(spark, f"{at}/ply", "part-*").groupBy(F.regexp_extract("path", "global_id=([0-9]+)", 1).cast("int").alias("global_id")).agg(F.count("*").alias("in_ply"), F.sum("x").alias("ply_x"))
+    mesh = spark.read.parquet(f"{at}/meshes").filter("kind = 'vertex'").groupBy("global_id").agg((F.max("a") - F.min("a")).alias("mesh_x"))
+    whole = summary.join(clouds, "global_id").join(ply, "global_id").join(mesh, "global_id")
+    return whole.select("global_id", "points", "obs_count", F.col("last_seen").cast("int").alias("last_seen"), "cloud", "in_ply", *_r("sum_x", "ply_x", digits=3), *_r("mesh_x"))
