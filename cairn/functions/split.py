@@ -327,12 +327,12 @@ def split(p: np.ndarray, mask: np.ndarray, camera: Camera, cfg: SplitConfig, dep
     return [q for part in parts[:2] for q in split(part, camera.mask(part), camera, cfg, depth, grad, level + 1)]
 
 
-def refine(p: np.ndarray, mask: np.ndarray, camera: Camera, cfg: SplitConfig, depth: np.ndarray | None) -> list[tuple[np.ndarray, str]]:
-    """Clusters of one object with how each came about: split, refined_single, fallback_no_secondary_split or final_fallback."""
+def refine(p: np.ndarray, mask: np.ndarray, camera: Camera, cfg: SplitConfig, depth: np.ndarray | None, edges: bool = True) -> list[tuple[np.ndarray, str]]:
+    """Clusters of one object with how each came about: split, refined_single, fallback_no_secondary_split or final_fallback. edges: whether the depth's gradient has a say in a split."""
     whole = denoise(p, cfg.voxel, cfg.neighbours, cfg.std_ratio)
     if not cfg.enable or not can_split(whole, cfg.min_points, cfg.min_extent):
         return [(whole, "fallback_no_secondary_split")]
-    parts = split(whole, mask, camera, cfg, depth, gradient(depth) if depth is not None else None)
+    parts = split(whole, mask, camera, cfg, depth, gradient(depth) if depth is not None and edges else None)
     kept = []
     for q in parts:
         m = camera.mask(q)

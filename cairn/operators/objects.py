@@ -150,7 +150,7 @@ def _columns(points: DataFrame) -> list[str]:
     return [*XYZ, *(c for c in ("r", "g", "b") if c in points.columns)]
 
 
-def refine(points: DataFrame, masks: DataFrame, depth: DataFrame | None, keys: Sequence[str], frame: Sequence[str], camera: split.Camera, cfg: SplitConfig | None = None) -> DataFrame:
+def refine(points: DataFrame, masks: DataFrame, depth: DataFrame | None, keys: Sequence[str], frame: Sequence[str], camera: split.Camera, cfg: SplitConfig | None = None, edges: bool = True) -> DataFrame:
     """(keys, part, mode, x, y, z and, if points have them, r, g, b): every object cleaned and, where that pays, split in two or more.
 
     masks: (keys, u, v); depth: (frame, u, v, depth in metres) or None. The depth of a frame reaches each of its objects within its mask's box.
@@ -175,7 +175,7 @@ def refine(points: DataFrame, masks: DataFrame, depth: DataFrame | None, keys: S
             seen = b[b["depth"].notna()]
             image[seen["v"].to_numpy(int), seen["u"].to_numpy(int)] = seen["depth"].to_numpy(float)
         out = []
-        for i, (q, mode) in enumerate(split.refine(a.sort_values("pid")[own].to_numpy(float), mask, camera, cfg, image)):
+        for i, (q, mode) in enumerate(split.refine(a.sort_values("pid")[own].to_numpy(float), mask, camera, cfg, image, edges)):
             part = pd.DataFrame(q, columns=own).assign(part=i + 1, mode=mode)
             out.append(part.assign(**{k: a[k].iloc[0] for k in keys}))
         return pd.concat(out)[names]
@@ -196,9 +196,14 @@ def denoise(points: DataFrame, keys: Sequence[str], keep: str = "large", **optio
 
 
 def debug_refine(points: DataFrame, masks: DataFrame, depth: DataFrame | None, keys: Sequence[str], frame: Sequence[str], camera: split.Camera, one: dict, cfg: SplitConfig | None = None) -> DataFrame:
-    """refine() of the one object whose keys have the given values."""
-    same = lambda df: df.filter(" AND ".join(f"`{k}` = {v!r}" for k, v in one.items()))
-    return refine(same(points), same(masks), depth, keys, frame, camera, cfg)
+    """refine() of the one object whose keys have the given values; its depth parts clusters, but the depth's gradient has no say."""
+
+    def same(df: DataFrame) -> DataFrame:
+        for k, v in one.items():
+            df = df.filter(F.col(f"`{k}`") == F.lit(v))
+        return df
+
+    return refine(same(points), same(masks), depth, keys, frame, camera, cfg, edges=False)
 
 
 def meshes(geometries: DataFrame, keys: Sequence[str], inflate: float = 1.05) -> DataFrame:
