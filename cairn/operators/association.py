@@ -87,3 +87,31 @@ def fused_summary(points: DataFrame, assigned: DataFrame) -> DataFrame:
     of = points.join(first, ["rec_id", "keyframe_index", "local_id"], "left_semi")
     template = signatures(of, ["rec_id", "keyframe_index", "local_id"]).join(first, ["rec_id", "keyframe_index", "local_id"]).select(*ids, *SIGNATURE)
     return every.join(template, ids)
+
+
+def nearest(objects: DataFrame, templates: DataFrame, radius: float) -> DataFrame:
+    """(objects' columns but x, y, z; global_id, dist): the template (global_id, x, y, z) nearest to every object (pid, x, y, z), the lower one among equals.
+
+    Objects meet templates in cells as wide as the radius. One that has none within it is searched for again with twice the radius, until the radius covers everything,
+    so the radius sets the cost and not the result. Without a template there is no row.
+    """
+    own = [c for c in objects.columns if c not in XYZ]
+    ends = [f(c).alias(f"{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
+    box = objects.select(*XYZ).union(templates.select(*XYZ)).agg(*ends).first()
+    span = max(((box[f"hi{c}"] or 0.0) - (box[f"lo{c}"] or 0.0)) for c in XYZ)
+    left, done = objects, None
+    cells = F.explode(F.array(*[F.struct(*[F.lit(k).alias(f"d{c}") for c, k in zip(XYZ, o, strict=True)]) for o in [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]]))
+    while True:
+        last = radius >= span  # then every template lies in the same cell or the next
+        near = templates.select("global_id", F.struct(*XYZ).alias("t"), cells.alias("o"), *XYZ).select("global_id", "t", *[(F.floor(F.col(c) / radius) + F.col(f"o.d{c}")).alias(f"i{c}") for c in XYZ])
+        met = left.select(*own, F.struct(*XYZ).alias("p"), *[F.floor(F.col(c) / radius).alias(f"i{c}") for c in XYZ]).join(near, [f"i{c}" for c in XYZ])
+        met = met.withColumn("dist", _distance([F.col(f"p.{c}") for c in XYZ], [F.col(f"t.{c}") for c in XYZ]))
+        best = (met if last else met.filter(F.col("dist") <= radius)).groupBy(*own).agg(F.min(F.struct("dist", "global_id")).alias("b")).select(*own, "b.global_id", "b.dist")
+        best = cut(best)
+        done = best if done is None else done.unionByName(best)
+        if last:
+            return done
+        left = cut(left.join(best.select(*own), own, "left_anti"))
+        if left.isEmpty():
+            return done
+        radius *= 2

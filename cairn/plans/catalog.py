@@ -571,11 +571,12 @@ def support_filter(spark, sf_dir):
 
 @query("WITH c AS (SELECT obj, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM v_points GROUP BY obj) SELECT pid, arg_min(c.obj, sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z))) AS template, round(min(sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z))), 6) AS dist FROM v_points p, c GROUP BY pid")
 def nearest_template(spark, sf_dir):
-    """The nearest object centre of every point: one step of the association, templates being a small stated set."""
+    """The nearest object centre of every point: one step of the association."""
+    from ..operators import association
+
     p = fx.points(spark, sf_dir)
-    c = p.groupBy("obj").agg(*[F.avg(a).alias(f"c{a}") for a in XYZ]).agg(F.array_sort(F.collect_list(F.struct("obj", "cx", "cy", "cz"))).alias("cs"))
-    d = F.transform("cs", lambda t: F.struct(F.sqrt((F.col("x") - t["cx"]) * (F.col("x") - t["cx"]) + (F.col("y") - t["cy"]) * (F.col("y") - t["cy"]) + (F.col("z") - t["cz"]) * (F.col("z") - t["cz"])).alias("d"), t["obj"].alias("obj")))
-    return p.join(F.broadcast(c)).select("pid", F.array_min(d).alias("m")).select("pid", F.col("m.obj").alias("template"), F.round("m.d", 6).alias("dist"))
+    centres = p.groupBy("obj").agg(*[F.avg(a).alias(a) for a in XYZ]).withColumnRenamed("obj", "global_id")
+    return association.nearest(p.select("pid", *XYZ), centres, 0.25).select("pid", F.col("global_id").alias("template"), F.round("dist", 6).alias("dist"))
 
 
 @query("SELECT user_id, arg_min(event_type, event_id) AS first_shape, min(event_id) AS first_seen, max(event_id) AS last_seen, count(*) AS obs_count FROM events GROUP BY user_id")

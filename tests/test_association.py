@@ -54,3 +54,15 @@ def test_small_objects_and_summary(spark):
     one = association.fused_summary(points, got).collect()
     assert len(one) == 1 and (one[0].num_points, one[0].num_members) == (10, 2) and [tuple(m) for m in one[0].members] == [(0, 1), (3, 4)] and abs(one[0].cx - 0.025) < 1e-9
     assert association.assign_fixed(points.limit(0)).isEmpty()
+
+
+def test_nearest_at_any_distance(spark):
+    pick = np.random.default_rng(6)
+    p, t = pick.normal(0, 1, (60, 3)), np.vstack([pick.normal(0, 1, (5, 3)), [[40.0, 0, 0], [40.0, 0, 0]]])
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(np.vstack([p, [[41.0, 0, 0]]]))], "pid long, x double, y double, z double")
+    templates = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(t)], "global_id int, x double, y double, z double")
+    got = {r.pid: (r.global_id, round(r.dist, 9)) for r in association.nearest(points, templates, 0.05).collect()}
+    far = np.linalg.norm(np.vstack([p, [[41.0, 0, 0]]])[:, None] - t[None], axis=2)
+    assert got == {i: (int(d.argmin()), round(float(d.min()), 9)) for i, d in enumerate(far)}
+    assert got[60] == (5, 1.0)
+    assert association.nearest(points, templates.limit(0), 0.5).isEmpty() and association.nearest(points.limit(0), templates, 0.5).isEmpty()
