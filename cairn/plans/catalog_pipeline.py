@@ -558,11 +558,20 @@ def box_meshes(spark, sf_dir):
     return objects.meshes(s, OBJ, 1.1).filter("kind = 'vertex'").select("obj", "i", *_r("a", "b", "c"))
 
 
-@query("SELECT name, field, value FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{v}')" for n, c in (("table", config.TableConfig()), ("runner_table", config.RUNNER_TABLE), ("fusion_mask", config.FUSION_MASK), ("refined_mask", config.REFINED_MASK), ("video_mask", config.VIDEO_MASK)) for k, v in asdict(c).items()) + ") t(name, field, value)")
+_SETS = {"table": config.TableConfig(), "runner_table": config.RUNNER_TABLE, "fusion_mask": config.FUSION_MASK, "refined_mask": config.REFINED_MASK, "video_mask": config.VIDEO_MASK}
+_SETTINGS = [(n, k, str(v)) for n, c in _SETS.items() for k, v in asdict(c).items()]
+#: Settings that are numbers of points which an object must have.
+_LEAST_POINTS = ("merged_points", "min_cluster_points", "min_final_points", "min_samples")
+
+
+@query(f"WITH c AS (SELECT obj, count(*) AS n FROM v_points GROUP BY obj) SELECT name, field, value, CASE WHEN field IN {_LEAST_POINTS} THEN (SELECT count(*) FROM c WHERE n >= TRY_CAST(value AS INTEGER)) END AS objects FROM (VALUES {', '.join(map(str, _SETTINGS))}) t(name, field, value)")
 def parameter_sets(spark, sf_dir):
-    """The parameter sets of the entry points."""
-    sets = {"table": config.TableConfig(), "runner_table": config.RUNNER_TABLE, "fusion_mask": config.FUSION_MASK, "refined_mask": config.REFINED_MASK, "video_mask": config.VIDEO_MASK}
-    return spark.createDataFrame([(n, k, str(v)) for n, c in sets.items() for k, v in asdict(c).items()], "name string, field string, value string")
+    """The parameter sets of the entry points, and how many objects each of their numbers of points lets pass."""
+    sizes = fx.points(spark, sf_dir).groupBy("obj").agg(F.count("*").alias("n"))
+    asked = [(n, k, v, int(v)) for n, k, v in _SETTINGS if k in _LEAST_POINTS]
+    passed = sizes.agg(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("field"), F.count_if(F.col("n") >= least).alias("objects")) for n, k, _, least in asked]).alias("p"))
+    settings = spark.createDataFrame(_SETTINGS, "name string, field string, value string")
+    return settings.join(passed.select(F.explode("p").alias("p")).select("p.*"), ["name", "field"], "left").select("name", "field", "value", "objects")
 
 
 @query("WITH s AS (SELECT obj, pid, x, y, z, row_number() OVER (PARTITION BY obj ORDER BY pid) AS r FROM v_points WHERE obj < 2) SELECT round(sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))), 6) AS gap FROM s a, s b WHERE a.obj = 0 AND b.obj = 1")
