@@ -170,17 +170,17 @@ def smooth(depth: DataFrame, keys: Sequence[str], value: str = "depth") -> DataF
 BINOMIAL = (1, 4, 6, 4, 1)
 
 
-def height_view(heights: DataFrame, keys: Sequence[str], h: int, w: int, value: str = "height") -> DataFrame:
+def height_view(heights: DataFrame, keys: Sequence[str], h: int, w: int, value: str = "height", flat: bool = True) -> DataFrame:
     """(keys, u, v, level): heights of masks as 0 to 255: clipped to their 5th to 99th percentile, spread, truncated, and smoothed over the image.
 
     The image is 0 off the mask and mirrored at its edges, without its outermost pixels; a smoothed level is rounded half up and pixels of level 0 are left out. A flat mask
-    is 255 throughout and not smoothed.
+    is 255 throughout and not smoothed, unless flat is false: then it is spread and smoothed like any other.
     """
     e = heights.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.99))).alias("_e"))
     q = heights.join(e, list(keys)) if keys else heights.join(F.broadcast(e))
     lo, hi = F.col("_e")[0], F.col("_e")[1]
     level = (F.least(F.greatest(F.col(value), lo), hi) - lo) / (hi - lo + 1e-6) * 255
-    q = q.select(*keys, *UV, F.floor(F.least(F.greatest(level, F.lit(0.0)), F.lit(255.0))).cast("int").alias("level"), (hi <= lo + 1e-6).alias("_flat"))
+    q = q.select(*keys, *UV, F.floor(F.least(F.greatest(level, F.lit(0.0)), F.lit(255.0))).cast("int").alias("level"), (F.lit(flat) & (hi <= lo + 1e-6)).alias("_flat"))
 
     def places(c: str, n: int) -> Column:
         """Where a pixel stands along an axis, mirrored places beyond the edges included."""
