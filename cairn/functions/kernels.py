@@ -158,15 +158,17 @@ def least_rectangle(p: np.ndarray) -> tuple[np.ndarray, float, float, float]:
 
 
 def filled(p: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Pixels inside or on a polygon, by crossings along rows."""
-    v, u = np.mgrid[0:h, 0:w]
-    inside, on = np.zeros((h, w), bool), np.zeros((h, w), bool)
+    """Pixels inside or on a polygon, by crossings along rows; an edge touches the rows that it spans and no others."""
+    inside, on, across = np.zeros((h, w), bool), np.zeros((h, w), bool), np.arange(w)
     for a, b in zip(p.astype(float), np.roll(p, -1, axis=0).astype(float), strict=True):
+        low, high = np.ceil(np.minimum(a, b) - 1e-9).astype(int).clip(0), (np.floor(np.maximum(a, b) + 1e-9).astype(int) + 1).clip(0)
+        u, v = across[None, low[0] : high[0]], np.arange(low[1], min(h, high[1]))[:, None]
         cross = (b[0] - a[0]) * (v - a[1]) - (b[1] - a[1]) * (u - a[0])
-        between = (np.minimum(a[0], b[0]) - 1e-9 <= u) & (u <= np.maximum(a[0], b[0]) + 1e-9) & (np.minimum(a[1], b[1]) - 1e-9 <= v) & (v <= np.maximum(a[1], b[1]) + 1e-9)
-        on |= (np.abs(cross) < 1e-9) & between
+        on[low[1] : high[1], low[0] : high[0]] |= np.abs(cross) < 1e-9
         if a[1] != b[1]:
-            inside ^= ((a[1] > v) != (b[1] > v)) & (u < (b[0] - a[0]) * (v - a[1]) / (b[1] - a[1]) + a[0])
+            v = np.arange(max(0, int(np.ceil(min(a[1], b[1])))), min(h, int(np.ceil(max(a[1], b[1])))))[:, None]
+            if len(v):
+                inside[v[0, 0] : v[-1, 0] + 1] ^= across < (b[0] - a[0]) * (v - a[1]) / (b[1] - a[1]) + a[0]
     return inside | on
 
 
