@@ -13,8 +13,8 @@ more surely. Classes are connected components, which finds many of the rest thro
 
 Scale. Equal sets are one node. The segments are as wide as the number of rows asks, so that as few strangers meet in a large table as in a small
 one, and their number follows from RECALL. Only nodes with a possible partner go on from a step to the next, sets are made for those alone, and
-tasks emit links that join two parts. Each node first meets others at its most common key; after that only nodes with a possible partner in another
-part are left. A key with more than BLOCK nodes is dealt out in pairs of blocks.
+tasks emit links that join two parts. Each node first meets others at its most common key, and then one node of each part meets those of other
+parts at the keys of large parts; after that only keys where parts meet, and nodes with a possible partner in another part, are left. A key with more than BLOCK nodes is dealt out in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded, fresh, give_back, row_key, small, texts_of
@@ -240,10 +240,11 @@ def _hot(met: DataFrame, scratch: Scratch, name: str, block: int, sampled: int =
     return small(hot, n) if n else None
 
 
-def _distinct_keys(met: DataFrame) -> DataFrame:
-    """The keys of met (key, set_id), one of those with the same nodes."""
+def _keys_between(met: DataFrame, also: Column | None = None) -> DataFrame:
+    """The keys of met (key, set_id, root) with nodes of several parts, for which the aggregate `also` holds; one of those with the same nodes."""
     same = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.sum(F.xxhash64(F.lit(9), "set_id").cast("decimal(20,0)")).alias("s"))
-    return met.groupBy("key").agg(*same).groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
+    keys = met.groupBy("key").agg(*same, F.min("root").alias("a"), F.max("root").alias("b"), (F.lit(True) if also is None else also).alias("also")).filter("a < b AND also")
+    return keys.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
 
 
 def _sets(docs: DataFrame, text: str, live: DataFrame, width: int) -> DataFrame:
@@ -331,22 +332,45 @@ def links(docs: DataFrame, scratch: Scratch, text: str = "text", width: int = WI
         fp = _fps(t["fp"]).view(np.uint64)
         return _partnered(sizes, lambda a, b: np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64) <= ring.distance)
 
-    kept = "key long, set_id long"
-    met = scratch.cut(_filtered(in_chain, kept)(_dealt(index, hot, block)).distinct(), "met")
-    met = met.join(_distinct_keys(met), "key", "left_semi")
-    near = scratch.cut(_filtered(in_distance, kept)(_dealt(met.join(nodes.select("set_id", "fp"), "set_id"), _hot(met, scratch, "met-hot", block), block)).distinct(), "near")
-    live = scratch.cut(nodes.join(near.select("set_id").distinct(), "set_id", "left_semi").select("text_id"), "live")
-    sets = scratch.cut(_sets(docs, text, live, width), "sets")
-    scratch.drop("met", "nodes", "hot")
-
-    # Each node at its most common key; then, between the parts that this gives, at all keys where sizes and parity maps allow a link.
-    counts = near.groupBy("key").agg(F.count("*").alias("c"))
-    top = near.join(counts, "key").groupBy("set_id").agg(F.max_by("key", F.struct("c", "key")).alias("key")).withColumn("root", F.col("set_id"))
-    first = scratch.cut(_compared(top, sets, scratch, "first", threshold, block), "links-1")
-    stars = components(first, scratch, "parts")
-    parted = scratch.cut(near.join(stars.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root")), "parted")
-    apart = parted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    apart = parted.join(apart, "key", "left_semi")
+    def within(met: DataFrame, name: str) -> DataFrame:
+        """Of met (key, set_id, ...) those with a node within the full distance at their key."""
+        kept = ", ".join(f"{c} long" for c in met.columns)
+        dealt = _dealt(met.join(nodes.select("set_id", "fp"), "set_id"), _hot(met, scratch, f"{name}-hot", block), block)
+        return scratch.cut(_filtered(in_distance, kept)(dealt).distinct(), name)
+
+    def sets_of(near: DataFrame, name: str, besides: DataFrame | None = None) -> DataFrame:
+        wanted = near.select("set_id").distinct()
+        if besides is not None:
+            wanted = wanted.join(besides.select("set_id"), "set_id", "left_anti")
+        live = scratch.cut(nodes.join(wanted, "set_id", "left_semi").select("text_id"), f"{name}-live")
+        return scratch.cut(_sets(docs, text, live, width), name)
+
+    met = scratch.cut(_filtered(in_chain, "key long, set_id long")(_dealt(index, hot, block)).distinct(), "met")
+
+    # Each node at its most common key alone, which joins most near copies of a text: from there on they are one part.
+    counts = met.groupBy("key").agg(F.count("*").alias("c"))
+    top = met.join(counts, "key").groupBy("set_id").agg(F.max_by("key", F.struct("c", "key")).alias("key"))
+    top = within(scratch.cut(top.select("key", "set_id"), "top"), "top-near")
+    sets = sets_of(top, "sets-1")
+    first = scratch.cut(_compared(top.withColumn("root", F.col("set_id")), sets, scratch, "first", threshold, block), "links-1")
+
+    def parted(edges: DataFrame, name: str) -> DataFrame:
+        """met with the root of each node's part."""
+        stars = components(edges, scratch, name).withColumnRenamed("node", "set_id")
+        return scratch.cut(met.join(stars, "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root")), f"{name}-met")
+
+    # Where a large part meets others, one node of each part, which differs from key to key.
+    some = parted(first, "parts-1").groupBy("key", "root").agg(F.min_by("set_id", F.xxhash64("key", "set_id")).alias("set_id"), F.count("*").alias("m"))
+    some = scratch.cut(some.select("key", "set_id", "root", "m"), "some")
+    some = within(scratch.cut(some.join(_keys_between(some, F.max("m") > 1), "key", "left_semi"), "some-apart"), "some-near")
+    sets = sets.union(sets_of(some, "sets-2", sets))
+    first = first.union(scratch.cut(_compared(some, sets, scratch, "some", threshold, block), "links-2"))
+
+    # Then all keys where parts meet, one of those with the same nodes; and of those what sizes and parity maps allow a link between parts.
+    rooted = parted(first, "parts-2")
+    apart = scratch.cut(rooted.join(_keys_between(rooted), "key", "left_semi"), "apart")
+    near = within(apart, "near")
+    sets = sets.union(sets_of(near, "sets-3", sets))
 
     def allowed(t: pa.Table, sizes: np.ndarray) -> np.ndarray:
         n, root = t["size"].to_numpy(), t["root"].to_numpy()
@@ -360,10 +384,11 @@ def links(docs: DataFrame, scratch: Scratch, text: str = "text", width: int = WI
         return _partnered(sizes, alike)
 
     maps = sets.select("set_id", "size", "parity")
-    left = _filtered(allowed, "key long, set_id long, root long")(_dealt(apart.join(maps, "set_id"), _hot(apart, scratch, "apart-hot", block), block)).distinct()
-    left = scratch.cut(left, "apart")
-    second = scratch.cut(_compared(left, sets, scratch, "second", threshold, block), "links-2")
-    scratch.drop("near", "live", "sets", "parted", "apart", "met-hot", "apart-hot", "first-hot", "second-hot")
+    left = _filtered(allowed, "key long, set_id long, root long")(_dealt(near.join(maps, "set_id"), _hot(near, scratch, "allowed-hot", block), block)).distinct()
+    left = scratch.cut(left, "allowed")
+    second = scratch.cut(_compared(left, sets, scratch, "second", threshold, block), "links-3")
+    scratch.drop("hot", "nodes", "met", "top", "top-hot", "top-near", "sets-1", "sets-1-live", "first-hot", "parts-1-met", "some", "some-apart", "some-apart-hot")
+    scratch.drop("some-near", "some-near-hot", "sets-2", "sets-2-live", "some-hot", "parts-2-met", "apart", "near-hot", "near", "sets-3", "sets-3-live", "allowed-hot", "allowed", "second-hot")
     return marks.drop("fp", "text_id"), first.union(second)
 
 

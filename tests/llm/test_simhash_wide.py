@@ -135,3 +135,18 @@ def test_one_id_for_all_rows_and_hot_copies(spark, tmp_path):
     spark.createDataFrame([(1, texts[i % 20] if i < 2000 else texts[0]) for i in range(4000)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/t")
     rows = wide.deduplicate(spark.read.parquet(f"file://{tmp_path}/t")).collect()
     assert sorted(r.text for r in rows) == sorted(texts)
+
+
+def test_near_copies_of_one_part_go_no_further(spark, monkeypatch):
+    """Near copies of one text share most segments; once they are one part, they have no row for each."""
+    dealt, own = [], wide._dealt
+
+    def counted(met, *rest):
+        dealt.append(met.count())
+        return own(met, *rest)
+
+    texts = edited_families(1, 90, 120, 2)
+    monkeypatch.setattr(wide, "_dealt", counted)
+    assert len(set(got_classes(spark, texts).values())) == len(set(brute_classes(texts).values())) == 1
+    nodes = len(set(texts.values()))
+    assert dealt[0] >= 20 * nodes and sum(dealt[-3:]) <= nodes  # what meets once the parts are known, with fingerprints, maps and sets
