@@ -21,6 +21,28 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), F.col("label").alias("obj"), *xyz)
 
 
+#: Half sizes of the objects of surfaces(), by label modulo 3: a ball, a box and a cylinder.
+SIZES = ((0.02, 0.02, 0.02), (0.035, 0.022, 0.012), (0.016, 0.016, 0.045))
+
+
+def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surface points of objects half a metre apart, an object for each label: every three elements of a vector are a direction from its centre.
+
+    Three elements without a direction (all zero, null or not finite) are no point, and a row without a label is of no object.
+    """
+    e = F.col("embedding")
+    rows = table(spark, sf_dir, "embeddings").filter((F.size(e) >= 3) & F.col("vec_id").isNotNull() & F.col("label").isNotNull())
+    colour = [F.get(e, F.lit(i)).cast("double").alias(n) for i, n in ((3, "r"), (4, "g"), (5, "b"))]
+    found = rows.select(F.col("vec_id").alias("pid"), F.col("label").alias("obj"), e, *colour, F.explode(F.sequence(F.lit(0), F.size(e) - 3, F.lit(3))).alias("i"))
+    found = found.select("pid", "obj", "r", "g", "b", *[F.get(e, F.col("i") + k).cast("double").alias(n) for k, n in enumerate("xyz")])
+    x, y, z = (F.col(n) for n in "xyz")
+    kind = F.pmod("obj", F.lit(3))
+    length = F.when(kind == 0, F.sqrt(x * x + y * y + z * z)).when(kind == 1, F.greatest(F.abs(x), F.abs(y), F.abs(z))).otherwise(F.greatest(F.sqrt(x * x + y * y), F.abs(z)))
+    some = [F.when(kind == 0, a).when(kind == 1, b).otherwise(c) for a, b, c in zip(*SIZES, strict=True)]
+    found = found.withColumn("n", length).filter((F.col("n") > 0) & (F.col("n") < float("inf")) & x.isNotNull() & y.isNotNull() & z.isNotNull())
+    return found.select("pid", "obj", (x / F.col("n") * some[0] + F.col("obj") * 0.5).alias("x"), *[(c / F.col("n") * s).alias(n) for n, c, s in (("y", y, some[1]), ("z", z, some[2]))], "r", "g", "b")
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % W).cast("int").alias("u"), ((F.col("l_partkey") * 31 + F.col("l_suppkey")) % H).cast("int").alias("v"), "l_quantity")
     return cells.groupBy("u", "v").agg((F.min("l_quantity") * 20).cast("int").alias("depth_u16"))

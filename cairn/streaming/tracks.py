@@ -213,14 +213,17 @@ def _columns() -> list[str]:
 
 
 def track_batch(observations: DataFrame, cfg: StateConfig | None = None, fixed: bool = True, voxel: float = 0.0, allowed: frozenset[int] | None = None) -> DataFrame:
-    """Events of all observations, every recording folded in the order of its keyframes. A recording's keyframes are bounded by its source."""
-    cfg = cfg or StateConfig()
+    """Events of all observations, every recording folded in the order of its keyframes. A recording's keyframes are bounded by its source.
+
+    Recordings are dealt by a fixed number of partitions: a fold takes long for its few bytes, by which Spark would put many in one task.
+    """
+    cfg, parts = cfg or StateConfig(), int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state, rec = State(), pdf["rec_id"].iloc[0]
         return pd.DataFrame([e for k, rows in _rows(pdf) for e in fold_keyframe(state, rec, k, rows, cfg, fixed, voxel, allowed)], columns=_columns())
 
-    return observations.groupBy("rec_id").applyInPandas(run, EVENT)
+    return observations.repartition(parts, "rec_id").groupBy("rec_id").applyInPandas(run, EVENT)
 
 
 def track_stream(observations: DataFrame, cfg: StateConfig | None = None, fixed: bool = True, voxel: float = 0.0, allowed: frozenset[int] | None = None) -> DataFrame:
